@@ -75,8 +75,21 @@ def non_weekly_steps(entries: DataFrame) -> DataFrame:
 
 def nearest_date(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted (chart, asked): the published date nearest to it, the
-    newest on a tie."""
-    days = published_weeks(entries).select("chart", "date")
-    key = F.struct(F.abs(F.datediff("date", "asked")), -F.unix_date("date"))
-    return (wanted.join(days, "chart").groupBy("chart", "asked")
-            .agg(F.min_by("date", key).alias("date")))
+    newest on a tie.
+
+    Asked and published dates are laid on one line per list, and each asked date
+    reads the published ones just before and after it, so nothing is paired.
+    """
+    none = F.lit(None).cast("date")
+    line = (
+        published_weeks(entries).select("chart", F.col("date").alias("d"), F.col("date").alias("pub"),
+                                        none.alias("asked"))
+        .unionByName(wanted.select("chart", F.col("asked").alias("d"), none.alias("pub"), "asked").distinct()))
+    up = W.partitionBy("chart").orderBy("d").rangeBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy("chart").orderBy(F.desc("d")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    near = (
+        line.withColumn("older", F.max("pub").over(up)).withColumn("newer", F.min("pub").over(down))
+        .filter("asked IS NOT NULL"))
+    pick = F.when(F.datediff("newer", "asked") <= F.datediff("asked", "older"), F.col("newer")).otherwise(
+        F.coalesce("older", "newer"))
+    return near.select("chart", "asked", pick.alias("date")).filter("date IS NOT NULL")

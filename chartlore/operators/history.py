@@ -134,7 +134,7 @@ def reign(entries: DataFrame, stop_at_gap: bool = False) -> DataFrame:
     later_top, later_idx = F.lag("top").over(back), F.lag("week_idx").over(back)
     broken = later_top.isNotNull() & (later_top != F.col("top"))
     if stop_at_gap:
-        broken = broken | (later_idx - F.col("week_idx") > 1)
+        broken = broken | F.coalesce(later_idx - F.col("week_idx") > 1, F.lit(False))
     return (
         ones.withColumn("broken", broken.cast("int"))
         .withColumn("runs", F.sum("broken").over(back.rowsBetween(W.unboundedPreceding, 0)))

@@ -223,7 +223,7 @@ def entries_on(spark, sf):
 days AS (SELECT DISTINCT chart, date FROM gapped),
 asked AS (SELECT DISTINCT chart, CAST(date + 4 AS DATE) AS asked FROM entries),
 near AS (SELECT chart, asked, arg_min(date, (abs(date - asked), -epoch(date))) AS date
-         FROM asked JOIN days USING (chart) WHERE abs(date - asked) < 60 GROUP BY 1, 2)""") + """
+         FROM asked JOIN days USING (chart) GROUP BY 1, 2)""") + """
 SELECT chart, asked, date, rank, title FROM near JOIN gapped USING (chart, date)""")
 def entries_on_nearest(spark, sf):
     e = fx.entries(spark, sf)
