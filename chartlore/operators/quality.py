@@ -192,10 +192,9 @@ def prove_feed(stored: DataFrame, feeds: DataFrame) -> DataFrame:
     last = stored.groupBy("chart").agg(F.max("date").alias("date"))
 
     def five(rows: DataFrame, keys: list[str]) -> DataFrame:
-        title = match_key(F.col("title"))
-        w = W.partitionBy(*keys).orderBy("rank", title)
+        w = W.partitionBy(*keys).orderBy("rank", "k_title")
         return (rows.join(last, ["chart", "date"], "left_semi")
-                .select(*keys, "rank", title.alias("k_title"))
+                .select(*keys, "rank", match_key(F.col("title")).alias("k_title"))
                 .withColumn("place", F.row_number().over(w)).filter("place <= 5"))
 
     mine = five(stored, ["chart"])

@@ -27,7 +27,7 @@ def visitors(visits: DataFrame) -> DataFrame:
         F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("visits"))
 
 
-def _views_and_uniques(views: DataFrame, uniques: DataFrame, key: str) -> DataFrame:
+def views_and_uniques(views: DataFrame, uniques: DataFrame, key: str) -> DataFrame:
     """Two aggregates joined by period, never before aggregation, so neither
     multiplies the other; a period in either is kept."""
     return views.join(uniques, key, "full").select(
@@ -37,7 +37,7 @@ def _views_and_uniques(views: DataFrame, uniques: DataFrame, key: str) -> DataFr
 def daily(visits: DataFrame, since: str | None = None) -> DataFrame:
     rows = visits if since is None else visits.filter(F.col("day") >= F.lit(since).cast("date"))
     views = rows.groupBy("day").agg(F.count("*").alias("views"))
-    return _views_and_uniques(
+    return views_and_uniques(
         views, visitor_days(rows).groupBy("day").agg(F.count("*").alias("uniques")), "day")
 
 
@@ -45,7 +45,7 @@ def monthly(visits: DataFrame) -> DataFrame:
     rows = visits.withColumn("month", F.date_format("day", "yyyy-MM"))
     views = rows.groupBy("month").agg(F.count("*").alias("views"))
     people = rows.select("month", "visitor").distinct().groupBy("month").agg(F.count("*").alias("uniques"))
-    return _views_and_uniques(views, people, "month")
+    return views_and_uniques(views, people, "month")
 
 
 def top_paths(visits: DataFrame, top: int = 10) -> DataFrame:

@@ -45,14 +45,18 @@ def primary_credit(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(credits.primary_credit(line)).alias("v"))
 
 
+# Names whose comma does and does not separate two artists.
+_NAMED = """concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ', Jr.' WHEN 1 THEN ' and the 10,000 Bolts' WHEN 2 THEN ', III & Guest'
+  WHEN 3 THEN ', The Maker' WHEN 4 THEN ', sr, Other' WHEN 5 THEN ',Iverson' WHEN 6 THEN ' X Ray Featuring A, B'
+  WHEN 7 THEN ' (with A)' ELSE '' END)"""
+
+
 @register("primary_artist", with_sql(ENTRIES_SQL) + f"""
-SELECT artist, {sql_primary_artist('artist')} AS v FROM (SELECT DISTINCT artist FROM entries) d
-UNION ALL SELECT t, {sql_primary_artist('t')} FROM (
-  SELECT DISTINCT regexp_extract(text, '^[^.]*') AS t FROM documents WHERE regexp_matches(text, '^[ -~]*$')) d""")
+SELECT artist, {sql_primary_artist('artist')} AS v FROM (
+  SELECT DISTINCT artist FROM entries UNION SELECT DISTINCT {_NAMED} FROM part) d""")
 def primary_artist(spark, sf):
-    first = F.regexp_extract("text", r"^[^.]*", 0)
-    spoken = docs(spark, sf).filter(F.rlike("text", F.lit("^[ -~]*$"))).select(first.alias("artist"))
-    credit = fx.entries(spark, sf).select("artist").distinct().unionByName(spoken.distinct())
+    named = fx.table(spark, sf, "part").select(F.expr(_NAMED).alias("artist"))
+    credit = fx.entries(spark, sf).select("artist").union(named).distinct()
     return credit.select("artist", credits.primary_artist(F.col("artist")).alias("v"))
 
 
@@ -240,7 +244,7 @@ def clamped_weeks(spark, sf):
 @register("first_genuine_week", with_sql(ENTRIES_SQL, """
 early AS (SELECT * FROM entries UNION ALL
           SELECT e.* REPLACE (e.date - 7 * k AS date) FROM entries e, (SELECT unnest([1, 2, 3]) AS k) t
-          WHERE (chart, date) IN (SELECT (chart, min(date)) FROM entries GROUP BY 1))""") + """
+          WHERE (chart, date) IN (SELECT (chart, min(date)) FROM entries GROUP BY chart))""") + """
 SELECT chart, min(date) + 21 AS first_week FROM early GROUP BY chart""")
 def first_genuine_week(spark, sf):
     e = fx.entries(spark, sf)
@@ -314,7 +318,7 @@ def verify_lists(spark, sf):
 
 
 @register("prove_feed", with_sql(ENTRIES_SQL, """
-last AS (SELECT * FROM entries WHERE (chart, date) IN (SELECT (chart, max(date)) FROM entries GROUP BY 1)),
+last AS (SELECT * FROM entries WHERE (chart, date) IN (SELECT (chart, max(date)) FROM entries GROUP BY chart)),
 feeds AS (SELECT chart, 'same' AS feed, rank, title FROM last UNION ALL
           SELECT chart, 'other', rank, CASE WHEN rank = 4 THEN title || '?' ELSE title END FROM last),
 tops AS (SELECT chart, feed, string_agg(rank || '|' || lower(trim(title)), chr(10) ORDER BY rank) AS l, count(*) AS n
@@ -435,3 +439,413 @@ FROM (SELECT y.chart, y.year, count(wt.t) / count(*) AS share FROM (
 LEFT JOIN cov USING (chart, year) LEFT JOIN best USING (chart, year)""")
 def accept_yearend(spark, sf):
     return yearend.accept_yearend(_spelled(fx.yearend(spark, sf)), weekly_kept(spark, sf))
+
+
+# --- matching a second source -----------------------------------------------
+
+_SRC = (ENTRIES_SQL, ALBUMS_SQL, SOURCE_SQL)
+
+
+def source(spark, sf):
+    return fx.source_rows(fx.albums(spark, sf))
+
+
+def dated_source(spark, sf):
+    return source(spark, sf).withColumn("date", F.date_add("week", matching.OFFSET_DAYS))
+
+
+@register("offset_join", with_sql(*_SRC) + """
+SELECT DISTINCT chart, week, CAST(week + 9 AS DATE) AS date FROM src WHERE (chart, CAST(week + 9 AS DATE)) IN (SELECT (chart, date) FROM albums)""")
+def offset_join(spark, sf):
+    return matching.offset_join(source(spark, sf).select("chart", "week").distinct(), fx.albums(spark, sf))
+
+
+_CAND_SQL = """
+cand AS (SELECT DISTINCT w.chart, week, date FROM (SELECT DISTINCT chart, week FROM src) w
+         JOIN (SELECT DISTINCT chart, date FROM albums) d ON d.chart = w.chart AND date - week BETWEEN 1 AND 25)"""
+
+
+@register("week_candidates", with_sql(*_SRC, _CAND_SQL) + "SELECT * FROM cand")
+def week_candidates(spark, sf):
+    return matching.week_candidates(source(spark, sf), fx.albums(spark, sf))
+
+
+_FIT_SQL = f"""
+top AS (SELECT chart, date, {sql_norm('title')} AS t, max(rank) AS rank FROM albums WHERE rank <= 20 GROUP BY 1, 2, 3),
+ten AS (SELECT chart, week, src_rank, {sql_norm('title')} AS t FROM src WHERE src_rank <= 10),
+fits AS (SELECT c.chart, c.week, c.date, CAST(count(*) FILTER (top.rank = ten.src_rank) AS INT) AS exact,
+                CAST(count(top.rank) AS INT) AS overlap
+         FROM cand c JOIN ten ON ten.chart = c.chart AND ten.week = c.week
+         LEFT JOIN top ON top.chart = c.chart AND top.date = c.date AND top.t = ten.t GROUP BY 1, 2, 3)"""
+
+
+def fits(spark, sf):
+    rows, lists = source(spark, sf), fx.albums(spark, sf)
+    return matching.best_fit(rows, lists, matching.week_candidates(rows, lists))
+
+
+@register("best_fit", with_sql(*_SRC, _CAND_SQL, _FIT_SQL) + "SELECT * FROM fits")
+def best_fit(spark, sf):
+    return fits(spark, sf)
+
+
+_COPY_SQL = """
+slist AS (SELECT chart, week, string_agg(src_rank || '|' || artist || '|' || title || '|' || units, chr(10) ORDER BY src_rank) AS l
+          FROM src GROUP BY 1, 2),
+own AS (SELECT chart, week, overlap * 100 + exact AS fit FROM fits WHERE date - week = 9),
+pairs AS (SELECT *, lead(l) OVER w AS nl, lead(week) OVER w AS nw, lead(coalesce(fit, 0)) OVER w AS nf
+          FROM slist LEFT JOIN own USING (chart, week) WINDOW w AS (PARTITION BY chart ORDER BY week))"""
+
+
+@register("copied_weeks", with_sql(*_SRC, _CAND_SQL, _FIT_SQL, _COPY_SQL) + """
+SELECT chart, nw AS week FROM pairs WHERE l = nl AND coalesce(fit, 0) >= nf
+UNION SELECT chart, week FROM pairs WHERE l = nl AND coalesce(fit, 0) <= nf""")
+def copied_weeks(spark, sf):
+    own = fits(spark, sf).filter(F.datediff("date", "week") == 9).withColumn("fit", F.expr("overlap * 100 + exact"))
+    return matching.copied_weeks(source(spark, sf), own)
+
+
+@register("copied_weeks_drop_both", with_sql(*_SRC, _CAND_SQL, _FIT_SQL, _COPY_SQL) + """
+SELECT chart, nw AS week FROM pairs WHERE l = nl UNION SELECT chart, week FROM pairs WHERE l = nl""")
+def copied_weeks_drop_both(spark, sf):
+    return matching.copied_weeks(source(spark, sf))
+
+
+_PLACE_SQL = """
+r AS (SELECT *, date - week AS lg, row_number() OVER w AS n, lead(exact) OVER w = exact AND lead(overlap) OVER w = overlap AS tied
+      FROM fits WINDOW w AS (PARTITION BY chart, week ORDER BY exact DESC, overlap DESC, date DESC)),
+fst AS (SELECT * FROM r WHERE n = 1 AND overlap >= 7 AND NOT coalesce(tied, false)),
+ar AS (SELECT *, lag(lg) OVER w AS b, lead(lg) OVER w AS a FROM fst WINDOW w AS (PARTITION BY chart ORDER BY week)),
+odd AS (SELECT *, coalesce(abs(b - a) <= 2 AND abs(lg - b) >= 4, false) AS odd FROM ar),
+mv AS (SELECT o.chart, o.week, min(r.date) AS date, min(r.exact) AS exact, min(r.overlap) AS overlap
+       FROM odd o JOIN r ON r.chart = o.chart AND r.week = o.week AND abs(r.lg - o.b) <= 2 WHERE o.odd
+       GROUP BY 1, 2 HAVING count(*) = 1 AND min(r.overlap) >= 7),
+pl AS (SELECT chart, week, date, exact, overlap FROM odd WHERE NOT odd UNION ALL SELECT * FROM mv)"""
+
+
+@register("place_weeks", with_sql(*_SRC, _CAND_SQL, _FIT_SQL, _PLACE_SQL) + """
+SELECT chart, week, date FROM pl p WHERE NOT EXISTS (
+  SELECT 1 FROM pl q WHERE q.chart = p.chart AND q.date = p.date AND q.week <> p.week AND (q.exact, q.overlap) >= (p.exact, p.overlap))""")
+def place_weeks(spark, sf):
+    return matching.place_weeks(fits(spark, sf))
+
+
+_UNSWAP_SQL = f"""
+us AS (SELECT chart, CAST(week + 9 AS DATE) AS date, week, src_rank, units,
+  CASE WHEN title = 'SOUNDTRACK' THEN artist ELSE title END AS title,
+  CASE WHEN title = 'SOUNDTRACK' THEN 'Soundtrack' ELSE artist END AS artist FROM src),
+ut AS (SELECT DISTINCT title AS t0, {sql_title_key('title')} AS k_t FROM us),
+ua AS (SELECT DISTINCT artist AS a0, {sql_lead_artist('artist')} AS k_a FROM us),
+s AS (SELECT us.*, k_t, k_a FROM us JOIN ut ON title = t0 JOIN ua ON artist = a0),
+e AS (SELECT chart, date, rank, title, artist, k_t, k_a FROM albums
+      JOIN (SELECT DISTINCT title AS t0, {sql_title_key('title')} AS k_t FROM albums) x ON title = t0
+      JOIN (SELECT DISTINCT artist AS a0, {sql_lead_artist('artist')} AS k_a FROM albums) y ON artist = a0),
+e1 AS (SELECT chart, date, k_t, k_a, max(rank) AS r1 FROM e GROUP BY 1, 2, 3, 4),
+e2 AS (SELECT chart, date, k_t, max(rank) AS r2 FROM e GROUP BY 1, 2, 3 HAVING count(*) = 1),
+k12 AS (SELECT s.*, coalesce(r1, r2) AS r12 FROM s LEFT JOIN e1 USING (chart, date, k_t, k_a) LEFT JOIN e2 USING (chart, date, k_t)),
+e3 AS (SELECT o.chart, o.date, o.k_a, o.k_t, max(e.rank) AS r3 FROM (SELECT DISTINCT chart, date, k_a, k_t FROM k12 WHERE r12 IS NULL) o
+       JOIN e ON e.chart = o.chart AND e.date = o.date AND e.k_a = o.k_a AND (contains(e.k_t, o.k_t) OR contains(o.k_t, e.k_t))
+       GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
+res AS (SELECT k12.*, coalesce(r12, r3) AS r FROM k12 LEFT JOIN e3 USING (chart, date, k_a, k_t)),
+fin AS (SELECT *, CASE WHEN r IS NOT NULL AND src_rank = min(src_rank) OVER (PARTITION BY chart, date, r) THEN r END AS m FROM res)"""
+
+
+@register("match_entities", with_sql(*_SRC, _UNSWAP_SQL) + """
+SELECT chart, date, week, src_rank, k_t, k_a, m AS m_rank, albums.title AS m_title, albums.artist AS m_artist
+FROM fin LEFT JOIN albums ON albums.chart = fin.chart AND albums.date = fin.date AND albums.rank = fin.m""".replace(
+    "SELECT chart, date, week", "SELECT fin.chart, fin.date, week"))
+def match_entities(spark, sf):
+    return matching.match_entities(dated_source(spark, sf), fx.albums(spark, sf)).select(
+        "chart", "date", "week", "src_rank", "k_t", "k_a", "m_rank", "m_title", "m_artist")
+
+
+@register("match_fuzzy")
+def match_fuzzy(spark, sf):
+    lists = fx.albums(spark, sf)
+    matched = matching.match_entities(dated_source(spark, sf), lists)
+    return matching.match_fuzzy(matched, lists).select(
+        "chart", "date", "week", "src_rank", "m_rank", "m_title", "m_artist")
+
+
+_OFFICIAL_SQL = """
+figs AS (SELECT chart, date, CASE extract(month FROM date) % 4 WHEN 0 THEN title WHEN 1 THEN replace(upper(title), 'S', '$') || ' Deluxe'
+           WHEN 2 THEN 'Something else' ELSE 'Other' END AS title,
+         CASE WHEN extract(month FROM date) % 4 = 3 THEN 'Nobody' ELSE artist END AS artist, metric AS units FROM albums WHERE rank = 1)"""
+
+
+def figures(spark, sf):
+    return fx.albums(spark, sf).filter("rank = 1").select(
+        "chart", "date", F.expr("CASE month(date) % 4 WHEN 0 THEN title WHEN 1 THEN concat(replace(upper(title), 'S', '$'), ' Deluxe') "
+                                "WHEN 2 THEN 'Something else' ELSE 'Other' END").alias("title"),
+        F.expr("CASE WHEN month(date) % 4 = 3 THEN 'Nobody' ELSE artist END").alias("artist"),
+        F.col("metric").alias("units"))
+
+
+@register("pin_official", with_sql(ENTRIES_SQL, ALBUMS_SQL, _OFFICIAL_SQL) + """
+SELECT f.chart, f.date, f.title, f.artist, units, a.title AS s_title, a.artist AS s_artist,
+       CASE WHEN extract(month FROM f.date) % 4 = 3 THEN 'stored No. 1 is ' || a.title || ' by ' || a.artist END AS reason
+FROM figs f JOIN albums a ON a.chart = f.chart AND a.date = f.date AND a.rank = 1""")
+def pin_official(spark, sf):
+    return matching.pin_official(figures(spark, sf), fx.albums(spark, sf))
+
+
+_UNITS = """CASE WHEN rank % 5 = 0 THEN NULL ELSE metric + seq END"""
+
+
+def unit_rows(spark, sf):
+    e = fx.entries(spark, sf).select("chart", "date", "title", "artist", "rank", "metric")
+    return (e.withColumn("seq", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+            .withColumn("units", F.expr(_UNITS))
+            .withColumn("source", F.expr("CASE WHEN rank % 3 = 0 AND seq < 3 THEN 'official' ELSE 'other' END")))
+
+
+_UNITS_SQL = f"""
+urows AS (SELECT chart, date, trim(title) AS title, trim(artist) AS artist, rank, seq, {_UNITS} AS units,
+            CASE WHEN rank % 3 = 0 AND seq < 3 THEN 'official' ELSE 'other' END AS source
+          FROM entries, (SELECT unnest([1, 2, 3]) AS seq) q),
+uone AS (SELECT chart, date, title, artist, units, source FROM (
+  SELECT *, row_number() OVER (PARTITION BY chart, date, title, artist
+    ORDER BY source = 'official' DESC, CASE WHEN source = 'official' THEN seq ELSE -seq END) AS n
+  FROM urows WHERE units IS NOT NULL) t WHERE n = 1)"""
+
+
+@register("source_precedence", with_sql(ENTRIES_SQL, _UNITS_SQL) + "SELECT chart, date, title, artist, units, source FROM uone WHERE chart NOT IN ('list_3', 'list_11')")
+def source_precedence(spark, sf):
+    # Artist lists repeat (title, artist) within a week only by fixture; they
+    # are left to units_join's keys.
+    rows = unit_rows(spark, sf).filter("chart NOT IN ('list_3', 'list_11')")
+    return ingest.source_precedence(rows, "official").select("chart", "date", "title", "artist", "units", "source")
+
+
+@register("units_join", with_sql(ENTRIES_SQL, _UNITS_SQL) + """
+SELECT e.chart, e.date, e.rank, u.units, u.source AS units_source FROM entries e LEFT JOIN uone u
+  ON u.chart = e.chart AND u.date = e.date AND u.title = trim(e.title) AND u.artist = trim(e.artist)""")
+def units_join(spark, sf):
+    units = ingest.source_precedence(unit_rows(spark, sf), "official")
+    return ingest.units_join(fx.entries(spark, sf), units).select("chart", "date", "rank", "units", "units_source")
+
+
+@register("override_join", """
+SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 AND p_partkey % 20 = 0 THEN 'Fixed' WHEN p_partkey % 10 = 0 THEN NULL ELSE p_name END AS title,
+       CASE WHEN p_partkey % 20 = 0 THEN p_brand WHEN p_partkey % 10 = 0 THEN NULL ELSE p_brand END AS artist FROM part""")
+def override_join(spark, sf):
+    raw = F.expr("CASE WHEN p_partkey % 10 = 0 THEN concat(p_name, '- ', p_brand) ELSE concat(p_name, ' - ', p_brand) END")
+    p = fx.table(spark, sf, "part")
+    rows = p.select("p_partkey", raw.alias("text")).withColumn("s", text.split_pair(F.col("text"))).select(
+        "p_partkey", "text", "s.title", "s.artist")
+    fixes = p.filter("p_partkey % 10 = 0").select(
+        "p_partkey", F.expr("CASE WHEN p_partkey % 20 = 0 THEN concat(p_name, '- ', p_brand) ELSE 'changed' END").alias("source_text"),
+        F.lit("Fixed").alias("new_title"), F.col("p_brand").alias("new_artist"))
+    return ingest.override_join(rows, fixes, ["p_partkey"]).drop("text")
+
+
+@register("build_units")
+def build_units(spark, sf):
+    rows = source(spark, sf).withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("b")))
+    return matching.build_units(captures(spark, sf), rows, fx.albums(spark, sf), figures(spark, sf))
+
+
+def captures(spark, sf):
+    """Three captures of every source week: still building, final, too late."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(d).alias("d"), F.lit(s).alias("status"))
+                      for i, d, s in (("a", 3, "Building"), ("b", 10, "Final"), ("c", 60, "Final"))])
+    weeks = source(spark, sf).select("chart", "week").distinct().withColumn("k", F.explode(kinds))
+    return weeks.select("chart", "week", F.expr("date_add(week, k.d)").alias("taken"), F.col("k.status").alias("status"),
+                        F.concat_ws("/", "chart", "week", "k.id").alias("capture_id"))
+
+
+@register("latest_capture", with_sql(*_SRC) + """
+SELECT DISTINCT chart, week, chart || '/' || week || '/b' AS capture_id, CAST(week + 10 AS DATE) AS taken FROM src""")
+def latest_capture(spark, sf):
+    return matching.latest_capture(captures(spark, sf))
+
+
+# --- exports ----------------------------------------------------------------
+
+_RED = "red AS (SELECT * FROM named WHERE name = 'red 0')"
+
+
+def red(spark, sf):
+    return stats.artist_rows(fx.entries(spark, sf), ["red 0"])
+
+
+_HEADS_SQL = f"""
+pa AS (SELECT artist AS a0, {sql_primary_artist('artist')} AS k_artist, {sql_primary_credit('artist')} AS pc
+       FROM (SELECT DISTINCT artist FROM entries) d),
+nk AS (SELECT named.*, k_artist FROM named JOIN pa ON artist = a0),
+pairs AS (SELECT name, title, k_artist, min(date) AS debut, arg_max(artist, (date, artist)) AS credit FROM nk GROUP BY 1, 2, 3),
+heads AS (SELECT name, title, k_artist, debut, credit, CASE WHEN pc <> credit OR count(*) OVER (PARTITION BY name, title) > 1
+            THEN title || ' (' || credit || ')' ELSE title END AS header FROM pairs JOIN pa ON credit = a0)
+"""
+_HEADS = with_sql(ENTRIES_SQL, named_sql(), _HEADS_SQL.replace("JOIN pa ON credit = a0", "JOIN (SELECT a0, pc FROM pa) p ON credit = a0"))
+
+
+@register("export_header", _HEADS + "SELECT name, title, k_artist, debut, credit, header FROM heads")
+def export_header(spark, sf):
+    return reshape.title_columns(stats.artist_rows(fx.entries(spark, sf), NAMES), ["name"])
+
+
+@register("rank_long", with_sql(ENTRIES_SQL, KEYED_SQL) + "SELECT chart, date, title, k_artist, min(rank) AS rank FROM keyed GROUP BY 1, 2, 3, 4")
+def rank_long(spark, sf):
+    return reshape.rank_long(fx.entries(spark, sf), ["chart"])
+
+
+def _melt(frame, sep=None):
+    """A pivot read back as (date, header, rank), for comparison."""
+    names = [c for c in frame.columns if c != "date"]
+    quoted = [f"`{n}`" for n in names]
+    return frame.unpivot(["date"], quoted, "header", "rank").filter("rank IS NOT NULL")
+
+
+@register("rank_pivot", _HEADS.rstrip() + """
+SELECT date, header, min(rank) AS rank FROM nk JOIN heads USING (name, title, k_artist) WHERE name = 'red 0' GROUP BY 1, 2""")
+def rank_pivot(spark, sf):
+    return _melt(reshape.rank_pivot(red(spark, sf)))
+
+
+_INITCAP = "upper(substr(trim(title), 1, 1)) || lower(substr(trim(title), 2))"
+
+
+@register("rank_pivot_weekly_grid", with_sql(ENTRIES_SQL, named_sql(), f"""
+cells AS (SELECT date, {_INITCAP} AS header, arg_min(rank, (rank, artist)) AS rank FROM named WHERE name = 'red 0' GROUP BY 1, 2),
+grid AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date FROM cells)""")
+          + "SELECT date, header, rank FROM cells WHERE date IN (SELECT date FROM grid)")
+def rank_pivot_weekly_grid(spark, sf):
+    return _melt(reshape.rank_pivot_weekly_grid(red(spark, sf)))
+
+
+@register("weekly_grid_long", with_sql(ENTRIES_SQL, fx.KEYED_SQL, """
+cells AS (SELECT chart, k_artist, date, upper(substr(k_title, 1, 1)) || substr(k_title, 2) AS title, min(rank) AS rank
+          FROM keyed WHERE strpos(k_title, ' ') = 0 GROUP BY 1, 2, 3, 4),
+grid AS (SELECT chart, k_artist, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS date
+         FROM (SELECT chart, k_artist, min(date) AS a, max(date) AS b FROM cells GROUP BY 1, 2) m)""")
+          + "SELECT chart, k_artist, date, title, rank FROM grid LEFT JOIN cells USING (chart, k_artist, date)")
+def weekly_grid_long(spark, sf):
+    rows = history.with_keys(fx.entries(spark, sf)).filter("instr(k_title, ' ') = 0")
+    return reshape.weekly_grid_long(rows, ["chart", "k_artist"])
+
+
+_LABELS = reshape.SCORECARD_ROWS
+_TXT = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '') AS \"{v}\"" for k, v in _LABELS.items())
+
+
+@register("versus_scorecard", _VERSUS_SQL.rstrip() + f""",
+txt AS (SELECT name, {_TXT} FROM versus),
+long AS (UNPIVOT txt ON {", ".join(f'"{v}"' for v in _LABELS.values())} INTO NAME stat VALUE value)
+SELECT stat, """ + ", ".join(f"max(CASE WHEN name = '{n}' THEN value END) AS \"{n}\"" for n in NAMES)
+          + " FROM long GROUP BY stat")
+def versus_scorecard(spark, sf):
+    return reshape.versus_scorecard(stats.versus(fx.entries(spark, sf), "list_0", NAMES), NAMES)
+
+
+@register("versus_weekly", _HEADS.rstrip() + """
+SELECT date, name || ': ' || header AS header, min(rank) AS rank FROM nk JOIN heads USING (name, title, k_artist) GROUP BY 1, 2""")
+def versus_weekly(spark, sf):
+    return _melt(reshape.versus_weekly(stats.artist_rows(fx.entries(spark, sf), NAMES)))
+
+
+@register("versus_weekly_long", _HEADS.rstrip() + """
+SELECT name, date, title, k_artist, header, min(rank) AS rank FROM nk JOIN heads USING (name, title, k_artist) GROUP BY 1, 2, 3, 4, 5""")
+def versus_weekly_long(spark, sf):
+    return reshape.versus_weekly_long(stats.artist_rows(fx.entries(spark, sf), NAMES))
+
+
+@register("artist_history_export", _HEADS.rstrip() + f""",
+img AS (SELECT lower(trim(title)) AS kt, k_artist, arg_min(image_url, (chart, date, rank)) AS image_url
+        FROM entries JOIN pa ON artist = a0 WHERE starts_with(image_url, 'http') GROUP BY 1, 2),
+body AS (SELECT date, false AS is_gap, header, coalesce(img.image_url, '') AS image_url, min(rank) AS rank
+         FROM nk JOIN heads USING (name, title, k_artist) LEFT JOIN img ON img.kt = lower(trim(nk.title)) AND img.k_artist = nk.k_artist
+         WHERE name = 'red 0' GROUP BY date, title, nk.k_artist, header, img.image_url),
+days AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM body) d)
+SELECT * FROM body UNION ALL SELECT date, true, NULL, NULL, NULL FROM days WHERE nxt - date > 7""")
+def artist_history_export(spark, sf):
+    e = fx.entries(spark, sf)
+    return reshape.artist_history_export(stats.artist_rows(e, ["red 0"]), titles.image_index(e))
+
+
+# --- visits -----------------------------------------------------------------
+
+@register("outer_day_join", with_sql(VISITS_SQL) + """
+SELECT day, count(*) AS views, count(DISTINCT visitor) AS uniques FROM visits GROUP BY 1""")
+def outer_day_join(spark, sf):
+    return visits.daily(fx.visits(spark, sf))
+
+
+@register("union_days", with_sql(VISITS_SQL) + """
+SELECT day, count(*) FILTER (starts_with(path, '/view')) AS views,
+       count(DISTINCT CASE WHEN starts_with(path, '/click') THEN visitor END) AS uniques
+FROM visits WHERE starts_with(path, '/view') OR starts_with(path, '/click') GROUP BY 1""")
+def union_days(spark, sf):
+    v = fx.visits(spark, sf)
+    views = v.filter(F.startswith("path", F.lit("/view"))).groupBy("day").agg(F.count("*").alias("views"))
+    seen = visits.visitor_days(v.filter(F.startswith("path", F.lit("/click")))).groupBy("day").agg(
+        F.count("*").alias("uniques"))
+    return visits.views_and_uniques(views, seen, "day")
+
+
+@register("top_paths", with_sql(VISITS_SQL) + "SELECT path, count(*) AS views FROM visits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_paths(spark, sf):
+    return visits.top_paths(fx.visits(spark, sf))
+
+
+@register("visit_summary", with_sql(VISITS_SQL) + """
+SELECT 'lifetime' AS section, NULL AS period, count(*) AS views, count(DISTINCT visitor) AS uniques FROM visits
+UNION ALL SELECT 'today', '2024-01-30', count(*), count(DISTINCT visitor) FROM visits WHERE day = DATE '2024-01-30'
+UNION ALL SELECT 'recent', CAST(day AS VARCHAR), count(*), count(DISTINCT visitor) FROM visits
+  WHERE day >= DATE '2024-01-30' - 9 GROUP BY day
+UNION ALL SELECT 'monthly', strftime(day, '%Y-%m'), count(*), count(DISTINCT visitor) FROM visits GROUP BY 2""")
+def visit_summary(spark, sf):
+    return visits.visit_summary(fx.visits(spark, sf), "2024-01-30", 10)
+
+
+# --- streams ----------------------------------------------------------------
+
+def visit_stream(spark, sf):
+    """The events table as a file stream."""
+    schema = fx.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return raw.select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("/"), "event_type", F.lit("/"), F.expr("event_id % 7")).alias("path"),
+        F.col("user_id").cast("string").alias("visitor"))
+
+
+def _drain(spark, stream, keys, mode="update"):
+    path = scratch(spark, "stream")
+    sinks.run_available(stream, f"{path}/out", f"{path}/checkpoint", mode)
+    return sinks.latest_by_key(spark, f"{path}/out", keys) if mode == "update" else spark.read.parquet(
+        f"{path}/out").drop("batch")
+
+
+@register("stream_page_views", with_sql(VISITS_SQL) + "SELECT day, path, count(*) AS views FROM visits GROUP BY 1, 2")
+def stream_page_views(spark, sf):
+    return _drain(spark, stream_visits.page_views(visit_stream(spark, sf)), ["day", "path"])
+
+
+@register("stream_visitor_days", with_sql(VISITS_SQL) + "SELECT DISTINCT visitor, day FROM visits")
+def stream_visitor_days(spark, sf):
+    return _drain(spark, stream_visits.visitor_days(visit_stream(spark, sf)), ["visitor", "day"], "append")
+
+
+@register("stream_visitors", with_sql(VISITS_SQL) + """
+SELECT visitor, min(day) AS first_seen, max(day) AS last_seen, count(*) AS visits FROM visits GROUP BY 1""")
+def stream_visitors(spark, sf):
+    return _drain(spark, stream_visits.visitors(visit_stream(spark, sf)), ["visitor"])
+
+
+@register("stream_week_ingest", with_sql(ENTRIES_SQL, GAPPED_SQL, """
+arrived AS (SELECT chart, date, rank, title, artist FROM gapped WHERE NOT (metric % 97 = 0)),
+whole AS (SELECT chart, date, string_agg(rank || '|' || lower(trim(title)), chr(10) ORDER BY rank) AS l FROM arrived GROUP BY 1, 2
+          HAVING min(rank) = 1 AND max(rank) = count(*)),
+good AS (SELECT chart, date FROM (SELECT *, lag(l) OVER (PARTITION BY chart ORDER BY date) AS pl FROM whole) t
+         WHERE l IS DISTINCT FROM pl)""") + "SELECT * FROM arrived WHERE (chart, date) IN (SELECT (chart, date) FROM good)")
+def stream_week_ingest(spark, sf):
+    path = scratch(spark, "weeks")
+    arrived = gapped(spark, sf).filter("metric % 97 <> 0").select("chart", "date", "rank", "title", "artist")
+    # Three deliveries: earlier years, later years, and the later ones again.
+    for i, part in enumerate((arrived.filter("date < date'1998-06-01'"), arrived.filter("date >= date'1998-06-01'"),
+                              arrived.filter("date >= date'1998-06-01'"))):
+        part.write.mode("overwrite").parquet(f"{path}/in/{i}")
+        stream = spark.readStream.schema(arrived.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        stream_weeks.ingest_weeks(stream, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out/weeks").drop("batch")
