@@ -1,7 +1,7 @@
 """Scalar text functions, all JVM-side."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlore.functions.credits import UNITS_SPLIT_PATTERN, primary_artist
@@ -59,26 +59,24 @@ def lead_artist(credit: Column) -> Column:
     return norm(F.get(F.split(credit, "(?i)" + UNITS_SPLIT_PATTERN, 2), F.lit(0)))
 
 
-def is_placeholder(title: Column) -> Column:
-    return norm(title).isin(list(PLACEHOLDER_TITLES))
-
-
-def unswap_title(title: Column, artist: Column) -> Column:
-    """Real title of a row filed as artist=<title>, title=<placeholder>."""
-    n = norm(title)
-    season = n.startswith("soundtrack") & (n != "soundtrack")
-    return F.when(is_placeholder(title), artist).when(
-        season, F.concat(artist, F.lit(" "),
-                         F.substring(title, F.lit(len("soundtrack") + 1), F.length(title)))
-    ).otherwise(title)
-
-
-def unswap_artist(title: Column, artist: Column) -> Column:
-    n = norm(title)
-    out = F.when(n.startswith("soundtrack"), F.lit("Soundtrack"))
-    for key, shown in PLACEHOLDER_TITLES.items():
-        out = out.when(n == key, F.lit(shown))
-    return out.otherwise(artist)
+def unswap(frame: DataFrame) -> DataFrame:
+    """Rows filed as artist=<title>, title=<placeholder> put right; a placeholder
+    with more text ("SOUNDTRACK, SEASON 1") keeps that text after the title."""
+    shown, title, artist = F.col("_shown"), F.col("title"), F.col("artist")
+    names = F.create_map(*[F.lit(x) for pair in PLACEHOLDER_TITLES.items() for x in pair])
+    more = F.startswith("_key", F.lit("soundtrack")) & F.element_at(names, F.col("_key")).isNull()
+    return (
+        # The key is a column of its own so that it is worked out once per row.
+        frame.withColumn("_key", norm(title))
+        .withColumn("_more", more)
+        .withColumn("_shown", F.when(F.col("_more"), "Soundtrack").otherwise(F.element_at(names, F.col("_key"))))
+        .withColumns({
+            "title": F.when(shown.isNull(), title)
+            .when(F.col("_more"), F.concat(artist, F.lit(" "), F.substring(
+                title, F.lit(len("soundtrack") + 1), F.length(title))))
+            .otherwise(artist),
+            "artist": F.coalesce(shown, artist)})
+        .drop("_key", "_more", "_shown"))
 
 
 def clean_title(raw: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartlore.functions.dates import plausible_capture
-from chartlore.functions.text import lead_artist, norm, number, title_key, unswap_artist, unswap_title
+from chartlore.functions.text import lead_artist, norm, number, title_key, unswap
 from chartlore.operators.ingest import source_precedence
 from chartlore.operators.quality import list_signature
 from chartlore.session import checkpoint_dir
@@ -143,12 +143,15 @@ def _probe(key):
     return out
 
 
-def _grams(key, lengths=_GRAMS, blank=True):
-    """Distinct substrings of the key of those lengths."""
-    pieces = [F.when(F.length(key) >= n, F.transform(
-        F.sequence(F.lit(1), F.length(key) - n + 1), lambda i, n=n: F.substring(key, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>")) for n in lengths]
-    return F.array_distinct(F.concat(*pieces, *([F.array(F.lit(""))] if blank else [])))
+def _pieces(key, n: int):
+    """All substrings of length n, none when the key is shorter."""
+    starts = F.sequence(F.lit(1), F.length(key) - (n - 1))
+    return F.when(F.length(key) >= n, F.transform(starts, lambda i: F.substring(key, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _grams(key):
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(key, n) for n in _GRAMS]))
 
 
 def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame:
@@ -166,7 +169,7 @@ def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
-                   unswap: bool = True) -> DataFrame:
+                   swapped: bool = True) -> DataFrame:
     """Source rows with the list entry each resolves to, or nulls.
 
     In order: title and lead artist; title alone if one entry carries it; same
@@ -175,10 +178,7 @@ def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     """
     at = list(at)
     title, artist = F.col("title"), F.col("artist")
-    r = rows
-    if unswap:
-        r = r.withColumns({"title": unswap_title(title, artist), "artist": unswap_artist(title, artist)})
-    r = r.withColumns({"k_t": title_key(F.col("title")), "k_a": lead_artist(F.col("artist"))})
+    r = (unswap(rows) if swapped else rows).withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
     line = F.struct("rank", "title", "artist")
     e = entries.withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
     by_both = e.groupBy(*at, "k_t", "k_a").agg(F.max(line).alias("last"), F.count("*").alias("n"))
@@ -228,9 +228,8 @@ def _candidates(missed: DataFrame, free: DataFrame, at: list[str]) -> DataFrame:
         .withColumn("prefix", F.lit(True)).withColumn("near", F.lit(False)))
 
     def runs(c):
-        return F.explode(F.concat(
-            F.when(F.length(c) <= 12, _grams(c, (2,), False)).otherwise(F.array().cast("array<string>")),
-            _grams(c, (3,), False)))
+        two = F.when(F.length(c) <= 12, _pieces(c, 2)).otherwise(F.array().cast("array<string>"))
+        return F.explode(F.array_distinct(F.concat(two, _pieces(c, 3))))
 
     both = F.length("k_t") + F.length("e_t")
     same = r.join(e, [F.col("k_t") == F.col("e_t"), *[r[c].eqNullSafe(e[c]) for c in at]]).select(

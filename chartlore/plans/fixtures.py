@@ -268,11 +268,11 @@ albums AS (
          CASE WHEN artist = 'Unknown' THEN act ELSE artist END AS artist, metric, act
   FROM entries)"""
 
-_SRC_TITLE = """CASE rank % 7 WHEN 1 THEN upper(title) WHEN 2 THEN concat(title, ' (EP)')
-  WHEN 3 THEN regexp_replace(title, ' [0-9]+$', '') WHEN 4 THEN 'SOUNDTRACK'
-  WHEN 5 THEN replace(title, 'in', 'ni') ELSE title END"""
-_SRC_ARTIST = """CASE rank % 7 WHEN 4 THEN title WHEN 5 THEN upper(artist)
-  WHEN 6 THEN concat(artist, ' feat. Someone') ELSE artist END"""
+_SRC_TITLE = """CASE rank % 13 WHEN 1 THEN upper(title) WHEN 2 THEN concat(title, ' (EP)')
+  WHEN 6 THEN regexp_replace(title, ' [0-9]+$', '') WHEN 11 THEN 'SOUNDTRACK'
+  WHEN 12 THEN replace(title, 'in', 'ni') ELSE title END"""
+_SRC_ARTIST = """CASE rank % 13 WHEN 11 THEN title WHEN 12 THEN upper(artist)
+  WHEN 3 THEN concat(artist, ' feat. Someone') ELSE artist END"""
 
 
 def source_rows(albums: DataFrame) -> DataFrame:

@@ -114,9 +114,7 @@ FROM part""")
 def swap_placeholders(spark, sf):
     title = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'SOUNDTRACK' WHEN 1 THEN 'VARIOUS ARTISTS' "
                    "WHEN 2 THEN 'SOUNDTRACK, SEASON 1' ELSE p_brand END")
-    return fx.table(spark, sf, "part").select(
-        "p_partkey", text.unswap_title(title, F.col("p_name")).alias("title"),
-        text.unswap_artist(title, F.col("p_name")).alias("artist"))
+    return text.unswap(fx.table(spark, sf, "part").select("p_partkey", title.alias("title"), F.col("p_name").alias("artist")))
 
 
 @register("number", """
