@@ -17,7 +17,7 @@ from chartlore.functions.dates import plausible_capture
 from chartlore.functions.text import lead_artist, norm, number, title_key, unswap
 from chartlore.operators.ingest import source_precedence
 from chartlore.operators.quality import list_signature
-from chartlore.session import checkpoint_dir
+from chartlore.session import staged
 
 # Fixed values of the matching rules.
 OFFSET_DAYS, MAX_LAG, MIN_FIT, SIMILAR, MIN_PREFIX = 9, 25, 7, 0.85, 4
@@ -160,7 +160,9 @@ def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame
     candidates come from an equi-join on those letters."""
     keys = [*at, "k_a"]
     r = rows.select(*keys, F.col("k_t").alias("r_t")).distinct()
-    e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n")
+    # Only artists with an open row need their titles cut up.
+    e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n").join(
+        r.select(*keys).distinct(), keys, "left_semi")
     row_in_entry = r.withColumn("g", _probe(F.col("r_t"))).join(
         e.withColumn("g", F.explode(_grams(F.col("e_t")))), [*keys, "g"]).filter(F.contains("e_t", "r_t"))
     entry_in_row = r.withColumn("g", F.explode(_grams(F.col("r_t")))).join(
@@ -181,22 +183,23 @@ def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     r = (unswap(rows) if swapped else rows).withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
     line = F.struct("rank", "title", "artist")
     e = entries.withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
-    by_both = e.groupBy(*at, "k_t", "k_a").agg(F.max(line).alias("last"), F.count("*").alias("n"))
+    # Both tables are read by several of the steps below: written once.
+    by_both = staged(e.groupBy(*at, "k_t", "k_a").agg(F.max(line).alias("last"), F.count("*").alias("n")), "keys")
     by_title = by_both.groupBy(*at, "k_t").agg(F.sum("n").alias("n"), F.max("last").alias("e2")).filter(
         "n = 1").drop("n")
-    known = (
+    known = staged(
         r.join(by_both.select(*at, "k_t", "k_a", F.col("last").alias("e1")), [*at, "k_t", "k_a"], "left")
         .join(by_title, [*at, "k_t"], "left")
-        .withColumn("e12", F.coalesce("e1", "e2")).drop("e1", "e2"))
+        .withColumn("e12", F.coalesce("e1", "e2")).drop("e1", "e2"), "known")
     open_keys = known.filter("e12 IS NULL AND k_t <> ''").select(*at, "k_t", "k_a")
     by_part = _containing(open_keys, by_both, at).groupBy(*at, "k_a", F.col("r_t").alias("k_t")).agg(
         F.sum("n").alias("n"), F.max("last").alias("e3")).filter("n = 1").drop("n")
     resolved = (known.join(by_part, [*at, "k_a", "k_t"], "left")
                 .withColumn("e", F.coalesce("e12", "e3")).drop("e12", "e3"))
-    first = resolved.filter("e IS NOT NULL").groupBy(*at, "e").agg(F.min("src_rank").alias("first"))
+    # Rows resolving to one entry are rows of one source list.
+    first = F.min("src_rank").over(W.partitionBy(*at, "e"))
     return (
-        resolved.join(first, [*at, "e"], "left")
-        .withColumn("e", F.when(F.col("src_rank") == F.col("first"), F.col("e")))
+        resolved.withColumn("e", F.when(F.col("src_rank") == first, F.col("e")))
         .select(*rows.columns, "k_t", "k_a", F.col("e.rank").alias("m_rank"),
                 F.col("e.title").alias("m_title"), F.col("e.artist").alias("m_artist")))
 
@@ -261,18 +264,16 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     many rounds as its longest chain of rows wanting the same entries.
     """
     at = list(at)
-    spark = matched.sparkSession
-    checkpoint_dir(spark)
     line = F.struct("rank", "title", "artist")
-    matched = matched.checkpoint()
+    matched = staged(matched, "matched")
     used = matched.filter("m_rank IS NOT NULL").select(
         *at, F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"),
                       F.col("m_artist").alias("artist")).alias("e"))
-    free = (
+    free = staged(
         entries.select(*at, line.alias("e"), title_key(F.col("title")).alias("k_t"),
                        lead_artist(F.col("artist")).alias("k_a"))
-        .distinct().join(used, [*at, "e"], "left_anti"))
-    cand = _candidates(matched.filter("m_rank IS NULL"), free, at).checkpoint()
+        .distinct().join(used, [*at, "e"], "left_anti"), "free")
+    cand = staged(_candidates(matched.filter("m_rank IS NULL"), free, at), "candidates")
     taken = None
     while not cand.isEmpty():
         line_head = cand.groupBy(*at, "e").agg(F.min("src_rank").alias("head"))
@@ -284,11 +285,13 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
             *at, "src_rank",
             F.when(F.col("n_prefix") == 1, F.col("e_prefix"))
             .when(F.col("n_alike") == 1, F.col("e_alike"))
-            .when(F.col("n_close") == 1, F.col("e_close")).alias("e")).checkpoint()
+            .when(F.col("n_close") == 1, F.col("e_close")).alias("e"))
+        ready = staged(ready, "decided")
         won = ready.filter("e IS NOT NULL")
         taken = won if taken is None else taken.unionByName(won)
-        cand = (cand.join(ready.drop("e"), [*at, "src_rank"], "left_anti")
-                .join(won.drop("src_rank"), [*at, "e"], "left_anti").checkpoint())
+        cand = staged(
+            cand.join(ready.drop("e"), [*at, "src_rank"], "left_anti")
+            .join(won.drop("src_rank"), [*at, "e"], "left_anti"), "candidates")
     if taken is None:
         return matched
     extra = taken.select(*at, "src_rank", F.col("e").alias("x"))
@@ -325,10 +328,10 @@ def build_units(captures: DataFrame, rows: DataFrame, entries: DataFrame,
     entities matched, the official figures taking precedence."""
     kept = rows.join(latest_capture(captures).select("chart", "week", "capture_id"),
                      ["chart", "week", "capture_id"], "left_semi")
-    kept = kept.join(copied_weeks(kept), ["chart", "week"], "left_anti")
+    kept = staged(kept.join(copied_weeks(kept), ["chart", "week"], "left_anti"), "kept")
     dates = entries.select("chart", "date").distinct()
     fits = best_fit(kept, entries, week_candidates(kept, dates))
-    placed = place_weeks(fits)
+    placed = place_weeks(staged(fits, "fits"))
     dated = kept.join(placed, ["chart", "week"])
     pairs = match_fuzzy(match_entities(dated, entries), entries).filter("m_rank IS NOT NULL")
     units = pairs.select(

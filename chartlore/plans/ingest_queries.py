@@ -1,8 +1,6 @@
 """Registered queries: scans, sinks, projections and filters."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from chartlore.functions.dates import plausible_capture, served_date
 from chartlore.operators import calendar, history, ingest, quality, stats, visits, yearend
 from chartlore.plans import fixtures as fx
 from chartlore.plans.fixtures import ENTRIES_SQL, GAPPED_SQL, REGISTRY_SQL, VISITS_SQL, YEAREND_SQL, with_sql
-from chartlore.session import checkpoint_dir
+from chartlore.session import scratch
 from chartlore.sources import lists, pages
 
 NAMES = ["red 0", "Small 1", "Guest", "blue 2", "nobody"]
@@ -30,10 +28,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @register("scan_chart_csv", with_sql(ENTRIES_SQL) + f"SELECT {_FILE} FROM entries")
 def scan_chart_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "list")

@@ -12,7 +12,8 @@ from chartlore.plans.fixtures import (
     ALBUMS_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, SOURCE_SQL, VISITS_SQL, YEAREND_SQL, sql_key,
     sql_lead_artist, sql_norm, sql_primary_artist, sql_primary_credit, sql_title_key, with_sql)
 from chartlore.plans.history_queries import _VERSUS_SQL
-from chartlore.plans.ingest_queries import NAMES, named_sql, scratch
+from chartlore.plans.ingest_queries import NAMES, named_sql
+from chartlore.session import scratch, staged
 from chartlore.streaming import sinks
 from chartlore.streaming import visits as stream_visits
 from chartlore.streaming import weeks as stream_weeks
@@ -448,8 +449,14 @@ def source(spark, sf):
     return fx.source_rows(fx.albums(spark, sf))
 
 
-def dated_source(spark, sf):
-    return source(spark, sf).withColumn("date", F.date_add("week", matching.OFFSET_DAYS))
+def both_sources(spark, sf):
+    """Lists and source rows, staged: the matching reads each several times."""
+    lists = staged(fx.albums(spark, sf), "albums")
+    return lists, fx.source_rows(lists)
+
+
+def dated(rows):
+    return rows.withColumn("date", F.date_add("week", matching.OFFSET_DAYS))
 
 
 @register("offset_join", with_sql(*_SRC) + """
@@ -478,7 +485,7 @@ fits AS (SELECT c.chart, c.week, c.date, CAST(count(*) FILTER (top.rank = ten.sr
 
 
 def fits(spark, sf):
-    rows, lists = source(spark, sf), fx.albums(spark, sf)
+    lists, rows = both_sources(spark, sf)
     return matching.best_fit(rows, lists, matching.week_candidates(rows, lists))
 
 
@@ -499,8 +506,10 @@ pairs AS (SELECT *, lead(l) OVER w AS nl, lead(week) OVER w AS nw, lead(coalesce
 SELECT chart, nw AS week FROM pairs WHERE l = nl AND coalesce(fit, 0) >= nf
 UNION SELECT chart, week FROM pairs WHERE l = nl AND coalesce(fit, 0) <= nf""")
 def copied_weeks(spark, sf):
-    own = fits(spark, sf).filter(F.datediff("date", "week") == 9).withColumn("fit", F.expr("overlap * 100 + exact"))
-    return matching.copied_weeks(source(spark, sf), own)
+    lists, rows = both_sources(spark, sf)
+    fit = matching.best_fit(rows, lists, matching.week_candidates(rows, lists))
+    own = fit.filter(F.datediff("date", "week") == 9).withColumn("fit", F.expr("overlap * 100 + exact"))
+    return matching.copied_weeks(rows, own)
 
 
 @register("copied_weeks_drop_both", with_sql(*_SRC, _CAND_SQL, _FIT_SQL, _COPY_SQL) + """
@@ -553,14 +562,15 @@ SELECT chart, date, week, src_rank, k_t, k_a, m AS m_rank, albums.title AS m_tit
 FROM fin LEFT JOIN albums ON albums.chart = fin.chart AND albums.date = fin.date AND albums.rank = fin.m""".replace(
     "SELECT chart, date, week", "SELECT fin.chart, fin.date, week"))
 def match_entities(spark, sf):
-    return matching.match_entities(dated_source(spark, sf), fx.albums(spark, sf)).select(
+    lists, rows = both_sources(spark, sf)
+    return matching.match_entities(dated(rows), lists).select(
         "chart", "date", "week", "src_rank", "k_t", "k_a", "m_rank", "m_title", "m_artist")
 
 
 @register("match_fuzzy")
 def match_fuzzy(spark, sf):
-    lists = fx.albums(spark, sf)
-    matched = matching.match_entities(dated_source(spark, sf), lists)
+    lists, rows = both_sources(spark, sf)
+    matched = matching.match_entities(dated(rows), lists)
     return matching.match_fuzzy(matched, lists).select(
         "chart", "date", "week", "src_rank", "m_rank", "m_title", "m_artist")
 
@@ -571,8 +581,8 @@ figs AS (SELECT chart, date, CASE extract(month FROM date) % 4 WHEN 0 THEN title
          CASE WHEN extract(month FROM date) % 4 = 3 THEN 'Nobody' ELSE artist END AS artist, metric AS units FROM albums WHERE rank = 1)"""
 
 
-def figures(spark, sf):
-    return fx.albums(spark, sf).filter("rank = 1").select(
+def figures(lists):
+    return lists.filter("rank = 1").select(
         "chart", "date", F.expr("CASE month(date) % 4 WHEN 0 THEN title WHEN 1 THEN concat(replace(upper(title), 'S', '$'), ' Deluxe') "
                                 "WHEN 2 THEN 'Something else' ELSE 'Other' END").alias("title"),
         F.expr("CASE WHEN month(date) % 4 = 3 THEN 'Nobody' ELSE artist END").alias("artist"),
@@ -584,7 +594,7 @@ SELECT f.chart, f.date, f.title, f.artist, units, a.title AS s_title, a.artist A
        CASE WHEN extract(month FROM f.date) % 4 = 3 THEN 'stored No. 1 is ' || a.title || ' by ' || a.artist END AS reason
 FROM figs f JOIN albums a ON a.chart = f.chart AND a.date = f.date AND a.rank = 1""")
 def pin_official(spark, sf):
-    return matching.pin_official(figures(spark, sf), fx.albums(spark, sf))
+    return matching.pin_official(figures(fx.albums(spark, sf)), fx.albums(spark, sf))
 
 
 _UNITS = """CASE WHEN rank % 5 = 0 THEN NULL ELSE metric + seq END"""
@@ -639,15 +649,16 @@ def override_join(spark, sf):
 
 @register("build_units")
 def build_units(spark, sf):
-    rows = source(spark, sf).withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("b")))
-    return matching.build_units(captures(spark, sf), rows, fx.albums(spark, sf), figures(spark, sf))
+    lists, rows = both_sources(spark, sf)
+    named = rows.withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("b")))
+    return matching.build_units(captures(rows), named, lists, figures(lists))
 
 
-def captures(spark, sf):
+def captures(rows):
     """Three captures of every source week: still building, final, too late."""
     kinds = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(d).alias("d"), F.lit(s).alias("status"))
                       for i, d, s in (("a", 3, "Building"), ("b", 10, "Final"), ("c", 60, "Final"))])
-    weeks = source(spark, sf).select("chart", "week").distinct().withColumn("k", F.explode(kinds))
+    weeks = rows.select("chart", "week").distinct().withColumn("k", F.explode(kinds))
     return weeks.select("chart", "week", F.expr("date_add(week, k.d)").alias("taken"), F.col("k.status").alias("status"),
                         F.concat_ws("/", "chart", "week", "k.id").alias("capture_id"))
 
@@ -655,7 +666,7 @@ def captures(spark, sf):
 @register("latest_capture", with_sql(*_SRC) + """
 SELECT DISTINCT chart, week, chart || '/' || week || '/b' AS capture_id, CAST(week + 10 AS DATE) AS taken FROM src""")
 def latest_capture(spark, sf):
-    return matching.latest_capture(captures(spark, sf))
+    return matching.latest_capture(captures(source(spark, sf)))
 
 
 # --- exports ----------------------------------------------------------------
