@@ -23,10 +23,15 @@ def published_weeks(entries: DataFrame, floor_year: int | None = None) -> DataFr
         F.lag("date").over(w).alias("prev_date"), F.lead("date").over(w).alias("next_date"))
 
 
-def with_week_index(entries: DataFrame, floor_year: int | None = None) -> DataFrame:
-    """Entries with their list's week number; undated rows are dropped."""
-    weeks = published_weeks(entries, floor_year).select("chart", "date", "week_idx")
-    return entries.join(weeks, ["chart", "date"])
+def with_week_index(entries: DataFrame, weeks: DataFrame | None = None) -> DataFrame:
+    """Entries with their list's week number; undated rows are dropped.
+
+    A stored calendar passed as `weeks` has a known size, so Spark can decide
+    between broadcasting it and sorting before it moves the history; worked out
+    on the fly it is only known to be small after the history was shuffled.
+    """
+    weeks = published_weeks(entries) if weeks is None else weeks
+    return entries.join(weeks.select("chart", "date", "week_idx"), ["chart", "date"])
 
 
 def weeks_list(entries: DataFrame) -> DataFrame:

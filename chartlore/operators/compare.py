@@ -14,7 +14,7 @@ RECURRENT_MIN_WEEKS, RECURRENT_RANK = 20, 25
 MIN_CLIMB, TOP_N = 20, 6
 
 
-def dropouts(entries: DataFrame, registry: DataFrame) -> DataFrame:
+def dropouts(entries: DataFrame, registry: DataFrame, weeks: DataFrame | None = None) -> DataFrame:
     """For every published week but the first: entries of the week before that
     are gone. Keys fold case; artist lists key on the title alone.
 
@@ -22,17 +22,17 @@ def dropouts(entries: DataFrame, registry: DataFrame) -> DataFrame:
     off a window on the key, so the history is shuffled once and not joined to
     itself.
     """
-    weeks = published_weeks(entries).filter("next_date IS NOT NULL")
+    weeks = published_weeks(entries) if weeks is None else weeks
     kinds = registry.select("chart", "kind")
     keyed = (
-        with_week_index(entries).join(kinds, "chart")
+        entries.join(weeks.select("chart", "date", "week_idx", "next_date"), ["chart", "date"]).join(kinds, "chart")
         .withColumn("k_title", match_key(F.col("title")))
         .withColumn("k_credit", F.when(F.col("kind") != "artist", match_key(F.col("artist")))))
     key = W.partitionBy("chart", "k_title", "k_credit").orderBy("week_idx")
-    gone = keyed.withColumn("next_n", F.count("*").over(key.rangeBetween(1, 1))).filter("next_n = 0")
+    gone = keyed.withColumn("next_n", F.count("*").over(key.rangeBetween(1, 1))).filter(
+        "next_n = 0 AND next_date IS NOT NULL")
     return (
-        gone.join(weeks.select("chart", "date", "next_date"), ["chart", "date"])
-        .select("chart", F.col("next_date").alias("current_week"), F.col("date").alias("previous_week"),
+        gone.select("chart", F.col("next_date").alias("current_week"), F.col("date").alias("previous_week"),
                 "title", F.when(F.col("kind") != "artist", F.col("artist")).alias("artist"),
                 safe_int(F.col("rank")).alias("rank"),
                 safe_int(F.col("weeks_on_chart")).alias("weeks")))
@@ -56,10 +56,10 @@ def recurrents(gone: DataFrame) -> DataFrame:
                        & (F.coalesce("rank", F.lit(0)) > RECURRENT_RANK))
 
 
-def week_over_week(entries: DataFrame) -> DataFrame:
+def week_over_week(entries: DataFrame, weeks: DataFrame | None = None) -> DataFrame:
     """Each ranked row with its exact pair's rank on the previous published
     week; null where it was not on the list."""
-    rows = with_week_index(entries.filter("rank IS NOT NULL")).withColumn(
+    rows = with_week_index(entries.filter("rank IS NOT NULL"), weeks).withColumn(
         "title", F.trim("title")).withColumn("artist", F.trim("artist"))
     pair = W.partitionBy("chart", "title", "artist").orderBy("week_idx").rangeBetween(-1, -1)
     return (
@@ -69,7 +69,7 @@ def week_over_week(entries: DataFrame) -> DataFrame:
 
 
 def weekly_news(entries: DataFrame, registry: DataFrame, lead_charts: list[str] = (),
-                min_climb: int = MIN_CLIMB, top_n: int = TOP_N) -> DataFrame:
+                min_climb: int = MIN_CLIMB, top_n: int = TOP_N, weeks: DataFrame | None = None) -> DataFrame:
     """News of the newest week any list carries, as rows of three sections:
     new number ones, climbs and new entries, each cut to `top_n` with its total.
 
@@ -77,7 +77,7 @@ def weekly_news(entries: DataFrame, registry: DataFrame, lead_charts: list[str]
     two weeks compared are read past the calendar.
     """
     rows = entries.join(registry.select("chart", "label", "kind", "ord"), "chart")
-    days = published_weeks(rows)
+    days = published_weeks(rows) if weeks is None else weeks.join(registry.select("chart"), "chart", "left_semi")
     latest = days.agg(F.max("date")).scalar()
     two = (
         days.filter(F.col("date") == latest).filter("prev_date IS NOT NULL")

@@ -22,7 +22,7 @@ def with_keys(entries: DataFrame) -> DataFrame:
         "k_artist", primary_artist(F.col("artist")))
 
 
-def chart_page(entries: DataFrame, floor_year: int | None = None, grower: bool = False) -> DataFrame:
+def chart_page(entries: DataFrame, weeks: DataFrame | None = None, grower: bool = False) -> DataFrame:
     """Every list page of every week in one pass.
 
     last_week is the rank on the previous published week, peak and weeks run up
@@ -31,34 +31,36 @@ def chart_page(entries: DataFrame, floor_year: int | None = None, grower: bool =
     serves every window: the finer windows are satisfied by it.
     """
     keyed = (
-        with_week_index(with_keys(entries), floor_year)
+        with_week_index(with_keys(entries), weeks)
         .withColumn("k_credit", match_key(F.col("artist"))))
     key = ["chart", "k_title", "k_artist"]
     run = W.partitionBy(*key).orderBy("week_idx")
+    week_before = run.rangeBetween(-1, -1)
     until_now = run.rangeBetween(W.unboundedPreceding, 0)
     before = run.rangeBetween(W.unboundedPreceding, -1)
-    credit = W.partitionBy(*key, "k_credit").orderBy("week_idx")
-
     page = (
         keyed
-        .withColumn("last_week", F.min("rank").over(run.rangeBetween(-1, -1)))
+        .withColumn("last_week", F.min("rank").over(week_before))
         .withColumn("peak", F.min("rank").over(until_now))
         .withColumn("prior_best", F.min("rank").over(before))
         .withColumn("charted_before", F.count("*").over(before) > 0)
-        .withColumn("island", F.col("week_idx") - F.dense_rank().over(run))
-        .withColumn("exact_weeks", F.dense_rank().over(credit)))
-    island = W.partitionBy(*key, "island")
-    in_island = W.partitionBy(*key, "k_credit", "island").orderBy("week_idx")
+        # A contiguous run is known by the week it starts with.
+        .withColumn("opens", F.when(F.count("*").over(week_before) == 0, F.col("week_idx")))
+        .withColumn("start", F.max("opens").over(until_now)))
+    # Starts grow with the weeks, so ordering a credit's weeks by start first
+    # changes nothing and lets both windows share one sort.
+    credit = W.partitionBy(*key, "k_credit").orderBy("start", "week_idx")
+    in_run = W.partitionBy(*key, "k_credit", "start").orderBy("week_idx")
     # All weeks under the exact credit, plus credit-variant weeks only inside
     # the contiguous run that ends here.
-    weeks = (F.col("exact_weeks") + F.col("week_idx") - F.min("week_idx").over(island) + 1
-             - F.dense_rank().over(in_island))
+    total = (F.dense_rank().over(credit) + F.col("week_idx") - F.col("start") + 1
+             - F.dense_rank().over(in_run))
     moved = F.col("last_week") - F.col("rank")
     change = (
         F.when(F.col("last_week").isNull(),
                F.when(F.col("charted_before"), "re-entry").otherwise("new"))
         .when(moved > 0, "up").when(moved < 0, "down").otherwise("same"))
-    page = page.withColumn("weeks", weeks.cast("int")).withColumn("change", change)
+    page = page.withColumn("weeks", total.cast("int")).withColumn("change", change)
     out = [
         "chart", "date", "rank", F.trim("title").alias("title"), F.trim("artist").alias("artist"),
         "last_week", "peak", "weeks", "change",
@@ -118,13 +120,13 @@ def artist_timeline(entries: DataFrame, artist: Column | str = "k_artist") -> Da
              F.trim(F.min_by("title", F.struct("rank", "title", "artist"))).alias("title")))
 
 
-def reign(entries: DataFrame, stop_at_gap: bool = False) -> DataFrame:
+def reign(entries: DataFrame, stop_at_gap: bool = False, weeks: DataFrame | None = None) -> DataFrame:
     """Consecutive weeks the current number one has held, and since when.
 
     A missing week does not end a run unless `stop_at_gap`.
     """
     pair = F.struct(F.trim("title").alias("title"), F.trim("artist").alias("artist"))
-    weeks = published_weeks(entries).select("chart", "date", "week_idx")
+    weeks = (published_weeks(entries) if weeks is None else weeks).select("chart", "date", "week_idx")
     # One row per list and week before any window: bounded by the calendar.
     ones = (
         entries.filter("rank = 1 AND date IS NOT NULL")

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartlore.operators.calendar import published_weeks
+from chartlore.session import scratch
+from chartlore.sources.lists import write_history
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,7 +59,32 @@ def _sales(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
         .agg(F.sum("l_quantity").cast("bigint").alias("metric")))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the history and its calendar, derived once per session and
+    scale as any history is stored once and queried often."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark, "history")
+        write_history(derive_entries(spark, sf_dir), f"{path}/entries")
+        stored = spark.read.parquet(f"{path}/entries")
+        published_weeks(stored).write.parquet(f"{path}/weeks")
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_store(spark, sf_dir)}/entries")
+
+
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored calendar."""
+    return spark.read.parquet(f"{_store(spark, sf_dir)}/weeks")
+
+
+def derive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chart, date, rank, title, artist, last_week, peak_position,
     weeks_on_chart, image_url, metric, act."""
     week = W.partitionBy("cno", "date").orderBy(F.desc("metric"), "name", "act")

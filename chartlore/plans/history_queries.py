@@ -51,12 +51,12 @@ _PAGE = with_sql(ENTRIES_SQL, KEYED_SQL, CALENDAR_SQL, _PAGE_SQL)
 SELECT *, concat_ws(' ', CASE WHEN change IN ('new', 're-entry') THEN change END,
                     CASE WHEN new_peak THEN 'peak' END) AS tags FROM page""")
 def chart_page(spark, sf):
-    return history.chart_page(fx.entries(spark, sf)).withColumn("tags", F.array_join("tags", " "))
+    return history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf)).withColumn("tags", F.array_join("tags", " "))
 
 
 @register("cumulative_weeks", _PAGE + "SELECT chart, date, rank, weeks FROM page")
 def cumulative_weeks(spark, sf):
-    return history.chart_page(fx.entries(spark, sf)).select("chart", "date", "rank", "weeks")
+    return history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf)).select("chart", "date", "rank", "weeks")
 
 
 @register("chart_page_growers", _PAGE + """
@@ -64,7 +64,7 @@ SELECT chart, date, rank, title, last_week FROM page JOIN (
   SELECT chart, date, ceil(count(*) * 0.05) AS need FROM entries GROUP BY 1, 2) d USING (chart, date)
 WHERE last_week - rank >= need""")
 def chart_page_growers(spark, sf):
-    return (history.chart_page(fx.entries(spark, sf), grower=True).filter("grower")
+    return (history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf), grower=True).filter("grower")
             .select("chart", "date", "rank", "title", "last_week"))
 
 
@@ -142,12 +142,12 @@ FROM runs WHERE run = 0 GROUP BY chart"""
 
 @register("reign", _reign_sql("lt <> title OR la <> artist"))
 def reign(spark, sf):
-    return history.reign(fx.entries(spark, sf))
+    return history.reign(fx.entries(spark, sf), weeks=fx.weeks(spark, sf))
 
 
 @register("reign_stop_at_gap", _reign_sql("lt <> title OR la <> artist OR li - week_idx > 1"))
 def reign_stop_at_gap(spark, sf):
-    return history.reign(fx.entries(spark, sf), stop_at_gap=True)
+    return history.reign(fx.entries(spark, sf), stop_at_gap=True, weeks=fx.weeks(spark, sf))
 
 
 # --- statistics -------------------------------------------------------------
@@ -436,7 +436,7 @@ _DROP = with_sql(ENTRIES_SQL, REGISTRY_SQL, CALENDAR_SQL, _DROP_SQL)
 
 @register("dropouts", _DROP + "SELECT * FROM dropped")
 def dropouts(spark, sf):
-    return compare.dropouts(fx.entries(spark, sf), fx.registry(spark, sf))
+    return compare.dropouts(fx.entries(spark, sf), fx.registry(spark, sf), fx.weeks(spark, sf))
 
 
 @register("dropouts_on", _DROP + """
@@ -447,7 +447,7 @@ def dropouts_on(spark, sf):
 
 @register("recurrents", _DROP + "SELECT * FROM dropped WHERE weeks >= 20 AND rank > 25")
 def recurrents(spark, sf):
-    return compare.recurrents(compare.dropouts(fx.entries(spark, sf), fx.registry(spark, sf)))
+    return compare.recurrents(compare.dropouts(fx.entries(spark, sf), fx.registry(spark, sf), fx.weeks(spark, sf)))
 
 
 _WOW_SQL = """
@@ -460,7 +460,7 @@ wow AS (SELECT a.chart, a.date, trim(a.title) AS title, trim(a.artist) AS artist
           + "SELECT chart, date, title, artist, rank, min(was) AS was, min(was) - rank AS gain "
           "FROM wow GROUP BY chart, date, title, artist, rank")
 def week_over_week(spark, sf):
-    return compare.week_over_week(fx.entries(spark, sf))
+    return compare.week_over_week(fx.entries(spark, sf), fx.weeks(spark, sf))
 
 
 LEADS = ["list_4", "list_2"]
@@ -490,7 +490,8 @@ SELECT section, week, chart, label, kind, title, artist, rank, was, was_title, w
        CAST(total AS INT) AS total
 FROM news JOIN (SELECT section, count(*) AS total FROM news GROUP BY 1) t USING (section) WHERE place <= 6""")
 def weekly_news(spark, sf):
-    return compare.weekly_news(fx.entries(spark, sf), fx.registry(spark, sf), LEADS, min_climb=5)
+    return compare.weekly_news(fx.entries(spark, sf), fx.registry(spark, sf), LEADS, min_climb=5,
+                               weeks=fx.weeks(spark, sf))
 
 
 @register("news_cuts", with_sql(ENTRIES_SQL) + """

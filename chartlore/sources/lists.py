@@ -74,11 +74,11 @@ def scan_all_charts(spark: SparkSession, path: str, registry: DataFrame | None =
 
 
 def write_history(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The stored history: Parquet, one folder per list. Rows are spread within
-    a list by week, so a large list does not end in one writer."""
-    (entries.repartition("chart", F.trunc("date", "quarter"))
-     .sortWithinPartitions("chart", "date", "rank")
-     .write.mode(mode).partitionBy("chart").parquet(path))
+    """The stored history: Parquet laid out by ranges of list and week, so that
+    filters on either skip files and row groups, a large list is spread over
+    many writers, and many small lists do not become many small files."""
+    (entries.repartitionByRange("chart", "date").sortWithinPartitions("chart", "date", "rank")
+     .write.mode(mode).parquet(path))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
