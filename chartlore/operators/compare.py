@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartlore.functions.text import match_key, safe_int
 from chartlore.operators.calendar import published_weeks, with_week_index
+from chartlore.session import staged
 
 # The retirement rule of recurrents, the least climb that is
 # news, and the length of each news section.
@@ -90,6 +91,8 @@ def weekly_news(entries: DataFrame, registry: DataFrame, lead_charts: list[str]
         .groupBy("chart", "label", "kind", "ord", "week", "date", F.trim("title").alias("title"),
                  F.trim("artist").alias("artist")).agg(F.min("rank").alias("rank"))
         .withColumn("was", F.min("rank").over(pair)))
+    # Two weeks per list, read by every section.
+    both = staged(both, "news")
     now = both.filter(F.col("date") == F.col("week"))
     before = (
         both.filter((F.col("date") < F.col("week")) & (F.col("rank") == 1))

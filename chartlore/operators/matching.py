@@ -102,6 +102,7 @@ def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
        Neighbours are those of step 1.
     3. Of two weeks on one date the better fit stays, none on a tie.
     """
+    fits = staged(fits, "fits")
     best = W.partitionBy("chart", "week").orderBy(F.desc("exact"), F.desc("overlap"), F.desc("date"))
     ranked = fits.withColumn("lag", F.datediff("date", "week")).withColumn(
         "n", F.row_number().over(best))
@@ -154,20 +155,33 @@ def _grams(key):
     return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(key, n) for n in _GRAMS]))
 
 
+# An artist with more titles than this on one list is compared by letters.
+_FEW_TITLES = 32
+
+
 def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame:
     """Row keys and entries of one lead artist where one title key contains the
-    other. A contained key's first letters occur in the containing key, so the
-    candidates come from an equi-join on those letters."""
+    other.
+
+    Almost every artist has a few titles on a list, and those are compared
+    directly. For the others the candidates come from an equi-join on letters:
+    the first letters of a contained key occur in the containing one.
+    """
     keys = [*at, "k_a"]
     r = rows.select(*keys, F.col("k_t").alias("r_t")).distinct()
-    # Only artists with an open row need their titles cut up.
-    e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n").join(
-        r.select(*keys).distinct(), keys, "left_semi")
+    e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n")
+    busy = entries.groupBy(*keys).agg((F.count("*") > _FEW_TITLES).alias("many"))
+    r = r.join(busy, keys)
+    few = r.filter("NOT many").drop("many").join(e, keys).filter(
+        F.contains("e_t", "r_t") | F.contains("r_t", "e_t"))
+    r = r.filter("many").drop("many")
+    e = e.join(r.select(*keys).distinct(), keys, "left_semi")
     row_in_entry = r.withColumn("g", _probe(F.col("r_t"))).join(
         e.withColumn("g", F.explode(_grams(F.col("e_t")))), [*keys, "g"]).filter(F.contains("e_t", "r_t"))
     entry_in_row = r.withColumn("g", F.explode(_grams(F.col("r_t")))).join(
         e.withColumn("g", _probe(F.col("e_t"))), [*keys, "g"]).filter(F.contains("r_t", "e_t"))
-    return row_in_entry.unionByName(entry_in_row).drop("g").dropDuplicates([*keys, "r_t", "e_t"])
+    many = row_in_entry.unionByName(entry_in_row).drop("g").dropDuplicates([*keys, "r_t", "e_t"])
+    return few.unionByName(many)
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
@@ -331,7 +345,7 @@ def build_units(captures: DataFrame, rows: DataFrame, entries: DataFrame,
     kept = staged(kept.join(copied_weeks(kept), ["chart", "week"], "left_anti"), "kept")
     dates = entries.select("chart", "date").distinct()
     fits = best_fit(kept, entries, week_candidates(kept, dates))
-    placed = place_weeks(staged(fits, "fits"))
+    placed = place_weeks(fits)
     dated = kept.join(placed, ["chart", "week"])
     pairs = match_fuzzy(match_entities(dated, entries), entries).filter("m_rank IS NOT NULL")
     units = pairs.select(

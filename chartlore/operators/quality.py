@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartlore.functions.text import match_key
-from chartlore.operators.calendar import non_weekly_steps, published_weeks
+from chartlore.operators.calendar import published_weeks
 from chartlore.operators.compare import shared_title_deltas
 
 DEFAULT_FLOOR = 20   # fixed value: least rows of a list without a measured floor
@@ -160,27 +160,32 @@ def baseline_ratchet(findings: DataFrame, baseline: DataFrame, keys: list[str])
             .unionByName(b.join(f, keys, "left_anti").withColumn("status", F.lit("stale"))))
 
 
-def verify_lists(entries: DataFrame, known_clamped: DataFrame, raw_date: str | None = None) -> DataFrame:
+def verify_lists(entries: DataFrame, known_clamped: DataFrame) -> DataFrame:
     """chart, severity, check, findings: hard failures (unreadable dates,
     duplicates, new clamped weeks) and warnings (steps, known clamped weeks,
-    thin weeks)."""
-    def count(frame: DataFrame, severity: str, check: str, n: Column | None = None) -> DataFrame:
-        return (frame.groupBy("chart").agg((F.count("*") if n is None else n).cast("int").alias("findings"))
-                .filter("findings > 0")
-                .select("chart", F.lit(severity).alias("severity"), F.lit(check).alias("check"), "findings"))
-
-    bad = entries.filter("date IS NULL")
-    if raw_date is not None:
-        bad = entries.filter(F.col("date").isNull() & F.col(raw_date).isNotNull())
-    clamped = clamped_weeks(entries)
-    known = known_clamped.select("chart", "date")
-    return (
-        count(bad, "fail", "unreadable dates")
-        .unionByName(count(duplicates(entries), "fail", "duplicates", F.sum(F.col("copies") - 1)))
-        .unionByName(count(clamped.join(known, ["chart", "date"], "left_anti"), "fail", "new clamped"))
-        .unionByName(count(non_weekly_steps(entries), "warn", "non-weekly steps"))
-        .unionByName(count(clamped.join(known, ["chart", "date"], "left_semi"), "warn", "known clamped"))
-        .unionByName(count(list_depth(entries).filter("thin"), "warn", "thin weeks")))
+    thin weeks). Two passes over the history: by week and by position."""
+    w = W.partitionBy("chart").orderBy("date")
+    known = known_clamped.select("chart", "date", F.lit(True).alias("known")).distinct()
+    clamped, accepted = F.col("signature") == F.col("prev_sig"), F.col("known").isNotNull()
+    by_week = (
+        ranking_signatures(entries.filter("date IS NOT NULL"), ["chart", "date"], fold=True)
+        .withColumn("prev_sig", F.lag("signature").over(w))
+        .withColumn("days", F.datediff("date", F.lag("date").over(w)))
+        .join(known, ["chart", "date"], "left").groupBy("chart").agg(
+            F.count_if(clamped & ~accepted).alias("new clamped"),
+            F.count_if(clamped & accepted).alias("known clamped"),
+            F.count_if(F.col("days") != 7).alias("non-weekly steps"),
+            F.count_if(F.col("n") < THIN_WEEK).alias("thin weeks")))
+    by_position = entries.groupBy("chart", "date", "rank").agg(F.count("*").alias("n")).groupBy("chart").agg(
+        F.sum(F.when(F.col("date").isNull(), F.col("n"))).alias("unreadable dates"),
+        F.sum(F.when(F.col("date").isNotNull(), F.col("n") - 1)).alias("duplicates"))
+    checks = [("fail", "unreadable dates"), ("fail", "duplicates"), ("fail", "new clamped"),
+              ("warn", "non-weekly steps"), ("warn", "known clamped"), ("warn", "thin weeks")]
+    lines = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("severity"), F.lit(c).alias("check"),
+                 F.col(f"`{c}`").cast("int").alias("findings")) for s, c in checks]))
+    return (by_position.join(by_week, "chart", "left").select("chart", lines.alias("l"))
+            .select("chart", "l.*").filter("findings > 0"))
 
 
 def prove_feed(stored: DataFrame, feeds: DataFrame) -> DataFrame:

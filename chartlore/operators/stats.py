@@ -6,6 +6,7 @@ the rows costs its distinct titles and weeks, not its rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartlore.functions.credits import is_solo_name, names_artist, primary_artist, primary_credit
@@ -91,9 +92,9 @@ def artist_coverage(entries: DataFrame, registry: DataFrame, names: list[str]) -
     rows = artist_rows(entries, names).join(lists.select("chart", "kind"), "chart")
     stats = artist_stats(rows, by="name")
     n_lists = registry.agg(F.count("*")).scalar()
-    hidden = stats.groupBy("name").agg((n_lists - F.count("*")).cast("int").alias("hidden"))
-    return (stats.join(lists.drop("kind"), "chart").join(hidden, "name")
-            .orderBy("name", "ord"))
+    reached = F.count("*").over(W.partitionBy("name"))
+    return (stats.join(lists.drop("kind"), "chart")
+            .withColumn("hidden", (n_lists - reached).cast("int")).orderBy("name", "ord"))
 
 
 def default_chart(coverage: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartlore.functions import credits, dates, text
 from chartlore.operators import (
-    history, ingest, matching, quality, reshape, stats, titles, visits, yearend)
+    calendar, history, ingest, matching, quality, reshape, stats, titles, visits, yearend)
 from chartlore.plans import fixtures as fx
 from chartlore.plans.fixtures import (
     ALBUMS_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, SOURCE_SQL, VISITS_SQL, YEAREND_SQL, sql_key,
@@ -284,7 +284,7 @@ SELECT chart, prev_date, date, date - prev_date AS days FROM (
   SELECT chart, date, lag(date) OVER (PARTITION BY chart ORDER BY date) AS prev_date FROM (
     SELECT DISTINCT chart, date FROM gapped) d) s WHERE date - prev_date <> 7""")
 def non_weekly_steps(spark, sf):
-    return quality.non_weekly_steps(gapped(spark, sf))
+    return calendar.non_weekly_steps(gapped(spark, sf))
 
 
 _KNOWN_SQL = "known AS (SELECT chart, date FROM clamped WHERE extract(year FROM date) < 1999 UNION ALL " \

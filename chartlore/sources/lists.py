@@ -74,10 +74,10 @@ def scan_all_charts(spark: SparkSession, path: str, registry: DataFrame | None =
 
 
 def write_history(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The stored history: Parquet laid out by ranges of list and week, so that
-    filters on either skip files and row groups, a large list is spread over
-    many writers, and many small lists do not become many small files."""
-    (entries.repartitionByRange("chart", "date").sortWithinPartitions("chart", "date", "rank")
+    """The stored history: Parquet sorted by list and week, so that filters on
+    either skip row groups. Rows are spread by list and quarter: a large list
+    has many writers, and many small lists do not become many small files."""
+    (entries.repartition("chart", F.trunc("date", "quarter")).sortWithinPartitions("chart", "date", "rank")
      .write.mode(mode).parquet(path))
 
 

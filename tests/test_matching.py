@@ -91,3 +91,25 @@ def test_place_weeks_moves_the_odd_one(spark):
         "chart", "cast(week AS date) AS week", "date_add(cast(week AS date), lag) AS date", "exact", "overlap")
     got = [(x.date - x.week).days for x in matching.place_weeks(fits).collect()]
     assert got == [9] * 5
+
+
+def test_containment_of_a_busy_artist(spark):
+    # One artist holds all of a list: the letter join must find what comparing
+    # every pair finds.
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("abc") for _ in range(rng.choice((1, 3, 5, 9)))) for _ in range(60)]
+    shown = sorted({"x" + s + rng.choice(["", "qq", "rest"]) for s in stems})
+    asked = sorted({s[rng.randrange(2):] for s in shown} - set(shown))
+    e = spark.createDataFrame([("a", 1, i, t, "Busy") for i, t in enumerate(shown)],
+                              "chart string, date int, rank int, title string, artist string")
+    r = spark.createDataFrame([("a", 1, i, t, "Busy") for i, t in enumerate(asked)],
+                              "chart string, date int, src_rank int, title string, artist string")
+    assert len(shown) > matching._FEW_TITLES
+    got = {x.src_rank: x.m_rank for x in matching.match_entities(r, e).collect()}
+    want, used = {}, set()
+    for i, t in enumerate(asked):
+        fits = [k for k, s in enumerate(shown) if t in s or s in t]
+        hit = fits[0] if len(fits) == 1 and fits[0] not in used else None
+        used.add(hit)
+        want[i] = hit
+    assert got == want and any(v is not None for v in want.values())

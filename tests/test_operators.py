@@ -126,7 +126,7 @@ def test_quality(spark, entries):
     base = [("a", W[0], r, f"T{r}", "X") for r in (1, 2, 3)]
     e = entries(base + [("a", W[1], r, f" t{r}", "Y") for _, _, r, _, _ in base] + [("a", W[3], 1, "T3", "X"), ("a", W[3], 3, "T1", "X")])
     assert [r.date for r in quality.clamped_weeks(e).collect()] == [d(W[1])]
-    assert [r.date for r in quality.non_weekly_steps(e).collect()] == [d(W[3])]
+    assert [r.date for r in calendar.non_weekly_steps(e).collect()] == [d(W[3])]
     whole = quality.refuse_incomplete_ranks(e, ["chart", "date"])
     assert {r.date for r in whole.collect()} == {d(W[0]), d(W[1])}
     feeds = e.withColumn("feed", F.lit("f"))
