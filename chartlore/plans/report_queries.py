@@ -9,7 +9,7 @@ from chartlore.operators import (
     calendar, history, ingest, matching, quality, reshape, stats, titles, visits, yearend)
 from chartlore.plans import fixtures as fx
 from chartlore.plans.fixtures import (
-    ALBUMS_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, SOURCE_SQL, VISITS_SQL, YEAREND_SQL, sql_key,
+    ALBUMS_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, SOURCE_SQL, VISITS_SQL, YEAREND_SQL,
     sql_lead_artist, sql_norm, sql_primary_artist, sql_primary_credit, sql_title_key, with_sql)
 from chartlore.plans.history_queries import _VERSUS_SQL
 from chartlore.plans.ingest_queries import NAMES, named_sql
@@ -616,12 +616,9 @@ uone AS (SELECT chart, date, title, artist, units, source FROM (
   FROM urows WHERE units IS NOT NULL) t WHERE n = 1)"""
 
 
-@register("source_precedence", with_sql(ENTRIES_SQL, _UNITS_SQL) + "SELECT chart, date, title, artist, units, source FROM uone WHERE chart NOT IN ('list_3', 'list_11')")
+@register("source_precedence", with_sql(ENTRIES_SQL, _UNITS_SQL) + "SELECT chart, date, title, artist, units, source FROM uone")
 def source_precedence(spark, sf):
-    # Artist lists repeat (title, artist) within a week only by fixture; they
-    # are left to units_join's keys.
-    rows = unit_rows(spark, sf).filter("chart NOT IN ('list_3', 'list_11')")
-    return ingest.source_precedence(rows, "official").select("chart", "date", "title", "artist", "units", "source")
+    return ingest.source_precedence(unit_rows(spark, sf), "official").select("chart", "date", "title", "artist", "units", "source")
 
 
 @register("units_join", with_sql(ENTRIES_SQL, _UNITS_SQL) + """
@@ -698,7 +695,7 @@ def rank_long(spark, sf):
     return reshape.rank_long(fx.entries(spark, sf), ["chart"])
 
 
-def _melt(frame, sep=None):
+def _melt(frame):
     """A pivot read back as (date, header, rank), for comparison."""
     names = [c for c in frame.columns if c != "date"]
     quoted = [f"`{n}`" for n in names]

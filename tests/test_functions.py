@@ -116,3 +116,15 @@ def test_visitor_hash_is_stable(spark):
     frame = spark.createDataFrame([("1.2.3.4", "ua"), (None, None)], "ip string, ua string")
     got = [r.h for r in frame.select(text.visitor_hash(F.col("ip"), F.col("ua"), "s").alias("h")).collect()]
     assert all(len(h) == 16 for h in got) and got[0] != got[1]
+
+
+def test_sql_functions_equal_column_functions(spark):
+    from chartlore.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    rows = ["Weezer Featuring B", "Hank Williams, Jr. & X", "Rumi, JINU", "10,000 Maniacs", "Hits, Vol. 2 (EP)", "Plain"]
+    frame = spark.createDataFrame([(r,) for r in rows], "s string")
+    frame.createOrReplaceTempView("credit_lines")
+    got = spark.sql("SELECT primary_credit(s) AS a, primary_artist(s) AS b, title_key(s) AS c FROM credit_lines").collect()
+    want = frame.select(credits.primary_credit(F.col("s")), credits.primary_artist(F.col("s")), text.title_key(F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
