@@ -1,9 +1,17 @@
 """Small helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import chartlore
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -14,3 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that
+    functions which run there can be imported wherever the driver found them."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root, folder = Path(chartlore.__file__).parent, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file while it runs
+    path = Path(folder, "chartlore-package.zip")
+    with zipfile.ZipFile(path, "w") as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, str(Path(root.name, file.relative_to(root))))
+    context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)

@@ -2,9 +2,11 @@
 to its whole table. name -> (callable(spark, sf_dir), oracle SQL or None)."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from chartlore.llm import secret_scan
+from chartlore.llm import edit_leaks, prefix_bpe, secret_scan, url_filter
 from chartlore.llm.common import table
 
 
@@ -60,6 +62,31 @@ SELECT doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 FROM documents LEFT JOIN per USING (doc_id)
 """
 
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def word_model() -> str:
+    """The public word-end BPE file; CHARTLORE_BPE names another one."""
+    if found := os.environ.get("CHARTLORE_BPE"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.bpe_report(table(spark, sf_dir, "documents"), word_model())
+
+
+def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
+    "op6_url_filter": (op6_url_filter, None),
+    "op9_bpe": (op9_bpe, None),
+    "op10_edit_leaks": (op10_edit_leaks, None),
 }
