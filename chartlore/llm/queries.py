@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartlore.llm import edit_leaks, prefix_bpe, secret_scan, url_filter
+from chartlore.llm import edit_leaks, prefix_bpe, secret_scan, toxicity, url_filter
 from chartlore.llm.common import table
 
 
@@ -63,6 +63,10 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -86,6 +90,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
+    "op3_toxicity": (op3_toxicity, None),
     "op6_url_filter": (op6_url_filter, None),
     "op9_bpe": (op9_bpe, None),
     "op10_edit_leaks": (op10_edit_leaks, None),
