@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartlore.llm import edit_leaks, prefix_bpe, secret_scan, toxicity, url_filter
+from chartlore.llm import edit_leaks, prefix_bpe, quality_forest, secret_scan, site_quality, toxicity, url_filter
 from chartlore.llm.common import table
 
 
@@ -67,6 +67,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -91,7 +99,9 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_site_quality": (op4_site_quality, None),
     "op6_url_filter": (op6_url_filter, None),
+    "op8_quality_forest": (op8_quality_forest, None),
     "op9_bpe": (op9_bpe, None),
     "op10_edit_leaks": (op10_edit_leaks, None),
 }
