@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from chartlore.llm.common import ship_package
 
 MAX_MODEL_BYTES = 64 << 20
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 500_000
+SLICE = 256
 _END = 0x400  # added to a symbol that ends a word
 _NEVER = 1 << 60
 # White space as Unicode lists it; Python's own split also takes the four below.
@@ -214,9 +215,10 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _model(spec.value)
         for texts in batches:
-            packed = [model.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": pd.Series(packed, dtype=object),
-                                "decoded": pd.Series([model.decode(p) for p in packed], dtype=object)})
+            for at in range(0, len(texts), SLICE):  # ids and texts of few rows at a time
+                packed = [model.encode(t) for t in texts.iloc[at:at + SLICE]]
+                yield pd.DataFrame({"ids": pd.Series(packed, dtype=object),
+                                    "decoded": pd.Series([model.decode(p) for p in packed], dtype=object)})
 
     out = docs.select(F.struct("*").alias("_row"), run(F.col(text)).alias("_bpe"))
     return out.select("_row.*", F.col("_bpe.ids").alias(ids), F.col("_bpe.decoded").alias(decoded))
