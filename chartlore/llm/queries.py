@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartlore.llm import edit_leaks, prefix_bpe, quality_forest, secret_scan, site_quality, toxicity, url_filter
+from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, site_quality, toxicity, url_filter
 from chartlore.llm.common import table
 
 
@@ -75,6 +75,10 @@ def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
     "op3_toxicity": (op3_toxicity, None),
     "op4_site_quality": (op4_site_quality, None),
+    "op5_order_minhash": (op5_order_minhash, None),
     "op6_url_filter": (op6_url_filter, None),
     "op8_quality_forest": (op8_quality_forest, None),
     "op9_bpe": (op9_bpe, None),
