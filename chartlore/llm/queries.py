@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, site_quality, toxicity, url_filter
+from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, sharding, site_quality, toxicity, url_filter
 from chartlore.llm.common import table
 
 
@@ -63,6 +63,26 @@ FROM documents LEFT JOIN per USING (doc_id)
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no, coalesce(strlen(text), 0) n_bytes,
+         lpad(bin(('0x' || substr(md5(coalesce(cast(doc_id AS VARCHAR), '')), 1, 12))::UBIGINT), 48, '0')
+         || lpad(bin(('0x' || substr(md5(coalesce(text, '')), 1, 12))::UBIGINT), 48, '0') bits
+  FROM documents),
+steps AS (SELECT *, unnest(range(0, {sharding.ALL_BITS} + 1)) AS depth FROM d),
+fits AS (
+  SELECT depth, substr(bits, 1, depth) AS shard FROM steps GROUP BY ALL
+  HAVING sum(n_bytes) <= {sharding.LIMIT} OR count(*) = 1 OR depth = {sharding.ALL_BITS}),
+leaf AS (SELECT s.row_no, s.doc_id, s.bits, s.n_bytes, min(s.depth) shard_depth
+  FROM steps s JOIN fits f ON s.depth = f.depth AND substr(s.bits, 1, s.depth) = f.shard GROUP BY ALL)
+SELECT doc_id, substr(bits, 1, shard_depth) shard, cast(shard_depth AS INTEGER) shard_depth, cast(n_bytes AS BIGINT) n_bytes FROM leaf
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,6 +122,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
+    "op2_sharding": (op2_sharding, OP2_SQL),
     "op3_toxicity": (op3_toxicity, None),
     "op4_site_quality": (op4_site_quality, None),
     "op5_order_minhash": (op5_order_minhash, None),
