@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import zipfile
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import chartlore
+from chartlore.session import staged
 
+MAX_BROADCAST_ROWS = 100_000
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,6 +27,25 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def word_model() -> str:
+    """The public word-end BPE file; CHARTLORE_BPE names another one."""
+    if found := os.environ.get("CHARTLORE_BPE"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def bounded_rows(labelled: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
+    """About `bound` rows of `labelled` (all, if it has no more), chosen by the
+    hash of the key, written once to the shared folder. At this size they may be
+    broadcast: the hint is given only after the count."""
+    scale, n = 1 << 30, labelled.count()
+    share = int(scale * min(1.0, bound / max(1, n)))
+    rows = staged(labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(scale)) < share), "labelled-rows")
+    return F.broadcast(rows) if min(n, 2 * bound) <= MAX_BROADCAST_ROWS else rows
+
+
 _SHIPPED: set[str] = set()
 
 

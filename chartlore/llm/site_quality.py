@@ -26,14 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartlore.llm.common import ship_package
+from chartlore.llm.common import bounded_rows, ship_package
 from chartlore.llm.fitting import fit_logistic, probability
 from chartlore.llm.text_rules import FIELDS, RATIOS, ratios, text_rules, with_rules
 from chartlore.session import staged
 
 SAMPLE_ROWS = 20_000
 CUT = 0.3
-_SCALE = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -50,9 +49,7 @@ class Evidence:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> Evidence:
-    known = _labels(labels, key)
-    share = int(_SCALE * min(1.0, sample_rows / max(1, known.count())))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(4), F.col(key)), F.lit(_SCALE)) < share)
+    chosen = bounded_rows(_labels(labels, key), key, sample_rows, 4)
     rows = docs.select(key, F.col(text).alias("_text")).join(chosen, key).select(
         F.col("quality"), with_rules(F.col("_text")).alias("r")).select("quality", "r.*").toPandas()
     x, y = ratios(rows), rows.quality.to_numpy(float)

@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartlore.llm.common import ship_package
+from chartlore.llm.common import bounded_rows, ship_package
 from chartlore.llm.fitting import fit_logistic, probability
+from chartlore.session import staged
 
-SAMPLE_TOXIC = 6_000
-SAMPLE_CLEAN = 12_000
+SAMPLE_TOXIC = 4_000
+SAMPLE_CLEAN = 8_000
 MAX_FORMS = 5_000
 BEGINNINGS = (4, 5, 6)
 CUT = 0.7
@@ -190,12 +191,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, tox
     known = labels.select(F.col(key), F.col("toxic").cast("int").alias("toxic")).where(
         F.col(key).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col(key)))
     known = known.groupBy(key).agg(F.max("toxic").alias("toxic"))
-    n = known.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    scale = 1 << 30
-    share = F.when(F.col("toxic") == 1, int(scale * min(1.0, toxic_bound / max(1, n.t or 0)))).otherwise(
-        int(scale * min(1.0, clean_bound / max(1, n.c or 0))))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(scale)) < share)
-    rows = docs.select(key, F.col(text).alias("text")).where(F.col(text).isNotNull()).join(chosen, key)
+    chosen = bounded_rows(known.where("toxic = 1"), key, toxic_bound, 3).union(
+        bounded_rows(known.where("toxic = 0"), key, clean_bound, 3))
+    rows = docs.select(key, F.col(text).alias("text")).where(F.col(text).isNotNull()).join(F.broadcast(chosen), key)
+    rows = staged(rows, "labelled-texts")
     # Copies of one toxic text would make all its rare words look toxic: of rows
     # that share their least sentence hash, the least key stays.
     rows = rows.withColumn("_copy", least_sentence(F.col("text")))
@@ -220,15 +219,16 @@ def learn_forms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     if not toxic or not clean:
         return []
     least = max(4, math.ceil(math.log(2e7) / -math.log(toxic / (toxic + clean))))
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    words = sample.select("toxic", F.xxhash64("doc_id").alias("doc"), word).where(F.length("word").between(3, 40))
-    forms = words.select("toxic", "doc", F.explode(F.array_distinct(F.array(
-        F.struct(F.lit(True).alias("whole"), F.col("word").alias("form")),
-        *(F.struct(F.lit(False).alias("whole"), F.when(F.length("word") > n, F.substring("word", 1, n)).alias("form"))
-          for n in BEGINNINGS)))).alias("f")).where("f.form IS NOT NULL").select("toxic", "doc", "f.whole", "f.form")
-    # A document's words that share a beginning count once for it.
-    once = forms.distinct()
-    counted = once.groupBy("form", "whole").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    # Strings, as their duplicates are found by hash: "=" whole words, "^" beginnings.
+    def beginnings(words: Column) -> list[Column]:
+        return [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
+                for n in BEGINNINGS]
+
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w).between(3, 40))
+    forms = sample.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat(
+        F.transform("words", lambda w: F.concat(F.lit("="), w)), *beginnings(F.col("words"))))).alias("f"))
+    counted = forms.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).select(
+        F.startswith("f", F.lit("=")).alias("whole"), F.substr("f", F.lit(2)).alias("form"), "t", "c")
     ratio = (F.log((F.col("t") - 2 * F.sqrt("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1)))
     rows = counted.where(F.col("t") >= least).withColumn("w", ratio).where("w >= 2").orderBy(
         F.desc("w"), "form", "whole").limit(MAX_FORMS).collect()
