@@ -2,12 +2,11 @@
 to its whole table. name -> (callable(spark, sf_dir), oracle SQL or None)."""
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, sharding, site_quality, toxicity, url_filter
-from chartlore.llm.common import table
+from chartlore.llm.common import table, word_model
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +102,6 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-def word_model() -> str:
-    """The public word-end BPE file; CHARTLORE_BPE names another one."""
-    if found := os.environ.get("CHARTLORE_BPE"):
-        return found
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.bpe_report(table(spark, sf_dir, "documents"), word_model())
 
@@ -121,6 +111,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
     "op2_sharding": (op2_sharding, OP2_SQL),
     "op3_toxicity": (op3_toxicity, None),
