@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, sharding, site_quality, toxicity, url_filter
+from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, sharding, site_quality, toxicity, url_filter, window_dedup
 from chartlore.llm.common import table, word_model
 
 
@@ -90,6 +90,10 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op4_site_quality": (op4_site_quality, None),
     "op5_order_minhash": (op5_order_minhash, None),
     "op6_url_filter": (op6_url_filter, None),
+    "op7_window_dedup": (op7_window_dedup, None),
     "op8_quality_forest": (op8_quality_forest, None),
     "op9_bpe": (op9_bpe, None),
     "op10_edit_leaks": (op10_edit_leaks, None),
