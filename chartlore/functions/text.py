@@ -1,15 +1,14 @@
 """Scalar text functions, all JVM-side."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlore.functions.credits import UNITS_SPLIT_PATTERN, primary_artist
 
 # --- fixed values -----------------------------------------------------------
-# Latin letters with marks and their plain letters, for `norm`.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīńňōőřśşšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeginnoorssstuuuzzz"
 FORMAT_TAG_PATTERN = r"(?i)\((?:ep|soundtrack|original[^)]*soundtrack|mixtape)\)"
 VOLUME_PATTERN = r"(?i)\bvol(?:ume)?\b\.?"
 PART_PATTERN = r"(?i)\b(?:pt|part)\b\.?"
@@ -24,6 +23,32 @@ QUOTES = "\"“”‘’"
 # ----------------------------------------------------------------------------
 
 
+def _plain_letters() -> dict[str, str]:
+    """Every other character whose compatibility decomposition has ASCII letters,
+    digits or an ampersand, with these in lower case."""
+    found = {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        plain = "".join(c for c in parts.lower() if c.isascii() and (c.isalnum() or c == "&"))
+        if plain:
+            found[chr(code)] = plain
+    return found
+
+
+_FOLDS = _plain_letters()
+# One letter for one: by `translate`. Several letters: by a map, if there are any.
+ACCENTED = "".join(c for c, p in _FOLDS.items() if len(p) == 1)
+PLAIN = "".join(p for p in _FOLDS.values() if len(p) == 1)
+LIGATURES = {c: p for c, p in _FOLDS.items() if len(p) > 1}
+LIGATURE_PATTERN = "[" + "".join(LIGATURES) + "]"
+
+
+def _unfolded(text: Column) -> Column:
+    table = F.create_map(*(F.lit(v) for pair in LIGATURES.items() for v in pair))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(F.rlike(text, F.lit(LIGATURE_PATTERN)), spelled).otherwise(text)
+
+
 def match_key(text: Column) -> Column:
     return F.lower(F.trim(text))
 
@@ -41,8 +66,9 @@ def number(text: Column) -> Column:
 
 
 def norm(text: Column) -> Column:
-    """Letters and digits only, accents folded, '&' read as 'and'."""
-    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Letters and digits only, marks and compatibility forms folded, '&' read as
+    'and'."""
+    folded = _unfolded(F.translate(F.lower(text), ACCENTED, PLAIN))
     return F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), "[^a-z0-9]", "")
 
 

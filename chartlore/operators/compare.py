@@ -80,8 +80,11 @@ def weekly_news(entries: DataFrame, registry: DataFrame, lead_charts: list[str]
     rows = entries.join(registry.select("chart", "label", "kind", "ord"), "chart")
     days = published_weeks(rows) if weeks is None else weeks.join(registry.select("chart"), "chart", "left_semi")
     latest = days.agg(F.max("date")).scalar()
+    # A week of unranked rows alone is nothing to compare with.
+    ranked = rows.filter("rank IS NOT NULL").select("chart", F.col("date").alias("prev_date")).distinct()
     two = (
         days.filter(F.col("date") == latest).filter("prev_date IS NOT NULL")
+        .join(ranked, ["chart", "prev_date"], "left_semi")
         .select("chart", F.explode(F.array("date", "prev_date")).alias("date"),
                 F.col("date").alias("week")))
     pair = W.partitionBy("chart", "title", "artist").orderBy("date").rowsBetween(-1, -1)

@@ -133,16 +133,6 @@ def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
 
 # --- entity matching --------------------------------------------------------
 
-_GRAMS = (1, 2, 4, 8)
-
-
-def _probe(key):
-    """The longest of the gram lengths the key begins with."""
-    out = F.lit("")
-    for n in _GRAMS:
-        out = F.when(F.length(key) >= n, F.substring(key, 1, n)).otherwise(out)
-    return out
-
 
 def _pieces(key, n: int):
     """All substrings of length n, none when the key is shorter."""
@@ -151,37 +141,13 @@ def _pieces(key, n: int):
         F.array().cast("array<string>"))
 
 
-def _grams(key):
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[_pieces(key, n) for n in _GRAMS]))
-
-
-# An artist with more titles than this on one list is compared by letters.
-_FEW_TITLES = 32
-
-
 def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame:
     """Row keys and entries of one lead artist where one title key contains the
-    other.
-
-    Almost every artist has a few titles on a list, and those are compared
-    directly. For the others the candidates come from an equi-join on letters:
-    the first letters of a contained key occur in the containing one.
-    """
+    other. An artist has at most a list's depth of entries on one date."""
     keys = [*at, "k_a"]
     r = rows.select(*keys, F.col("k_t").alias("r_t")).distinct()
     e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n")
-    busy = entries.groupBy(*keys).agg((F.count("*") > _FEW_TITLES).alias("many"))
-    r = r.join(busy, keys)
-    few = r.filter("NOT many").drop("many").join(e, keys).filter(
-        F.contains("e_t", "r_t") | F.contains("r_t", "e_t"))
-    r = r.filter("many").drop("many")
-    e = e.join(r.select(*keys).distinct(), keys, "left_semi")
-    row_in_entry = r.withColumn("g", _probe(F.col("r_t"))).join(
-        e.withColumn("g", F.explode(_grams(F.col("e_t")))), [*keys, "g"]).filter(F.contains("e_t", "r_t"))
-    entry_in_row = r.withColumn("g", F.explode(_grams(F.col("r_t")))).join(
-        e.withColumn("g", _probe(F.col("e_t"))), [*keys, "g"]).filter(F.contains("r_t", "e_t"))
-    many = row_in_entry.unionByName(entry_in_row).drop("g").dropDuplicates([*keys, "r_t", "e_t"])
-    return few.unionByName(many)
+    return r.join(e, keys).filter(F.contains("e_t", "r_t") | F.contains("r_t", "e_t"))
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
@@ -210,10 +176,10 @@ def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart"
         F.sum("n").alias("n"), F.max("last").alias("e3")).filter("n = 1").drop("n")
     resolved = (known.join(by_part, [*at, "k_a", "k_t"], "left")
                 .withColumn("e", F.coalesce("e12", "e3")).drop("e12", "e3"))
-    # Rows resolving to one entry are rows of one source list.
-    first = F.min("src_rank").over(W.partitionBy(*at, "e"))
+    # Rows resolving to one entry are rows of one source list. Ranks may tie.
+    turn = F.row_number().over(W.partitionBy(*at, "e").orderBy("src_rank", "title", "artist"))
     return (
-        resolved.withColumn("e", F.when(F.col("src_rank") == first, F.col("e")))
+        resolved.withColumn("e", F.when(turn == 1, F.col("e")))
         .select(*rows.columns, "k_t", "k_a", F.col("e.rank").alias("m_rank"),
                 F.col("e.title").alias("m_title"), F.col("e.artist").alias("m_artist")))
 
@@ -225,13 +191,13 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _candidates(missed: DataFrame, free: DataFrame, at: list[str]) -> DataFrame:
-    """(at, src_rank, e, prefix, alike, close): entries a missed row could take.
+    """(at, turn, e, prefix, alike, close): entries a missed row could take.
 
     Two titles 0.85 alike are at most fifteen per cent apart in letters, so some
     unbroken run of two letters is common to both, of three once they have
     twenty letters between them. Candidates share such a run; none is missed.
     """
-    r = missed.select(*at, "src_rank", "k_t", "k_a")
+    r = missed.select(*at, "turn", "k_t", "k_a")
     e = free.select(*at, "e", F.col("k_t").alias("e_t"), F.col("k_a").alias("e_a"))
     short = MIN_PREFIX
 
@@ -250,20 +216,20 @@ def _candidates(missed: DataFrame, free: DataFrame, at: list[str]) -> DataFrame:
 
     both = F.length("k_t") + F.length("e_t")
     same = r.join(e, [F.col("k_t") == F.col("e_t"), *[r[c].eqNullSafe(e[c]) for c in at]]).select(
-        *[r[c] for c in at], "src_rank", "k_t", "k_a", "e", "e_t", "e_a")
+        *[r[c] for c in at], "turn", "k_t", "k_a", "e", "e_t", "e_a")
     shared = (
         r.withColumn("g", runs(F.col("k_t"))).join(e.withColumn("g", runs(F.col("e_t"))), [*at, "g"])
         .filter((2 * F.least(F.length("k_t"), F.length("e_t")) >= SIMILAR * both)
                 & ((F.length("g") == 3) | (both < 20))).drop("g"))
-    near = shared.unionByName(same).dropDuplicates([*at, "src_rank", "e"]).filter(
-        similarity("k_t", "e_t") >= SIMILAR)
+    near = shared.unionByName(same).dropDuplicates([*at, "turn", "e"]).filter(
+        (F.col("e_t") != "") & (similarity("k_t", "e_t") >= SIMILAR))
     near = near.withColumn("prefix", F.lit(False)).withColumn("near", F.lit(True))
     return (
-        starts.unionByName(near).groupBy(*at, "src_rank", "k_a", "e", "e_a")
+        starts.unionByName(near).groupBy(*at, "turn", "k_a", "e", "e_a")
         .agg(F.max("prefix").alias("prefix"), F.max("near").alias("near"))
         .withColumn("alike", F.col("near") & (F.col("k_a") == F.col("e_a")))
         .withColumn("close", F.col("near") & (similarity("k_a", "e_a") >= SIMILAR))
-        .select(*at, "src_rank", "e", "prefix", "alike", "close"))
+        .select(*at, "turn", "e", "prefix", "alike", "close"))
 
 
 def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date")) -> DataFrame:
@@ -279,7 +245,10 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     """
     at = list(at)
     line = F.struct("rank", "title", "artist")
-    matched = staged(matched, "matched")
+    # Source rows in the order they are settled: ranks may tie.
+    turn = F.row_number().over(W.partitionBy(*at).orderBy("src_rank", "title", "artist"))
+    columns = matched.columns
+    matched = staged(matched.withColumn("turn", turn), "matched")
     used = matched.filter("m_rank IS NOT NULL").select(
         *at, F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"),
                       F.col("m_artist").alias("artist")).alias("e"))
@@ -290,13 +259,13 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     cand = staged(_candidates(matched.filter("m_rank IS NULL"), free, at), "candidates")
     taken = None
     while not cand.isEmpty():
-        line_head = cand.groupBy(*at, "e").agg(F.min("src_rank").alias("head"))
-        state = cand.join(line_head, [*at, "e"]).groupBy(*at, "src_rank").agg(
-            F.min(F.col("head") == F.col("src_rank")).alias("ready"),
+        line_head = cand.groupBy(*at, "e").agg(F.min("turn").alias("head"))
+        state = cand.join(line_head, [*at, "e"]).groupBy(*at, "turn").agg(
+            F.min(F.col("head") == F.col("turn")).alias("ready"),
             *[F.count_if(c).alias(f"n_{c}") for c in ("prefix", "alike", "close")],
             *[F.max(F.when(F.col(c), F.col("e"))).alias(f"e_{c}") for c in ("prefix", "alike", "close")])
         ready = state.filter("ready").select(
-            *at, "src_rank",
+            *at, "turn",
             F.when(F.col("n_prefix") == 1, F.col("e_prefix"))
             .when(F.col("n_alike") == 1, F.col("e_alike"))
             .when(F.col("n_close") == 1, F.col("e_close")).alias("e"))
@@ -304,16 +273,16 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
         won = ready.filter("e IS NOT NULL")
         taken = won if taken is None else taken.unionByName(won)
         cand = staged(
-            cand.join(ready.drop("e"), [*at, "src_rank"], "left_anti")
-            .join(won.drop("src_rank"), [*at, "e"], "left_anti"), "candidates")
+            cand.join(ready.drop("e"), [*at, "turn"], "left_anti")
+            .join(won.drop("turn"), [*at, "e"], "left_anti"), "candidates")
     if taken is None:
-        return matched
-    extra = taken.select(*at, "src_rank", F.col("e").alias("x"))
+        return matched.select(*columns)
+    extra = taken.select(*at, "turn", F.col("e").alias("x"))
     return (
-        matched.join(extra, [*at, "src_rank"], "left")
+        matched.join(extra, [*at, "turn"], "left")
         .withColumn("m_rank", F.coalesce("m_rank", "x.rank"))
         .withColumn("m_title", F.coalesce("m_title", "x.title"))
-        .withColumn("m_artist", F.coalesce("m_artist", "x.artist")).select(*matched.columns))
+        .withColumn("m_artist", F.coalesce("m_artist", "x.artist")).select(*columns))
 
 
 def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:

@@ -67,17 +67,10 @@ def list_depth(entries: DataFrame) -> DataFrame:
         F.count("*").cast("int").alias("rows"), (F.count("*") < THIN_WEEK).alias("thin"))
 
 
-def depth_floor(entries: DataFrame, registry: DataFrame, samples: int = 4) -> DataFrame:
-    """Least depth over evenly spaced published weeks, first and last included,
-    and never above the registry's depth."""
-    days = list_depth(entries)
-    span = published_weeks(entries).select("chart", "date", "week_idx")
-    n = span.groupBy("chart").agg(F.max("week_idx").alias("n"))
-    step = F.greatest(F.floor((F.col("n") - 1) / (samples - 1)), F.lit(1))
-    picked = span.join(n, "chart").filter(
-        ((F.col("week_idx") - 1) % step == 0) | (F.col("week_idx") == F.col("n")))
+def depth_floor(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """Least depth over all published weeks, never above the registry's depth."""
     return (
-        picked.join(days, ["chart", "date"]).groupBy("chart")
+        list_depth(entries).groupBy("chart")
         .agg(F.min("rows").alias("low"), F.max("rows").alias("high"))
         .join(registry.select("chart", "depth"), "chart")
         .select("chart", "low", "high", F.least("low", "depth").alias("floor")))

@@ -26,11 +26,13 @@ def title_columns(rows: DataFrame, by: list[str] = ()) -> DataFrame:
         rows.filter("date IS NOT NULL").withColumn("k_artist", primary_artist(F.col("artist")))
         .groupBy(*by, "title", "k_artist").agg(
             F.min("date").alias("debut"),
-            F.max_by("artist", F.struct("date", "artist")).alias("credit")))
+            F.max_by("artist", F.struct("date", "artist")).alias("credit"),
+            *([F.min_by("image_url", F.when(F.startswith("image_url", F.lit("http")), F.struct("date", "rank", "image_url")))
+               .alias("image_url")] if "image_url" in rows.columns else [])))
     repeats = pairs.groupBy(*by, "title").agg((F.count("*") > 1).alias("repeats"))
     more = (primary_credit(F.col("credit")) != F.col("credit")) | F.col("repeats")
     return pairs.join(repeats, [*by, "title"]).select(
-        *by, "title", "k_artist", "debut", "credit",
+        *by, "title", "k_artist", "debut", "credit", *(["image_url"] if "image_url" in rows.columns else []),
         F.when(more, F.concat("title", F.lit(" ("), "credit", F.lit(")"))).otherwise(
             F.col("title")).alias("header"))
 
@@ -116,12 +118,11 @@ def versus_weekly(rows: DataFrame) -> DataFrame:
 
 
 def artist_history_export(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """One artist's history in long form: per cell the header, the artwork and
-    the rank, and a marker line (is_gap) after each break of over a week."""
+    """One artist's history in long form: per cell the header, the artwork (the
+    selection's own first, else any list's) and the rank, and a marker line (is_gap) after each break of over a week."""
     heads = title_columns(rows)
     art = (
-        fill_image(heads.select("title", F.col("credit").alias("artist"), "header",
-                                F.lit(None).cast("string").alias("image_url")), images)
+        fill_image(heads.select("title", F.col("credit").alias("artist"), "header", "image_url"), images)
         .select("title", primary_artist(F.col("artist")).alias("k_artist"), "header", "image_url"))
     cells = rank_long(rows)
     days = cells.select("date").distinct()

@@ -192,6 +192,8 @@ def current_number_one(entries: DataFrame, weeks_at_1: bool = False) -> DataFram
            .groupBy("chart", "date").agg(F.min(F.struct("title", "artist")).alias("top"))
            .select("chart", "date", "top.title", "top.artist"))
     counted = rows.filter("rank = 1") if weeks_at_1 else rows
+    # One title per list is counted, not every title.
+    counted = counted.join(top.select("chart", "title", "artist"), ["chart", "title", "artist"], "left_semi")
     n = counted.groupBy("chart", "title", "artist").agg(F.count("*").cast("int").alias("weeks"))
     return top.join(n, ["chart", "title", "artist"])
 

@@ -48,13 +48,14 @@ def save_title_index(index: DataFrame, name: str, buckets: int) -> None:
 def crossovers(index: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (k_title, k_artist, kind, origin, origin_debut): every
     other list of that kind the title reached. `later` is null when the origin
-    has no debut to compare with."""
+    has no debut to compare with. A title's lists come by peak, then weeks."""
     runs = index.select("k_title", "k_artist", "kind", "chart", "label", "debut", "peak", "weeks")
     return (
         asked.join(runs, ["k_title", "k_artist", "kind"])
         .filter(~F.col("chart").eqNullSafe(F.col("origin")))
         .select("k_title", "k_artist", "kind", "origin", "chart", "label", "debut", "peak", "weeks",
-                (F.col("debut") > F.col("origin_debut")).alias("later")))
+                (F.col("debut") > F.col("origin_debut")).alias("later"))
+        .orderBy("k_title", "k_artist", "kind", "peak", F.desc("weeks"), "chart"))
 
 
 def origins(index: DataFrame) -> DataFrame:

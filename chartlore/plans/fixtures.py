@@ -150,12 +150,12 @@ registry AS (
 
 
 def yearend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chart, year, rank, title, artist, image_url: the 20 best of each year. On
+    """chart, year, rank, title, artist, image_url: every title of each year. On
     odd lists the years divisible by three are clamped copies of the next."""
     w = W.partitionBy("cno", "date").orderBy(F.desc("metric"), "name", "act")
     own = (
         _sales(spark, sf_dir, "year")
-        .withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
+        .withColumn("rank", F.row_number().over(w))
         .withColumn("year", F.year("date")))
     clamp = "cno % 2 = 1 AND {} % 3 = 0"
     return (
@@ -174,11 +174,9 @@ def yearend(spark: SparkSession, sf_dir: str) -> DataFrame:
 YEAREND_SQL = f"""
 ysales AS ({SALES_SQL.format(period='year')}),
 yown AS (
-  SELECT * FROM (
-    SELECT *, CAST(extract(year FROM date) AS INT) AS year,
-           CAST(row_number() OVER (PARTITION BY cno, date
-                                   ORDER BY metric DESC, name, act) AS INT) AS rank
-    FROM ysales) t WHERE rank <= 20),
+  SELECT *, CAST(extract(year FROM date) AS INT) AS year,
+         CAST(row_number() OVER (PARTITION BY cno, date ORDER BY metric DESC, name, act) AS INT) AS rank
+  FROM ysales),
 yclamped AS (
   SELECT cno, year, rank, name, act FROM yown WHERE NOT (cno % 2 = 1 AND year % 3 = 0)
   UNION ALL
@@ -193,20 +191,23 @@ yearend AS (
 
 
 def gapped(entries: DataFrame) -> DataFrame:
-    """The history with every thirteenth week missing and, on weeks divisible by
-    ten, the rows of the week before served again under the new date."""
-    kept = entries.filter(F.weekofyear("date") % 13 != 0)
-    return kept.filter(F.weekofyear("date") % 10 != 0).unionByName(
-        kept.filter(F.weekofyear(F.date_add("date", 7)) % 10 == 0)
+    """The history, whole for even lists. On odd lists every thirteenth week is
+    missing and, on weeks divisible by ten, the rows of the week before are
+    served again under the new date."""
+    whole = F.regexp_extract("chart", "[0-9]+$", 0).cast("int") % 2 == 0
+    kept = entries.filter(whole | (F.weekofyear("date") % 13 != 0))
+    return kept.filter(whole | (F.weekofyear("date") % 10 != 0)).unionByName(
+        kept.filter(~whole & (F.weekofyear(F.date_add("date", 7)) % 10 == 0))
         .withColumn("date", F.date_add("date", 7)))
 
 
 GAPPED_SQL = """
-kept AS (SELECT * FROM entries WHERE extract(week FROM date) % 13 <> 0),
+kept AS (SELECT *, CAST(substr(chart, 6) AS INT) % 2 = 0 AS whole FROM entries
+         WHERE CAST(substr(chart, 6) AS INT) % 2 = 0 OR extract(week FROM date) % 13 <> 0),
 gapped AS (
-  SELECT * FROM kept WHERE extract(week FROM date) % 10 <> 0
+  SELECT * EXCLUDE (whole) FROM kept WHERE whole OR extract(week FROM date) % 10 <> 0
   UNION ALL
-  SELECT * REPLACE (date + 7 AS date) FROM kept WHERE extract(week FROM date + 7) % 10 = 0)"""
+  SELECT * EXCLUDE (whole) REPLACE (date + 7 AS date) FROM kept WHERE NOT whole AND extract(week FROM date + 7) % 10 = 0)"""
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,16 +271,13 @@ def report_titles(spark, sf):
 
 @register("series_map", with_sql(ENTRIES_SQL, KEYED_SQL) + """
 SELECT chart, k_artist, lower(trim(title)) AS k_title,
-       CAST(count(DISTINCT (date, rank)) AS INT) AS n,
-       CAST(min((date, rank))[1] AS VARCHAR) || ' ' || min((date, rank))[2] AS first_point,
-       CAST(max((date, rank))[1] AS VARCHAR) || ' ' || max((date, rank))[2] AS last_point
-FROM keyed GROUP BY ALL""")
+       string_agg(p, ',' ORDER BY date, rank) AS points
+FROM (SELECT DISTINCT chart, k_artist, title, date, rank, date || ' ' || rank AS p FROM keyed) k GROUP BY ALL""")
 def series_map(spark, sf):
     s = stats.series_map(history.with_keys(fx.entries(spark, sf)), ["chart", "k_artist"])
     return s.select("chart", "k_artist", F.explode("series").alias("t", "p")).select(
-        "chart", "k_artist", F.lower("t").alias("k_title"), F.size("p").alias("n"),
-        F.concat_ws(" ", F.element_at("p", 1).date, F.element_at("p", 1).rank).alias("first_point"),
-        F.concat_ws(" ", F.element_at("p", -1).date, F.element_at("p", -1).rank).alias("last_point"))
+        "chart", "k_artist", F.lower("t").alias("k_title"), F.array_join(
+            F.transform("p", lambda x: F.concat_ws(" ", x["date"], x["rank"])), ",").alias("points"))
 
 
 @register("modern_artist_summary", with_sql(ENTRIES_SQL, """
@@ -427,10 +424,11 @@ def fill_image(spark, sf):
 _DROP_SQL = """
 dk AS (SELECT e.*, kind, lower(trim(title)) AS kt, CASE WHEN kind <> 'artist' THEN lower(trim(artist)) ELSE '' END AS kc,
               next_date FROM entries e JOIN registry USING (chart) JOIN cal USING (chart, date)),
-dropped AS (SELECT chart, next_date AS current_week, date AS previous_week, title,
-  CASE WHEN kind <> 'artist' THEN artist END AS artist, rank, weeks_on_chart AS weeks FROM dk a
-  WHERE next_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dk b WHERE b.chart = a.chart AND b.date = a.next_date
-                                              AND b.kt = a.kt AND b.kc = a.kc))"""
+there AS (SELECT DISTINCT chart, date, kt, kc FROM dk),
+dropped AS (SELECT a.chart, next_date AS current_week, a.date AS previous_week, title,
+  CASE WHEN kind <> 'artist' THEN artist END AS artist, rank, weeks_on_chart AS weeks
+  FROM dk a LEFT JOIN there b ON b.chart = a.chart AND b.date = a.next_date AND b.kt = a.kt AND b.kc = a.kc
+  WHERE next_date IS NOT NULL AND b.chart IS NULL)"""
 _DROP = with_sql(ENTRIES_SQL, REGISTRY_SQL, CALENDAR_SQL, _DROP_SQL)
 
 

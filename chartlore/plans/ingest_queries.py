@@ -1,6 +1,8 @@
 """Registered queries: scans, sinks, projections and filters."""
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
     lists.csv_sink(fx.entries(spark, sf).select("chart", *FILE_COLUMNS), path)
     back = "Date string, Rank string, Song string, Artist string, `Last Week` string, " \
            "`Peak Position` string, `Weeks on Chart` string, `Image URL` string, chart string"
-    return spark.read.schema(back).option("header", True).csv(path).select(
+    return spark.read.schema(back).options(header=True, quote='"', escape='"').csv(path).select(
         "chart", "Date", "Rank", "Song", "Artist", "Image URL")
 
 
@@ -134,8 +136,10 @@ def yearend_upsert(spark, sf):
 
 def _text_sql(c: str) -> str:
     out = f"regexp_replace({c}, '<[^>]+>', '', 'g')"
-    for entity, char in pages.ENTITIES:
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    # The entities that the pages hold.
+    for name in ("lt", "gt", "quot", "#39", "nbsp", "amp"):
+        char = html.unescape(f"&{name};").replace("\u00a0", " ").replace("'", "''")
+        out = f"replace({out}, '&{name};', '{char}')"
     return f"trim({out})"
 
 

@@ -159,15 +159,15 @@ def split_title(spark, sf):
 
 
 @register("label_year_date", """
-SELECT o_orderkey, CAST(CASE WHEN wk >= 52 AND m = 1 THEN d + INTERVAL 1 YEAR WHEN wk <= 1 AND m = 12 THEN d - INTERVAL 1 YEAR
-  ELSE d END AS DATE) AS v FROM (
-  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey % 53 + 1 AS INT) AS wk,
-         extract(month FROM o_orderdate) AS m FROM orders WHERE NOT (extract(month FROM o_orderdate) = 2 AND extract(day FROM o_orderdate) = 29)) x""")
+SELECT o_orderkey, try_cast((y + CASE WHEN wk >= 52 AND m = 1 THEN 1 WHEN wk <= 1 AND m = 12 THEN -1 ELSE 0 END + o_orderkey % 3)
+                            || '-' || m || '-' || d AS DATE) AS v FROM (
+  SELECT o_orderkey, CAST(o_orderkey % 53 + 1 AS INT) AS wk, extract(year FROM o_orderdate) AS y,
+         extract(month FROM o_orderdate) AS m, extract(day FROM o_orderdate) AS d FROM orders) x""")
 def label_year_date(spark, sf):
+    # Printed years are off by up to two, so that a leap day may not exist.
     d = F.col("o_orderdate")
-    leap = (F.month(d) == 2) & (F.day(d) == 29)
-    return fx.table(spark, sf, "orders").filter(~leap).select("o_orderkey", dates.label_year_date(
-        F.expr("cast(o_orderkey % 53 + 1 AS int)"), F.year(d), F.month(d), F.day(d)).alias("v"))
+    return fx.table(spark, sf, "orders").select("o_orderkey", dates.label_year_date(
+        F.expr("cast(o_orderkey % 53 + 1 AS int)"), F.year(d) + F.expr("o_orderkey % 3"), F.month(d), F.day(d)).alias("v"))
 
 
 @register("to_saturday", """
@@ -259,12 +259,10 @@ def list_depth(spark, sf):
     return quality.list_depth(fx.entries(spark, sf))
 
 
-@register("depth_floor", with_sql(ENTRIES_SQL, REGISTRY_SQL, fx.CALENDAR_SQL, """
-d AS (SELECT chart, date, week_idx, n, count(*) AS rows FROM entries JOIN cal USING (chart, date)
-      JOIN (SELECT chart, max(week_idx) AS n FROM cal GROUP BY 1) m USING (chart) GROUP BY ALL)""") + """
+@register("depth_floor", with_sql(ENTRIES_SQL, REGISTRY_SQL, """
+d AS (SELECT chart, date, count(*) AS rows FROM entries GROUP BY ALL)""") + """
 SELECT chart, CAST(min(rows) AS INT) AS low, CAST(max(rows) AS INT) AS high, CAST(least(min(rows), depth) AS INT) AS floor
-FROM d JOIN registry USING (chart)
-WHERE (week_idx - 1) % greatest((n - 1) // 3, 1) = 0 OR week_idx = n GROUP BY chart, depth""")
+FROM d JOIN registry USING (chart) GROUP BY chart, depth""")
 def depth_floor(spark, sf):
     return quality.depth_floor(fx.entries(spark, sf), fx.registry(spark, sf))
 
@@ -365,16 +363,22 @@ def yearend_page(spark, sf):
     return yearend.yearend_page(fx.yearend(spark, sf), fx.registry(spark, sf))
 
 
+def with_empty_lists(spark, sf):
+    """The registry with as many lists again that no row belongs to."""
+    r = fx.registry(spark, sf)
+    return r.unionByName(r.withColumn("chart", F.concat("chart", F.lit("_empty"))))
+
+
 @register("yearend_lists", with_sql(YEAREND_SQL, REGISTRY_SQL) + """
-SELECT * FROM registry WHERE chart IN (SELECT chart FROM yearend WHERE title = 'ring')""")
+SELECT * FROM registry WHERE chart IN (SELECT chart FROM yearend)""")
 def yearend_lists(spark, sf):
-    return yearend.yearend_charts(fx.yearend(spark, sf).filter("title = 'ring'"), fx.registry(spark, sf))
+    return yearend.yearend_charts(fx.yearend(spark, sf), with_empty_lists(spark, sf))
 
 
 @register("available_charts", with_sql(ENTRIES_SQL, REGISTRY_SQL) + """
-SELECT * FROM registry WHERE chart IN (SELECT chart FROM entries WHERE weeks_on_chart > 300)""")
+SELECT * FROM registry WHERE chart IN (SELECT chart FROM entries)""")
 def available_charts(spark, sf):
-    return yearend.available_charts(fx.entries(spark, sf).filter("weeks_on_chart > 300"), fx.registry(spark, sf))
+    return yearend.available_charts(fx.entries(spark, sf), with_empty_lists(spark, sf))
 
 
 def _spelled(frame):
@@ -390,14 +394,15 @@ cov AS (SELECT chart, CAST(extract(year FROM date) AS INT) AS year, CAST(count(D
 ov AS (SELECT yt.chart, yt.year, CAST(count(*) AS INT) AS titles, CAST(count(wt.t) AS INT) AS matched, coalesce(any_value(weeks), 0) AS weeks
        FROM yt LEFT JOIN wt ON wt.chart = yt.chart AND wt.year = yt.year AND wt.t = yt.t
        LEFT JOIN cov ON cov.chart = yt.chart AND cov.year = yt.year GROUP BY 1, 2)"""
-# Weekly history without 1997's first nine months, so that a year is thin.
-_KEPT_SQL = "kept AS (SELECT * FROM entries WHERE NOT (date BETWEEN DATE '1997-01-01' AND DATE '1997-09-30'))"
+# Odd lists lack the first nine months of 1997, so that a year of theirs is thin.
+_KEPT_SQL = """kept AS (SELECT * FROM entries WHERE NOT (CAST(substr(chart, 6) AS INT) % 2 = 1
+  AND date BETWEEN DATE '1997-01-01' AND DATE '1997-09-30'))"""
 _LOWER, _ALNUM = "lower(trim(ttl))", "regexp_replace(lower(ttl), '[^a-z0-9]', '', 'g')"
 _OVER = with_sql(ENTRIES_SQL, YEAREND_SQL, _KEPT_SQL, _OVERLAP_SQL.format(yk=_LOWER))
 
 
 def weekly_kept(spark, sf):
-    e = fx.entries(spark, sf).filter("NOT (date BETWEEN date'1997-01-01' AND date'1997-09-30')")
+    e = fx.entries(spark, sf).filter("NOT (cast(substr(chart, 6) AS int) % 2 = 1 AND date BETWEEN date'1997-01-01' AND date'1997-09-30')")
     return _spelled(e).select("chart", "date", "rank", "title", "artist")
 
 
@@ -687,7 +692,7 @@ _HEADS = with_sql(ENTRIES_SQL, named_sql(), _HEADS_SQL.replace("JOIN pa ON credi
 
 @register("export_header", _HEADS + "SELECT name, title, k_artist, debut, credit, header FROM heads")
 def export_header(spark, sf):
-    return reshape.title_columns(stats.artist_rows(fx.entries(spark, sf), NAMES), ["name"])
+    return reshape.title_columns(stats.artist_rows(fx.entries(spark, sf), NAMES), ["name"]).drop("image_url")
 
 
 @register("rank_long", with_sql(ENTRIES_SQL, KEYED_SQL) + "SELECT chart, date, title, k_artist, min(rank) AS rank FROM keyed GROUP BY 1, 2, 3, 4")
@@ -720,13 +725,14 @@ def rank_pivot_weekly_grid(spark, sf):
 
 
 @register("weekly_grid_long", with_sql(ENTRIES_SQL, fx.KEYED_SQL, """
-cells AS (SELECT chart, k_artist, date, upper(substr(k_title, 1, 1)) || substr(k_title, 2) AS title, min(rank) AS rank
-          FROM keyed WHERE strpos(k_title, ' ') = 0 GROUP BY 1, 2, 3, 4),
+cells AS (SELECT chart, k_artist, date, array_to_string(list_transform(string_split(k_title, ' '),
+            lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title, min(rank) AS rank
+          FROM keyed GROUP BY 1, 2, 3, 4),
 grid AS (SELECT chart, k_artist, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS date
          FROM (SELECT chart, k_artist, min(date) AS a, max(date) AS b FROM cells GROUP BY 1, 2) m)""")
           + "SELECT chart, k_artist, date, title, rank FROM grid LEFT JOIN cells USING (chart, k_artist, date)")
 def weekly_grid_long(spark, sf):
-    rows = history.with_keys(fx.entries(spark, sf)).filter("instr(k_title, ' ') = 0")
+    rows = history.with_keys(fx.entries(spark, sf))
     return reshape.weekly_grid_long(rows, ["chart", "k_artist"])
 
 
@@ -758,9 +764,12 @@ def versus_weekly_long(spark, sf):
 @register("artist_history_export", _HEADS.rstrip() + f""",
 img AS (SELECT lower(trim(title)) AS kt, k_artist, arg_min(image_url, (chart, date, rank)) AS image_url
         FROM entries JOIN pa ON artist = a0 WHERE starts_with(image_url, 'http') GROUP BY 1, 2),
-body AS (SELECT date, false AS is_gap, header, coalesce(img.image_url, '') AS image_url, min(rank) AS rank
+own AS (SELECT title, k_artist, arg_min(image_url, (date, rank, image_url)) AS own_url FROM nk
+        WHERE name = 'red 0' AND starts_with(image_url, 'http') GROUP BY 1, 2),
+body AS (SELECT date, false AS is_gap, header, coalesce(own_url, img.image_url, '') AS image_url, min(rank) AS rank
          FROM nk JOIN heads USING (name, title, k_artist) LEFT JOIN img ON img.kt = lower(trim(nk.title)) AND img.k_artist = nk.k_artist
-         WHERE name = 'red 0' GROUP BY date, title, nk.k_artist, header, img.image_url),
+         LEFT JOIN own ON own.title = nk.title AND own.k_artist = nk.k_artist
+         WHERE name = 'red 0' GROUP BY date, nk.title, nk.k_artist, header, own_url, img.image_url),
 days AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM body) d)
 SELECT * FROM body UNION ALL SELECT date, true, NULL, NULL, NULL FROM days WHERE nxt - date > 7""")
 def artist_history_export(spark, sf):
@@ -777,12 +786,11 @@ def outer_day_join(spark, sf):
 
 
 @register("union_days", with_sql(VISITS_SQL) + """
-SELECT day, count(*) FILTER (starts_with(path, '/view')) AS views,
-       count(DISTINCT CASE WHEN starts_with(path, '/click') THEN visitor END) AS uniques
-FROM visits WHERE starts_with(path, '/view') OR starts_with(path, '/click') GROUP BY 1""")
+SELECT day, count(*) AS views, count(DISTINCT CASE WHEN starts_with(path, '/click') THEN visitor END) AS uniques
+FROM visits GROUP BY 1""")
 def union_days(spark, sf):
     v = fx.visits(spark, sf)
-    views = v.filter(F.startswith("path", F.lit("/view"))).groupBy("day").agg(F.count("*").alias("views"))
+    views = v.groupBy("day").agg(F.count("*").alias("views"))
     seen = visits.visitor_days(v.filter(F.startswith("path", F.lit("/click")))).groupBy("day").agg(
         F.count("*").alias("uniques"))
     return visits.views_and_uniques(views, seen, "day")

@@ -25,8 +25,10 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the session names; a fresh temporary one
-    only where none is set, as in local tests."""
+    only where none is set and executors share this machine, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():

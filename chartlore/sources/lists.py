@@ -37,10 +37,27 @@ def normalize_columns(raw: DataFrame) -> DataFrame:
     return named.select(*[column(f) for f in schemas.ENTRY if f.name != "chart" or "chart" in named.columns])
 
 
-def scan_chart_csv(spark: SparkSession, path: str, chart: str) -> DataFrame:
+REQUIRED = ("date", "rank", "title")
+
+
+def read_list_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """List files as text columns named by their header, whatever its order.
+    Quotes inside a quoted value are doubled. Files of one call share a header:
+    a file with another one fails when it is read. `multi_line` reads values
+    that hold line ends, one task per file."""
+    reader = spark.read.options(header=True, inferSchema=False, enforceSchema=False, quote='"', escape='"',
+                                multiLine=multi_line)
+    raw = reader.csv(path)
+    names = {RENAMES.get(c, c) for c in raw.columns}
+    if missing := [c for c in REQUIRED if c not in names]:
+        raise ValueError(f"{path} has no column for {', '.join(missing)}")
+    return raw
+
+
+def scan_chart_csv(spark: SparkSession, path: str, chart: str, multi_line: bool = False) -> DataFrame:
     """One list's file as entries; a missing file is an empty list."""
     try:
-        raw = spark.read.schema(schemas.LIST_FILE).option("header", True).csv(path)
+        raw = read_list_csv(spark, path, multi_line)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -59,25 +76,22 @@ def scan_all_charts(spark: SparkSession, path: str, registry: DataFrame | None =
     """All lists as one relation. Partitioned folders give the list key as a
     partition column, so a filter on it prunes files; otherwise each file's own
     name is the key. A registry keeps registered lists only."""
-    reader = spark.read.option("header", True)
+    raw = read_list_csv(spark, path)
     if partitioned:
-        fields = [*schemas.LIST_FILE.fields, T.StructField("chart", T.StringType())]
-        raw = reader.schema(T.StructType(fields)).csv(path)
-        out = normalize_columns(raw)
+        raw = raw.withColumn("chart", F.col("chart").cast("string"))
     else:
-        raw = reader.schema(schemas.LIST_FILE).csv(path).withColumn(
-            "chart", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.csv$", 1))
-        out = normalize_columns(raw)
+        raw = raw.withColumn("chart", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.csv$", 1))
+    out = normalize_columns(raw)
     if registry is not None:
         out = out.join(registry.select("chart"), "chart", "left_semi")
     return out
 
 
 def write_history(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The stored history: Parquet sorted by list and week, so that filters on
-    either skip row groups. Rows are spread by list and quarter: a large list
-    has many writers, and many small lists do not become many small files."""
-    (entries.repartition("chart", F.trunc("date", "quarter")).sortWithinPartitions("chart", "date", "rank")
+    """The stored history: Parquet in ranges of list and week, sorted within. A
+    list lies in few files, each with narrow bounds, so filters on list or week
+    skip files and row groups; a large list splits by week."""
+    (entries.repartitionByRange("chart", "date").sortWithinPartitions("chart", "date", "rank")
      .write.mode(mode).parquet(path))
 
 
@@ -92,6 +106,6 @@ def csv_sink(entries: DataFrame, path: str, partition: bool = True) -> None:
             *[F.col(c).cast("string").alias(names[c]) for c in entries.columns if c in names and c != "date"]]
     keep = [F.col("chart")] if partition else []
     writer = (entries.select(*cols, *keep).write.mode("overwrite").option("header", True)
-              .option("nullValue", "").option("emptyValue", "")
+              .option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"')
               .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     (writer.partitionBy("chart") if partition else writer).csv(path)
