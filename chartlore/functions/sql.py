@@ -9,14 +9,15 @@ from pyspark.sql import SparkSession
 
 from chartlore.functions.credits import MARKER_PATTERN, NAME_COMMA_PATTERN
 from chartlore.functions.text import (
-    ACCENTED, FORMAT_TAG_PATTERN, LIGATURE_PATTERN, LIGATURES, PART_PATTERN, PLAIN, VOLUME_PATTERN)
+    ACCENTED, FORMAT_TAG_PATTERN, LIGATURES, OTHER_PATTERN, PART_PATTERN, PLAIN, VOLUME_PATTERN)
 
 
 def _functions() -> dict[str, str]:
     one = f"translate(lower({{0}}), '{ACCENTED}', '{PLAIN}')"
     pairs = ", ".join(f"'{c}', '{p}'" for c, p in LIGATURES.items())
-    many = (f"array_join(transform(split({one}, ''), c -> coalesce(try_element_at(map({pairs}), c), c)), '')")
-    norm = (f"regexp_replace(replace(CASE WHEN {one} RLIKE '{LIGATURE_PATTERN}' THEN {many} ELSE {one} END, "
+    many = (f"array_join(transform(split({one}, ''), c -> CASE WHEN c > '\x7f' THEN "
+            f"coalesce(try_element_at(map({pairs}), c), '') ELSE c END), '')")
+    norm = (f"regexp_replace(replace(CASE WHEN {one} RLIKE r'{OTHER_PATTERN}' THEN {many} ELSE {one} END, "
             "'&', ' and '), '[^a-z0-9]', '')")
     key = f"regexp_replace({{0}}, r'{FORMAT_TAG_PATTERN}', ' ')"
     key = f"regexp_replace({key}, r'{VOLUME_PATTERN}', ' volume ')"

@@ -36,17 +36,19 @@ def _plain_letters() -> dict[str, str]:
 
 
 _FOLDS = _plain_letters()
-# One letter for one: by `translate`. Several letters: by a map, if there are any.
+# One letter for one: by `translate`. Several letters: by a map, in texts that
+# still hold other letters than ASCII ones.
 ACCENTED = "".join(c for c, p in _FOLDS.items() if len(p) == 1)
 PLAIN = "".join(p for p in _FOLDS.values() if len(p) == 1)
 LIGATURES = {c: p for c, p in _FOLDS.items() if len(p) > 1}
-LIGATURE_PATTERN = "[" + "".join(LIGATURES) + "]"
+OTHER_PATTERN = "[^\\x00-\\x7f]"
 
 
 def _unfolded(text: Column) -> Column:
     table = F.create_map(*(F.lit(v) for pair in LIGATURES.items() for v in pair))
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(F.rlike(text, F.lit(LIGATURE_PATTERN)), spelled).otherwise(text)
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
+        c > F.lit("\x7f"), F.coalesce(F.try_element_at(table, c), F.lit(""))).otherwise(c)), "")
+    return F.when(F.rlike(text, F.lit(OTHER_PATTERN)), spelled).otherwise(text)
 
 
 def match_key(text: Column) -> Column:
