@@ -15,7 +15,6 @@ import chartlore
 from chartlore.session import staged
 
 MAX_BROADCAST_ROWS = 100_000
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -188,6 +188,7 @@ def leak_report(docs: DataFrame, items: DataFrame, key: str = "doc_id", **option
         key, "_leak.item_id", "_leak.distance", F.col("_leak.start").alias("leak_start"), F.col("_leak.end").alias("leak_end"))
 
 
-def drop_leaked(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that leak an item."""
-    return with_leaks(docs, items, out="_leaks", **options).where(F.size("_leaks") == 0).drop("_leaks")
+def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """`docs` without the rows that leak an item, columns as they are."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return with_leaks(rows, items, **options).where(F.size("leaks") == 0).select("row.*")

@@ -133,6 +133,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> D
     return scored.select(key, "doc_share", "host_share", "path_share", "quality_score", (~F.col("rejected")).alias("kept"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`docs` without the rows that the classifier rejects."""
-    return score_quality(docs, labels, key).where(~F.col("rejected")).select(*docs.columns)
+def drop_rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
+                  path: str = "lang") -> DataFrame:
+    """`docs` without the rows that the classifier rejects, columns as they are."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias(key), F.col(text).alias("text"),
+                       F.col(host).alias("source"), F.col(path).alias("lang"))
+    return score_quality(rows, labels, key).where(~F.col("rejected")).select("row.*")

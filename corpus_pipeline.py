@@ -15,30 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, secret_scan, site_quality
-from chartlore.llm.common import DOCUMENT_COLUMNS, table, word_model
+from chartlore.llm.common import table, word_model
 from chartlore.session import staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = site_quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
-    return kept.select(*DOCUMENT_COLUMNS)
+    return site_quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return order_minhash.keep_one(docs).select(*DOCUMENT_COLUMNS)
+    return order_minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return edit_leaks.drop_leaked(docs, table(spark, sf_dir, "benchmark")).select(*DOCUMENT_COLUMNS)
+    return edit_leaks.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secret_scan.redact_secrets(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*DOCUMENT_COLUMNS)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = prefix_bpe.encode_and_decode(docs, word_model(), ids="token_ids", decoded="decoded")
+    rows = docs.select("doc_id", "lang", "source", "text")
+    coded = prefix_bpe.encode_and_decode(rows, word_model(), ids="token_ids", decoded="decoded")
     return coded.select("doc_id", "lang", "source", prefix_bpe.token_counts(F.col("token_ids")).alias("n_tokens"),
                         "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
