@@ -107,7 +107,7 @@ def title_rows(entries: DataFrame, title: str, artist: str) -> DataFrame:
 def exact_credit_rows(entries: DataFrame, title: str, artist: str) -> DataFrame:
     """Rows of one title under one exact credit, whatever the case."""
     return entries.filter(
-        (match_key(F.col("title")) == title.lower()) & (match_key(F.col("artist")) == artist.lower()))
+        (match_key(F.col("title")) == match_key(F.lit(title))) & (match_key(F.col("artist")) == match_key(F.lit(artist))))
 
 
 def artist_timeline(entries: DataFrame, artist: Column | str = "k_artist") -> DataFrame:

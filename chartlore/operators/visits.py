@@ -59,14 +59,19 @@ def visit_summary(visits: DataFrame, today: str, days: int = 30) -> DataFrame:
     def line(section: str, frame: DataFrame, period) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), period.alias("period"), "views", "uniques")
 
-    all_time = visits.agg(F.count("*").alias("views")).withColumn("k", F.lit(1)).join(
-        visits.select("visitor").distinct().agg(F.count("*").alias("uniques")).withColumn("k", F.lit(1)), "k")
-    now = visits.filter(F.col("day") == F.lit(today).cast("date"))
-    today_line = now.agg(F.count("*").alias("views")).withColumn("k", F.lit(1)).join(
-        now.select("visitor").distinct().agg(F.count("*").alias("uniques")).withColumn("k", F.lit(1)), "k")
-    last = visits.filter((F.col("day") >= F.date_sub(F.lit(today).cast("date"), days - 1)))
+    # One reduction of the visits; every section sums it up further.
+    base = visits.groupBy("day", "visitor").agg(F.count("*").alias("views"))
+
+    def summed(frame: DataFrame, *by: str) -> DataFrame:
+        sums = [F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.count("visitor").alias("uniques")]
+        return frame.groupBy(*by).agg(*sums) if by else frame.agg(*sums)
+
+    people = base.groupBy("visitor").agg(F.sum("views").alias("views"))
+    months = base.groupBy(F.date_format("day", "yyyy-MM").alias("month"), "visitor").agg(F.sum("views").alias("views"))
+    day = F.lit(today).cast("date")
     return (
-        line("lifetime", all_time, F.lit(None).cast("string"))
-        .unionByName(line("today", today_line, F.lit(today)))
-        .unionByName(line("recent", daily(last), F.col("day").cast("string")))
-        .unionByName(line("monthly", monthly(visits), F.col("month"))))
+        line("lifetime", summed(people), F.lit(None).cast("string"))
+        .unionByName(line("today", summed(base.filter(F.col("day") == day)), F.lit(today)))
+        .unionByName(line("recent", summed(base.filter(F.col("day") >= F.date_sub(day, days - 1)), "day"),
+                          F.col("day").cast("string")))
+        .unionByName(line("monthly", summed(months, "month"), F.col("month"))))

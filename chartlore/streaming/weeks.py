@@ -44,9 +44,11 @@ def week_writer(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # several steps read it; lost parts are read again
         good = new_genuine_weeks(batch, _stored(spark, path, batch_id))
         rows = f"{path}/weeks/batch={batch_id}"
         good.write.mode("overwrite").parquet(rows)
+        batch.unpersist()
         ranking_signatures(spark.read.schema(good.schema).parquet(rows), ["chart", "date"], fold=True).write.mode(
             "overwrite").parquet(f"{path}/signatures/batch={batch_id}")
 
