@@ -29,7 +29,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Harmless forms: identifiers, counting runs, placeholders.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|changeme|dummy|deadbeef|xxxx",
+    r"(?i)example|placeholder|changeme|dummy|deadbeef|x{8}",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
 )
 
@@ -44,9 +44,9 @@ class CharClass:
 
 
 CLASSES = (
-    CharClass("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 2.93),
-    CharClass("alnum", r"^(?=(.*[0-9]){3})(?=(.*[a-z]){3})[a-z0-9]+$", 3.47),
-    CharClass("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.77),
+    CharClass("hex", r"^(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]+$", 2.93),
+    CharClass("alnum", r"^(?=(?:[a-z]*[0-9]){3})(?=(?:[0-9]*[a-z]){3})[a-z0-9]+$", 3.47),
+    CharClass("base64", r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])", 3.77),
 )
 WINDOW = 20
 _CHUNK = 256
@@ -105,31 +105,30 @@ def hot_runs(token: Column, bits: Column, width: int = WINDOW) -> Column:
     The fold carries the symbol counts of the current window, its sum of
     c*log2(c) and the spans so far; each step adds one symbol and, once the
     window is full, takes one away. Only ASCII symbols are counted."""
-    size = F.length(token)
     spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), spans.alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), spans.alias("spans"))
+    codes = F.transform(F.slice(F.split(token, ""), 1, F.length(token)), F.ascii)
+    steps = F.arrays_zip(codes.alias("came"), F.concat(F.array_repeat(F.lit(-1), width), codes).alias("went"))
 
-    def step(s: Column, i: Column) -> Column:
-        came = F.ascii(F.substr(token, i, F.lit(1)))
-        went = F.when(i > width, F.ascii(F.substr(token, i - width, F.lit(1)))).otherwise(F.lit(-1))
+    def step(s: Column, x: Column) -> Column:
+        came, went, at = x["came"], x["went"], s["at"] + 1
         c_in, c_out = F.get(s["counts"], came), F.get(s["counts"], went)
         moved = F.transform(s["counts"], lambda c, k: c + (k == came).cast("int") - (k == went).cast("int"))
         change = F.when(came == went, F.lit(0.0)).otherwise(
             window_sum(c_in + 1) - window_sum(c_in)
-            + F.when(i > width, window_sum(c_out - 1) - window_sum(c_out)).otherwise(F.lit(0.0)))
+            + F.when(went >= 0, window_sum(c_out - 1) - window_sum(c_out)).otherwise(F.lit(0.0)))
         total = s["sum"] + change
-        first = (i - width).cast("bigint")
-        hot = (i >= width) & (F.lit(float(width)) * (F.log2(F.lit(float(width))) - bits) >= total)
-        last = F.element_at(s["spans"], -1)
-        one = F.array(F.struct(first.alias("start"), i.cast("bigint").alias("end")))
-        joined = F.when((F.size(s["spans"]) > 0) & (F.try_element_at(s["spans"], F.lit(-1))["end"] >= first), F.concat(
-            F.slice(s["spans"], 1, F.greatest(F.size(s["spans"]) - 1, F.lit(0))),
-            F.array(F.struct(F.try_element_at(s["spans"], F.lit(-1))["start"].alias("start"), i.cast("bigint").alias("end"))),
-        )).otherwise(F.concat(s["spans"], one))
-        return F.struct(moved.alias("counts"), total.alias("sum"),
-                        F.when(hot, joined).otherwise(s["spans"]).alias("spans"))
-
-    return F.when(size >= width, F.aggregate(F.sequence(F.lit(1), size), start, step)["spans"]).otherwise(spans)
+        first = (at - width).cast("bigint")
+        hot = (at >= width) & (F.lit(float(width)) * (F.log2(F.lit(float(width))) - bits) >= total)
+        last = F.try_element_at(s["spans"], F.lit(-1))
+        longer = F.concat(F.slice(s["spans"], 1, F.greatest(F.size(s["spans"]) - 1, F.lit(0))), F.array(F.struct(
+            last["start"].alias("start"), at.cast("bigint").alias("end"))))
+        further = F.concat(s["spans"], F.array(F.struct(first.alias("start"), at.cast("bigint").alias("end"))))
+        grown = F.when((F.size(s["spans"]) > 0) & (last["end"] >= first), longer).otherwise(further)
+        return F.struct(at.alias("at"), moved.alias("counts"), total.alias("sum"), F.when(hot, grown).otherwise(s["spans"]).alias("spans"))
+
+    # The zip is longer than the token by the window's width.
+    return F.when(F.length(token) >= width, F.aggregate(F.slice(steps, 1, F.length(token)), start, step)["spans"]).otherwise(spans)
 
 
 def class_bits(token: Column, classes=CLASSES) -> Column:
