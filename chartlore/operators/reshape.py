@@ -54,12 +54,19 @@ def _column_names(frame: DataFrame, column: str, order: list) -> list[str]:
     return found
 
 
+def _told_apart(heads: DataFrame, column: str) -> DataFrame:
+    """Titles whose headers coincide keep a column each: later ones are numbered."""
+    turn = F.row_number().over(W.partitionBy(column).orderBy("debut", "title", "k_artist"))
+    return heads.withColumn("turn", turn).withColumn(column, F.when(
+        F.col("turn") == 1, F.col(column)).otherwise(F.concat(column, F.lit(" #"), "turn"))).drop("turn")
+
+
 def rank_pivot(rows: DataFrame) -> DataFrame:
     """One selection's weeks down and titles across, in debut order."""
-    heads = title_columns(rows)
+    heads = _told_apart(title_columns(rows), "header")
     names = _column_names(heads, "header", ["debut", "title", "k_artist"])
     cells = rank_long(rows).join(heads.select("title", "k_artist", "header"), ["title", "k_artist"])
-    return cells.groupBy("date").pivot("header", list(dict.fromkeys(names))).agg(F.min("rank")).orderBy("date")
+    return cells.groupBy("date").pivot("header", names).agg(F.min("rank")).orderBy("date")
 
 
 def weekly_grid_long(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -110,16 +117,17 @@ def versus_weekly_long(rows: DataFrame) -> DataFrame:
 
 def versus_weekly(rows: DataFrame) -> DataFrame:
     """The comparison with one column per artist and title, blocks by artist."""
-    heads = title_columns(rows, ["name"]).withColumn("col", F.concat("name", F.lit(": "), "header"))
+    heads = _told_apart(title_columns(rows, ["name"]).withColumn("col", F.concat("name", F.lit(": "), "header")), "col")
     names = _column_names(heads, "col", ["name", "debut", "title", "k_artist"])
     cells = rank_long(rows, ["name"]).join(
         heads.select("name", "title", "k_artist", "col"), ["name", "title", "k_artist"])
-    return cells.groupBy("date").pivot("col", list(dict.fromkeys(names))).agg(F.min("rank")).orderBy("date")
+    return cells.groupBy("date").pivot("col", names).agg(F.min("rank")).orderBy("date")
 
 
 def artist_history_export(rows: DataFrame, images: DataFrame) -> DataFrame:
     """One artist's history in long form: per cell the header, the artwork (the
-    selection's own first, else any list's) and the rank, and a marker line (is_gap) after each break of over a week."""
+    selection's own first, else any list's) and the rank, and a marker line
+    (is_gap) after each break of over a week."""
     heads = title_columns(rows)
     art = (
         fill_image(heads.select("title", F.col("credit").alias("artist"), "header", "image_url"), images)
