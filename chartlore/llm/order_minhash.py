@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ WORDS = 5
 SIMILAR = 0.8
 PICKED = 3
 SKETCHES = 20
-MAX_ROUNDS = 30
+_SLICE = 256
 _LABEL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,19 +130,31 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
 
 
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    @F.pandas_udf("n int, keys array<bigint>, packed binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(id, rid, n, keys) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                runs = [labelled_shingles(t.as_py()) for t in part.column("text")]
+                keys = pa.array([sketch_keys(r) for r in runs], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("rid"), pa.array([len(r) for r in runs], pa.int32()), keys],
+                    names=["id", "rid", "n", "keys"])
+
+    rows = docs.select(F.col(key).alias("id"), content_id(F.col(text)).alias("rid"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, rid bigint, n int, keys array<bigint>")
+
+
+def _packed(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for texts in batches:
-            for at in range(0, len(texts), 512):
-                part = texts.iloc[at:at + 512]
-                runs = [labelled_shingles(t) for t in part]
-                yield pd.DataFrame({
-                    "n": [len(r) for r in runs], "keys": [sketch_keys(r) for r in runs],
-                    "packed": [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in part]})
+            yield pd.Series([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
 
-    rows = docs.select(F.col(key).alias("id"), content_id(F.col(text)).alias("rid"), run(F.col(text)).alias("s"))
-    return rows.select("id", "rid", "s.n", "s.keys", "s.packed")
+    return run(text)
 
 
 def content_id(text: Column) -> Column:
@@ -160,12 +173,7 @@ def _verified(a: Column, b: Column, least: float) -> Column:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         squeeze = zstandard.ZstdDecompressor()
         for left, right in batches:
-            out, last, runs = [], None, None
-            for x, y in zip(left, right):
-                if x != last:  # pairs come sorted by their centre
-                    last, runs = x, _unpack(squeeze, x)
-                out.append(similarity(runs, _unpack(squeeze, y), least))
-            yield pd.Series(out, dtype=float)
+            yield pd.Series([similarity(_unpack(squeeze, x), _unpack(squeeze, y), least) for x, y in zip(left, right)], dtype=float)
 
     return run(a, b)
 
@@ -198,23 +206,27 @@ def text_classes(docs: DataFrame, key: str, text: str, least: float) -> tuple[Da
     ship_package(docs.sparkSession)
     rows = staged(_sketched(docs, key, text), "sketched")
     # A text per content; null, empty and blank texts are not compared.
-    members = rows.where("n > 0").select("rid", "n", "keys")
+    members = rows.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # One exchange by bucket serves the sizes and the join with them. A text is
+    # in SKETCHES buckets, so none holds more than that part of the rows.
     keys = members.select("rid", "n", F.posexplode("keys").alias("no", "key")).select(
-        "rid", "n", F.xxhash64("no", "key").alias("bucket")).distinct()
-    sizes = staged(keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-    shared = staged(keys.join(sizes, "bucket"), "shared-buckets")
+        "rid", "n", F.xxhash64("no", "key").alias("bucket")).repartition("bucket")
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = staged(keys.join(sizes.hint("merge"), "bucket"), "shared-buckets")
     weight = shared.groupBy("rid").agg(F.sum("size").alias("weight"))
     places = staged(shared.join(weight, "rid").select("bucket", "rid", "n", "weight"), "bucket-places")
-    texts = rows.where("n > 0").join(places.select("rid").distinct(), "rid", "left_semi").groupBy("rid").agg(
-        F.first("packed").alias("packed"), F.first("n").alias("n"))
+    # Texts and pairs grow with the corpus: no side of these joins is broadcast.
+    texts = docs.select(content_id(F.col(text)).alias("rid"), _packed(F.col(text)).alias("packed")).join(
+        places.select("rid").distinct().hint("merge"), "rid", "left_semi").groupBy("rid").agg(F.first("packed").alias("packed"))
     texts = staged(texts, "compared-texts")
     labels = staged(texts.select("rid", F.col("rid").alias("class")), "classes")
-    links, tried = [], []
-    for _ in range(MAX_ROUNDS):
-        pairs = staged(_round_pairs(places, labels, tried, least), "candidate-pairs")
+    links, tried, centres = [], [], []
+    while True:
+        pairs, centre, places = _round_pairs(places, labels, tried, centres, least)
         tried.append(pairs)
-        left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("packed").alias("pa")), "a")
-        both = left.join(texts.select(F.col("rid").alias("b"), F.col("packed").alias("pb")), "b")
+        centres.append(centre)
+        left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("packed").alias("pa")).hint("merge"), "a")
+        both = left.join(texts.select(F.col("rid").alias("b"), F.col("packed").alias("pb")).hint("merge"), "b")
         found = both.select("a", "b", _verified(F.col("pa"), F.col("pb"), least).alias("similarity"))
         found = staged(found.where(F.col("similarity") >= least), "near-links")
         if found.isEmpty():
@@ -242,36 +254,37 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         "n_links", F.when(F.col("n") > 0, F.col("n_copies")).otherwise(F.lit(1)).alias("n_copies"))
 
 
-def _round_pairs(places: DataFrame, labels: DataFrame, tried: list[DataFrame], least: float) -> DataFrame:
-    """Untried pairs (centre, member) of each bucket that holds several classes.
-    The centre is the heaviest member that hasn't been one of this bucket."""
+def _round_pairs(places: DataFrame, labels: DataFrame, tried: list[DataFrame], centres: list[DataFrame],
+                 least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Untried pairs (a, b) of a centre and a member, for each bucket that holds
+    several classes, these centres (bucket, rid), and the places in such buckets:
+    classes only merge, so the others are done. The centre is the heaviest member
+    that hasn't been one of this bucket."""
     at = places.join(labels, "rid")
-    if tried:
-        done = reduce(DataFrame.union, [t.select("bucket", "a") for t in tried]).distinct()
-        free = at.join(done.withColumnRenamed("a", "rid"), ["bucket", "rid"], "left_anti")
-    else:
-        free = at
-    centre = free.groupBy("bucket").agg(F.max_by(
-        F.struct("rid", "n", "class"), F.struct("weight", "rid")).alias("c"))
     spread = at.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-    centre = staged(centre.join(spread, "bucket").select("bucket", "c.*"), "bucket-centres")
+    at = staged(at.join(spread, "bucket", "left_semi"), "placed-classes")
+    free = at
+    if centres:
+        free = at.join(reduce(DataFrame.union, centres).select("bucket", "rid"), ["bucket", "rid"], "left_anti")
+    centre = free.groupBy("bucket").agg(F.max_by(F.struct("rid", "n", "class"), F.struct("weight", "rid")).alias("c"))
+    centre = staged(centre.select("bucket", "c.*"), "bucket-centres")
     pairs = at.join(centre.select("bucket", F.col("rid").alias("a"), F.col("n").alias("an"), F.col("class").alias("ac")), "bucket").where(
         (F.col("class") != F.col("ac")) & (F.least("n", "an") >= least * F.greatest("n", "an")))
-    fresh = pairs.groupBy("a", F.col("rid").alias("b")).agg(F.min("bucket").alias("bucket"))
-    for t in tried:
-        fresh = fresh.join(t.select("a", "b"), ["a", "b"], "left_anti").join(
-            t.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    return fresh
+    fresh = pairs.select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+    if tried:
+        fresh = fresh.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+    return staged(fresh, "candidate-pairs"), centre, at.drop("class")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """`docs` with one row of each class, one with the least id. Texts without
     words all stay. The documents are shuffled once, by their text's name."""
     _, named = text_classes(docs, key, text, least)
-    named = named.where("keep").select(F.col("rid").alias("_rid"), F.col("n").alias("_n"), F.col("least_id").alias("_least"))
-    empty = F.coalesce(F.trim(text) == "", F.lit(True))
-    rest = docs.where(~empty).withColumn("_rid", content_id(F.col(text))).join(named, "_rid")
-    rest = rest.where((F.col("_n") == 0) | F.col(key).eqNullSafe(F.col("_least")))
-    again = F.row_number().over(Window.partitionBy("_rid").orderBy(F.col(key)))
-    rest = rest.withColumn("_again", again).where("_n = 0 OR _again = 1")
-    return rest.select(*docs.columns).union(docs.where(empty))
+    named = named.where("keep").select("rid", "n", "least_id")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    empty = F.coalesce(F.trim("text") == "", F.lit(True))
+    rest = rows.where(~empty).withColumn("rid", content_id(F.col("text"))).join(named, "rid")
+    rest = rest.where((F.col("n") == 0) | F.col("id").eqNullSafe(F.col("least_id")))
+    again = F.row_number().over(Window.partitionBy("rid").orderBy("id"))
+    rest = rest.withColumn("again", again).where("n = 0 OR again = 1")
+    return rest.select("row.*").union(rows.where(empty).select("row.*"))
