@@ -166,8 +166,8 @@ def _pass(state: DataFrame) -> DataFrame:
     keyed = state.withColumn("f", F.xxhash64("lhs", "rhs", F.length("lhs")))
     full = staged(keyed.groupBy("a", "grp", "f").agg(F.sum("m").alias("times")), "digit-groups")
     groups = full.groupBy("a", "grp").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1")
-    known = staged(full.join(groups, ["a", "grp"]).select("a", "grp", "f", "times", "kinds"), "digit-kinds")
-    return staged(keyed.join(known, ["a", "grp", "f"]).drop("f"), "digit-rows")
+    known = staged(full.join(groups.hint("shuffle_hash"), ["a", "grp"]).select("a", "grp", "f", "times", "kinds"), "digit-kinds")
+    return staged(keyed.join(known.hint("shuffle_hash"), ["a", "grp", "f"]).drop("f"), "digit-rows")
 
 
 def _spans(rows: DataFrame, length: int) -> DataFrame:
@@ -185,13 +185,15 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     long_enough = texts.where(F.octet_length("text") >= length)
     found = _anchor_rows(long_enough, length, gram)
     again = staged(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
-    hits = staged(found.join(again, "h"), "anchor-rows")
-    kinds = staged(hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at")), "contexts")
-    sure = hits.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    # Keys of one row each are hashed; the long sides are neither sorted nor held.
+    hits = staged(found.join(again.hint("shuffle_hash"), "h"), "anchor-rows")
+    # Any of the equal ones stands for a context: both columns of one row.
+    kinds = staged(hits.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("rid").alias("rid"), F.first("pos").alias("pos")), "contexts")
+    sure = hits.join(kinds.where("n > 1").select("h", "c").hint("shuffle_hash"), ["h", "c"], "left_semi")
     # Ranges that leave the text are cut to it later.
     sure = sure.select("rid", (F.col("pos") - width).alias("first"), (F.col("pos") + length).alias("last"))
     mixed = kinds.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("h")
-    wanted = kinds.join(mixed, "h").select("at.rid", "at.pos", "h", F.least("n", F.lit(2)).cast("int").alias("m"))
+    wanted = kinds.join(mixed.hint("shuffle_hash"), "h").select("rid", "pos", "h", F.least("n", F.lit(2)).cast("int").alias("m"))
     state = _contexts(long_enough, wanted, length, gram).withColumns({"a": F.lit(0), "b": F.lit(width)})
     state = staged(state, "open-contexts")
     parts = [sure]
