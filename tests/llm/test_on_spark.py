@@ -221,3 +221,11 @@ def test_queries_have_all_rows(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op3_toxicity", "op4_site_quality", "op8_quality_forest", "op9_bpe"):
         assert queries.QUERIES[name][0](spark, SF).count() == n
+
+
+def test_one_very_long_candidate(spark):
+    rnd = random.Random(9)
+    token = "".join(rnd.choice("ABCDEFGHabcdefgh0123456789xyzXYZ") for _ in range(20_000))
+    rows = [(1, token), (2, "q" * 30_000 + "1"), (3, "z" * 20_000 + "12")]
+    got = {r.doc_id: r.spans for r in secret_scan.secrets_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].startswith("entropy:") and got[2] == got[3] == ""
