@@ -152,7 +152,9 @@ def _packed(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for texts in batches:
-            yield pd.Series([squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+            for at in range(0, len(texts), _SLICE):
+                yield pd.Series([squeeze.compress((t or "").encode("utf-8", "surrogatepass"))
+                                 for t in texts.iloc[at:at + _SLICE]], dtype=object)
 
     return run(text)
 
