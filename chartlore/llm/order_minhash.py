@@ -7,11 +7,14 @@ order, which happens the more, the closer they are by edits. With a similarity o
 0.8, two texts miss each other in every bucket once in a million.
 
 Texts are copies, and one representative stands for them, if they are equal. In
-a bucket not all pairs are emitted: members are compared with the bucket's
-centre, the member whose own buckets are largest, as the text in the middle of a
-group of variants shares most with the others. Classes then merge, and rounds
-follow in which each bucket that still holds several classes takes its next
-centre, until a round adds no link.
+`CENTRES` rounds the members of a bucket are compared with its centre, the member
+whose own buckets are largest, as the text in the middle of a group of variants
+shares most with the others; classes merge after each round. Buckets that then
+still hold several classes compare all pairs of different classes: each text has
+a parity bitmap of its shingles, and as two bitmaps differ in no more bits than
+two texts in shingles, pairs that differ in too many bits can't be similar. All
+others are verified, so that two similar texts of one bucket share a class. Large
+buckets are compared in pairs of blocks, by several tasks.
 
 A pair is verified by aligning the two shingle sequences inside the band that a
 similarity of 0.8 allows; with m aligned of a and b shingles the similarity is
@@ -41,6 +44,9 @@ WORDS = 5
 SIMILAR = 0.8
 PICKED = 3
 SKETCHES = 20
+CENTRES = 2
+BLOCK = 2048
+LEAST_BITS = 512
 _SLICE = 256
 _LABEL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,8 +135,43 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return m / (small + large - m)
 
 
+def parity_bits(runs: np.ndarray) -> bytes:
+    """One bit per slot: whether an odd number of runs falls into it. There are
+    at least as many slots as runs, a power of two."""
+    slots = max(LEAST_BITS, 1 << max(0, len(runs) - 1).bit_length())
+    odd = np.bincount((stir(runs * _LABEL) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_be_near(n: np.ndarray, classes: np.ndarray, side: np.ndarray, bits: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of texts of different classes whose sizes and bitmaps allow a
+    similarity of `least`. Where both sides occur, pairs are across them."""
+    kinds, kind, times = np.unique(classes, return_inverse=True, return_counts=True)
+    apart, widths = bool(side.any() and not side.all()), np.array([len(b) for b in bits])
+    share, left, right = (1 - least) / (1 + least), [], []
+    for width in np.unique(widths):
+        # The narrower of two bitmaps counts; the other is folded to its width.
+        at = np.flatnonzero((widths >= width) & (widths <= 4 * width))
+        words = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, width // 8), axis=0) for i in at])
+        some = np.flatnonzero(kind[at] != times.argmax())  # the largest class meets itself in no pair
+        step = max(1, (16 << 20) // (len(at) * int(width)))
+        for start in range(0, len(some), step):
+            rows = some[start:start + step]
+            a, b = at[rows][:, None], at[None, :]
+            differ = np.bitwise_count(words[rows][:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int64)
+            ok = (kind[a] != kind[b]) & (np.minimum(widths[a], widths[b]) == width) & (differ <= share * (n[a] + n[b]) + 1e-6)
+            ok &= np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
+            if apart:
+                ok &= side[a] != side[b]
+            x, y = np.nonzero(ok)
+            left.append(at[rows[x]])
+            right.append(at[y])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, rid, n, keys) of every row."""
+    """(id, rid, n, keys, bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +180,13 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 runs = [labelled_shingles(t.as_py()) for t in part.column("text")]
                 keys = pa.array([sketch_keys(r) for r in runs], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("rid"), pa.array([len(r) for r in runs], pa.int32()), keys],
-                    names=["id", "rid", "n", "keys"])
+                    [part.column("id"), part.column("rid"), pa.array([len(r) for r in runs], pa.int32()), keys,
+                     pa.array([parity_bits(r) for r in runs], pa.binary())],
+                    names=["id", "rid", "n", "keys", "bits"])
 
     rows = docs.select(F.col(key).alias("id"), content_id(F.col(text)).alias("rid"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, rid bigint, n int, keys array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, rid bigint, n int, keys array<bigint>, bits binary")
 
 
 def _packed(text: Column) -> Column:
@@ -222,20 +264,23 @@ def text_classes(docs: DataFrame, key: str, text: str, least: float) -> tuple[Da
         places.select("rid").distinct().hint("merge"), "rid", "left_semi").groupBy("rid").agg(F.first("packed").alias("packed"))
     texts = staged(texts, "compared-texts")
     labels = staged(texts.select("rid", F.col("rid").alias("class")), "classes")
+    bits = rows.where("n > 0").groupBy("rid").agg(F.first("bits").alias("bits"))
     links, tried, centres = [], [], []
-    while True:
-        pairs, centre, places = _round_pairs(places, labels, tried, centres, least)
-        tried.append(pairs)
-        centres.append(centre)
+    for last in [False] * CENTRES + [True]:
+        if last:
+            pairs = _all_pairs(places, labels, bits, least)
+        else:
+            pairs, centre, places = _round_pairs(places, labels, tried, centres, least)
+            tried.append(pairs)
+            centres.append(centre)
         left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("packed").alias("pa")).hint("merge"), "a")
         both = left.join(texts.select(F.col("rid").alias("b"), F.col("packed").alias("pb")).hint("merge"), "b")
         found = both.select("a", "b", _verified(F.col("pa"), F.col("pb"), least).alias("similarity"))
         found = staged(found.where(F.col("similarity") >= least), "near-links")
-        if found.isEmpty():
-            break
         links.append(found)
-        labels = staged(_merged(labels, found), "classes")
-    links = reduce(DataFrame.union, links) if links else found
+        if not found.isEmpty():
+            labels = staged(_merged(labels, found), "classes")
+    links = reduce(DataFrame.union, links)
     ends = links.select(F.explode(F.array("a", "b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("n_links"))
     copies = rows.groupBy("rid").agg(F.count("*").alias("n_copies"), F.min("id").alias("least_id"), F.max("n").alias("n"))
     named = copies.join(labels, "rid", "left").withColumn("class", F.coalesce("class", "rid"))
@@ -278,6 +323,49 @@ def _round_pairs(places: DataFrame, labels: DataFrame, tried: list[DataFrame], c
     return staged(fresh, "candidate-pairs"), centre, at.drop("class")
 
 
+def _all_pairs(places: DataFrame, labels: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes in one bucket that may be similar.
+
+    A bucket of more than `BLOCK` members is cut into blocks by the name of the
+    text; each pair of blocks is a group of its own, at most about two blocks
+    large, and the groups are dealt out by name."""
+    at = places.join(labels, "rid")
+    spread = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    at = at.join(spread.where("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket")
+    at = at.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.join(bits.hint("merge"), "rid").select(
+        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("part"),
+        (F.col("block") > F.col("other")).alias("side"), "rid", "n", "class", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(part: pa.Table) -> pa.RecordBatch:
+            rid = part.column("rid").to_numpy()
+            a, b = may_be_near(part.column("n").to_numpy().astype(np.int64), part.column("class").to_numpy(),
+                               part.column("side").to_numpy(), part.column("bits").to_pylist(), least)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(rid[a], rid[b])), pa.array(np.maximum(rid[a], rid[b]))], names=["a", "b"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            if held and held[-1].column(0)[0].as_py() != part[0]:
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+                held.append(batch.slice(start, end - start))
+                if end < len(part):
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return staged(at.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint").distinct(), "candidate-pairs")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """`docs` with one row of each class, one with the least id. Texts without
     words all stay. The documents are shuffled once, by their text's name."""
