@@ -8,7 +8,9 @@ distance of the whole item to any passage; items within their budget are leaks.
 
 Texts and items are compared in lower case with runs of white space as one
 blank. An item without characters matches nothing. Null and empty documents have
-no leaks; repeated items and repeated documents each get their own answer.
+no leaks; repeated documents each get their own answer. An item is an id, null
+included, with a text: texts that share an id are searched one by one, and rows
+that repeat id and text count once, however the items are cut into blocks.
 
 The items travel to the workers in blocks of bounded size, each built into an
 automaton once per worker; documents are read once and never shuffled.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartlore.llm.common import ship_package
@@ -79,20 +81,22 @@ def best_end(item: str, text: str) -> tuple[int, int]:
 class ItemMatcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = {i: t for i, t in ((i, normal(t)) for i, t in items) if t}
-        self.errors = {i: error_budget(len(t), rate) for i, t in self.items.items()}
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
+        """Items with a null id come first, then by id and text."""
+        distinct = {(i, t) for i, t in ((i, normal(t)) for i, t in items) if t}
+        self.items = sorted(distinct, key=lambda item: (item[0] is not None, item[0] or 0, item[1]))
+        self.errors = [error_budget(len(t), rate) for _, t in self.items]
         wanted = defaultdict(list)
-        for i, t in self.items.items():
-            for offset, piece in pieces(t, self.errors[i]):
-                wanted[piece].append((i, offset + len(piece)))
+        for at, (_, t) in enumerate(self.items):
+            for offset, piece in pieces(t, self.errors[at]):
+                wanted[piece].append((at, offset + len(piece)))
         self.automaton = ahocorasick.Automaton()
         for piece, places in wanted.items():
             self.automaton.add_word(piece, places)
         if wanted:
             self.automaton.make_automaton()
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def leaks(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item, distance, start, end) of the best passage per leaked item;
         positions refer to the normalised text."""
         text = normal(text)
@@ -103,8 +107,9 @@ class ItemMatcher:
             for item, offset in places:
                 starts[item].add(end + 1 - offset)
         found = []
-        for item, at in sorted(starts.items()):
-            best = self._best(self.items[item], self.errors[item], text, sorted(at))
+        for no, at in sorted(starts.items()):
+            item, wanted = self.items[no]
+            best = self._best(wanted, self.errors[no], text, sorted(at))
             if best:
                 found.append((item, *best))
         return found
@@ -136,7 +141,7 @@ class ItemMatcher:
 _MATCHERS: dict[tuple, ItemMatcher] = {}
 
 
-def _matcher(token: int, items: list[tuple[int, str]], rate: float) -> ItemMatcher:
+def _matcher(token: int, items: list[tuple[int | None, str]], rate: float) -> ItemMatcher:
     """One automaton per block and worker process."""
     key = (token, rate, len(items), hash(tuple(items)))
     if key not in _MATCHERS:
@@ -146,16 +151,22 @@ def _matcher(token: int, items: list[tuple[int, str]], rate: float) -> ItemMatch
     return _MATCHERS[key]
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `block_chars` characters."""
-    rows = items.select(F.col(key).cast("bigint").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+def _plain(text: Column) -> Column:
+    """`normal` as a column, by the same function."""
+    return F.udf(normal, "string")(text)
+
+
+def item_blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of about `block_chars` characters; those that are equal
+    once normalised share a block."""
+    rows = items.select(F.col(key).cast("bigint").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     if chars > MAX_ITEM_CHARS:
         raise ValueError(f"the items hold {chars} characters; more than {MAX_ITEM_CHARS} need several calls")
     n = max(1, math.ceil(chars / block_chars))
     for block in range(n):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block) if n > 1 else rows
-        yield sorted((r.i, r.t) for r in part.collect())
+        part = rows.where(F.pmod(F.xxhash64("i", _plain(F.col("t"))), F.lit(n)) == block) if n > 1 else rows
+        yield sorted({(r.i, r.t) for r in part.collect()}, key=lambda item: (item[0] is not None, item[0] or 0, item[1]))
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id",
@@ -165,7 +176,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     ship_package(docs.sparkSession)
     context = docs.sparkSession.sparkContext
 
-    def matching(token: int, block: list[tuple[int, str]]):
+    def matching(token: int, block: list[tuple[int | None, str]]):
         sent = context.broadcast(block)
 
         @F.pandas_udf(LEAKS)
