@@ -48,6 +48,13 @@ CLASSES = (
     CharClass("alnum", r"^(?=(?:[a-z]*[0-9]){3})(?=(?:[0-9]*[a-z]){3})[a-z0-9]+$", 3.47),
     CharClass("base64", r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])", 3.77),
 )
+#: Every candidate has a class; letters alone, with or without separators, need
+#: more than words reach.
+ALL_CLASSES = CLASSES + (
+    CharClass("upper", r"^(?=(?:[A-Z]*[0-9]){3})(?=(?:[0-9]*[A-Z]){3})[A-Z0-9]+$", 3.47),
+    CharClass("digits", r"[0-9]", 3.77),
+    CharClass("letters", r"", 4.0),
+)
 WINDOW = 20
 _CHUNK = 256
 
@@ -146,9 +153,11 @@ def _tagged(spans: Column, kind: str) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", allow=ALLOW, classes=CLASSES, width: int = WINDOW,
-                 base: str = "secret_base", found: str = "secret_spans") -> DataFrame:
+                 cut: bool = False, base: str = "secret_base", found: str = "secret_spans") -> DataFrame:
     """`docs` with two arrays of (start, rank, end, kind): the known forms in
     `base`, these and the entropy spans in `found`, both by start, then kind.
+    A candidate that a known form overlaps gives no entropy span, or with `cut`
+    those of the parts beside the known forms.
 
     Every column of `docs` stays, whatever its name: `base` and `found` must be
     new names. Nulls in `text` count as empty."""
@@ -157,18 +166,35 @@ def find_secrets(docs: DataFrame, text: str = "text", allow=ALLOW, classes=CLASS
     frame = _located(frame, "_text", ASSIGN, "_assign", 2)
     frame = _located(frame, "_text", ACCESS, "_access", gate=F.col("_text").contains("AKIA"))
     frame = _located(frame, "_text", HEX, "_hex")
-    frame = _located(frame, "_text", CANDIDATE, "_cand", gate=digit)
+    frame = _located(frame, "_text", CANDIDATE, "_cand", gate=None if cut else digit)
     frame = frame.withColumn("_assign", F.filter("_assign", lambda m: F.length(m["part"]) >= 8))
     frame = frame.withColumn("_base", F.array_sort(F.concat(
         _tagged(F.col("_assign"), "assign"), _tagged(F.col("_access"), "access"), _tagged(F.col("_hex"), "hex"))))
 
+    def meets(b: Column, m: Column) -> Column:
+        return (b["start"] < m["end"]) & (m["start"] < b["end"])
+
     def wanted(m: Column) -> Column:
         keep = class_bits(m["part"], classes).isNotNull()
         for form in allow:
             keep = keep & ~m["part"].rlike(form)
-        return keep & ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+        return keep if cut else keep & ~F.exists("_base", lambda b: meets(b, m))
+
+    def beside(m: Column) -> Column:
+        """The parts of a candidate between the known forms, wide enough for a window."""
+        known = F.filter("_base", lambda b: meets(b, m))
+        ends = F.transform(known, lambda b: b["end"])
+        starts = F.concat(F.transform(known, lambda b: b["start"]), F.array(m["end"]))
+        # By start; a gap begins where all earlier forms have ended.
+        gaps = F.transform(starts, lambda to, i: F.struct(
+            F.greatest(m["start"], F.coalesce(F.array_max(F.slice(ends, F.lit(1), i)), m["start"])).alias("start"), to.alias("end")))
+        return F.transform(F.filter(gaps, lambda g: g["end"] - g["start"] >= width), lambda g: F.struct(
+            g["start"].alias("start"), g["end"].alias("end"),
+            F.substr(m["part"], (g["start"] - m["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("part")))
 
     frame = frame.withColumn("_cand", F.filter("_cand", wanted))
+    if cut:
+        frame = frame.withColumn("_cand", F.flatten(F.transform("_cand", beside)))
     hot = F.flatten(F.transform("_cand", lambda m: F.transform(
         hot_runs(m["part"], class_bits(m["part"], classes), width),
         lambda r: F.struct((r["start"] + m["start"]).alias("start"), (r["end"] + m["start"]).alias("end")))))
@@ -186,7 +212,9 @@ def listed(spans: Column) -> Column:
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """`docs` with every found span, overlapping ones joined, replaced by `mark`.
-    Texts without spans, nulls included, stay as they are."""
+    Texts without spans, nulls included, stay as they are. All candidates are
+    scored, and the parts of one beside a known form."""
+    options = {"classes": ALL_CLASSES, "cut": True} | options
     frame = find_secrets(docs, text, base="_sbase", found="_sspans", **options)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     joined = F.aggregate("_sspans", none, lambda acc, s: F.when(
