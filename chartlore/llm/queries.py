@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, quality_forest, secret_scan, sharding, site_quality, toxicity, url_filter, window_dedup
+from chartlore.llm import (edit_leaks, fill_middle, license_scan, order_minhash, phrase_mining, prefix_bpe, quality_forest, secret_scan,
+                           sharding, site_quality, toxicity, url_filter, window_dedup)
 from chartlore.llm.common import table, word_model
 
 
@@ -114,6 +115,64 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.phrase_report(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) piece
+  FROM documents),
+runs AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') w FROM pieces),
+sizes AS (SELECT unnest(range(1, {phrase_mining.LONGEST} + 1)) m),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) i FROM runs, sizes WHERE len(w) >= m)),
+counts AS (SELECT lang, m, phrase, count(*) f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::HUGEINT n FROM counts WHERE m = 1 GROUP BY lang),
+often AS (SELECT * FROM counts WHERE f >= {phrase_mining.LEAST}),
+cand AS (
+  SELECT * FROM often c
+  WHERE m >= 2 AND NOT EXISTS (SELECT 1 FROM often b WHERE b.lang = c.lang AND b.m > c.m AND b.f >= c.f
+                               AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (SELECT *, string_split(phrase, ' ') w, unnest(range(1, m)) k FROM cand),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.f a, x.f l, y.f r, n::BIGINT n, k, ((1000::HUGEINT * cut.f * n) // (x.f::HUGEINT * y.f))::BIGINT score
+  FROM cut JOIN total USING (lang)
+  JOIN often x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[:k], ' ')
+  JOIN often y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= {phrase_mining.TOP}
+"""
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.middle_report(table(spark, sf_dir, "documents"))
+
+
+_HASHES = ", ".join(f"('0x' || substr(sha256('1:' || coalesce(cast(doc_id AS VARCHAR), '')), {8 * i + 1}, 8))::UBIGINT h{i + 1}" for i in range(4))
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, length(coalesce(text, ''))::UBIGINT n, {_HASHES} FROM documents),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END form
+  FROM d),
+o AS (SELECT *, substr(t, 1, a::BIGINT) p, substr(t, (a + 1)::BIGINT, (b - a)::BIGINT) mid, substr(t, (b + 1)::BIGINT) s FROM c)
+SELECT doc_id, n::BIGINT n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END prefix_chars,
+       CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || mid WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || mid ELSE t END)
+         output_sha256, sha256(t) restored_sha256
+FROM o
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op1_secret_scan": (op1_secret_scan, OP1_SQL),
@@ -126,4 +185,7 @@ QUERIES = {
     "op8_quality_forest": (op8_quality_forest, None),
     "op9_bpe": (op9_bpe, None),
     "op10_edit_leaks": (op10_edit_leaks, None),
+    "op11_phrase_mining": (op11_phrase_mining, OP11_SQL),
+    "op12_fill_middle": (op12_fill_middle, OP12_SQL),
+    "op13_license_scan": (op13_license_scan, None),
 }
