@@ -211,7 +211,8 @@ def _unpack(squeeze: zstandard.ZstdDecompressor, packed: bytes) -> np.ndarray:
 
 
 def _verified(a: Column, b: Column, least: float) -> Column:
-    """Similarity of two packed texts."""
+    """Similarity of two packed texts. Declared non-deterministic, so that a
+    filter on it isn't pushed below and each pair aligned twice."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -219,7 +220,7 @@ def _verified(a: Column, b: Column, least: float) -> Column:
         for left, right in batches:
             yield pd.Series([similarity(_unpack(squeeze, x), _unpack(squeeze, y), least) for x, y in zip(left, right)], dtype=float)
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
