@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from chartlore.llm.common import ship_package
 
 MAX_MODEL_BYTES = 64 << 20
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 500_000
+CACHED_PIECES = 60_000
+CACHED_PAIRS = 200_000
 SLICE = 256
 _END = 0x400  # added to a symbol that ends a word
 _NEVER = 1 << 60
