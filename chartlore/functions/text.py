@@ -44,6 +44,12 @@ LIGATURES = {c: p for c, p in _FOLDS.items() if len(p) > 1}
 OTHER_PATTERN = "[^\\x00-\\x7f]"
 
 
+def _folded(text: Column) -> Column:
+    """Lower-case text with accents dropped and compatibility forms spelled out;
+    ASCII texts, nearly all, take neither way."""
+    return F.when(F.rlike(text, F.lit(OTHER_PATTERN)), _unfolded(F.translate(text, ACCENTED, PLAIN))).otherwise(text)
+
+
 def _unfolded(text: Column) -> Column:
     table = F.create_map(*(F.lit(v) for pair in LIGATURES.items() for v in pair))
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
@@ -70,8 +76,7 @@ def number(text: Column) -> Column:
 def norm(text: Column) -> Column:
     """Letters and digits only, marks and compatibility forms folded, '&' read as
     'and'."""
-    folded = _unfolded(F.translate(F.lower(text), ACCENTED, PLAIN))
-    return F.regexp_replace(F.replace(folded, F.lit("&"), F.lit(" and ")), "[^a-z0-9]", "")
+    return F.regexp_replace(F.replace(_folded(F.lower(text)), F.lit("&"), F.lit(" and ")), "[^a-z0-9]", "")
 
 
 def title_key(title: Column) -> Column:

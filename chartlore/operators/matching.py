@@ -8,10 +8,9 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartlore.functions.dates import plausible_capture
 from chartlore.functions.text import lead_artist, norm, number, title_key, unswap
@@ -132,22 +131,56 @@ def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
 
 
 # --- entity matching --------------------------------------------------------
+#
+# Source rows and list entries are put into one relation and placed once by list
+# and date. Every window, grouping and join below is by those keys or by these
+# and more, so that placement serves all of them and only sorts follow. What is
+# held together for one list and date is bounded by the depth of its lists.
 
 
-def _pieces(key, n: int):
-    """All substrings of length n, none when the key is shorter."""
-    starts = F.sequence(F.lit(1), F.length(key) - (n - 1))
-    return F.when(F.length(key) >= n, F.transform(starts, lambda i: F.substring(key, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>"))
-
-
-def _containing(rows: DataFrame, entries: DataFrame, at: list[str]) -> DataFrame:
-    """Row keys and entries of one lead artist where one title key contains the
-    other. An artist has at most a list's depth of entries on one date."""
-    keys = [*at, "k_a"]
-    r = rows.select(*keys, F.col("k_t").alias("r_t")).distinct()
-    e = entries.select(*keys, F.col("k_t").alias("e_t"), "last", "n")
-    return r.join(e, keys).filter(F.contains("e_t", "r_t") | F.contains("r_t", "e_t"))
+def _placed(rows: DataFrame, entries: DataFrame, at: list[str], swapped: bool) -> DataFrame:
+    """Both sides as (at, is_row, row, line, k_t, k_a, src_rank, title, artist);
+    `row` is null for entries, `line` for rows."""
+    r = unswap(rows) if swapped else rows
+    line = F.struct("rank", "title", "artist")
+    r = r.withColumn("row", F.struct(*rows.columns)).select(*at, F.lit(True).alias("is_row"), "row", F.lit(None).cast(entries.select(line).schema[0].dataType).alias("line"),
+                 F.col("src_rank").cast("bigint").alias("src_rank"), "title", "artist")
+    e = entries.select(*at, F.lit(False).alias("is_row"), F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
+                       F.col("rank").cast("bigint").alias("src_rank"), "title", "artist")
+    both = r.unionByName(e).repartition(*at)
+    return both.withColumns({"k_t": title_key(F.col("title")), "k_a": lead_artist(F.col("artist"))})
+
+
+def _resolved(both: DataFrame, at: list[str]) -> DataFrame:
+    """`both` with `e`: for a row the entry it resolves to, for an entry its own
+    line."""
+    known = F.col("k_t").isNotNull()
+    for c in at:
+        known = known & F.col(c).isNotNull()
+    named = known & F.col("k_a").isNotNull()
+    out = both.withColumn("e1", F.when(named, F.max("line").over(W.partitionBy(*at, "k_t", "k_a"))))
+    title = W.partitionBy(*at, "k_t")
+    out = out.withColumn("e12", F.coalesce("e1", F.when(known & (F.count("line").over(title) == 1), F.max("line").over(title))))
+    mine = F.collect_list(F.when(~F.col("is_row"), F.struct("k_t", "line"))).over(W.partitionBy(*at, "k_a"))
+    out = out.withColumn("of_artist", F.when(named & F.col("is_row") & F.col("e12").isNull() & (F.col("k_t") != ""), F.filter(
+        mine, lambda e: F.contains(e["k_t"], F.col("k_t")) | F.contains(F.col("k_t"), e["k_t"]))))
+    part = F.when(F.size("of_artist") == 1, F.get("of_artist", F.lit(0))["line"])
+    return out.withColumn("e", F.when(F.col("is_row"), F.coalesce("e12", part)).otherwise(F.col("line"))).drop("e1", "e12", "of_artist")
+
+
+def _taken(resolved: DataFrame, at: list[str]) -> DataFrame:
+    """`resolved` with an entry left to the first row that resolves to it; `free`
+    marks the entries no row has, one of equal lines."""
+    w = W.partitionBy(*at, "e").orderBy(F.desc("is_row"), "src_rank", "title", "artist")
+    rows = F.count_if("is_row").over(W.partitionBy(*at, "e"))
+    first = resolved.withColumn("_no", F.row_number().over(w)).withColumn("_rows", rows)
+    return first.withColumn("free", ~F.col("is_row") & (F.col("_rows") == 0) & (F.col("_no") == 1)).withColumn(
+        "e", F.when(~F.col("is_row") | (F.col("_no") == 1), F.col("e"))).drop("_no", "_rows")
+
+
+def _matched(settled: DataFrame) -> DataFrame:
+    return settled.filter("is_row").select("row.*", "k_t", "k_a", F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
+                                           F.col("e.artist").alias("m_artist"))
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
@@ -156,133 +189,144 @@ def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart"
 
     In order: title and lead artist; title alone if one entry carries it; same
     lead artist and one title containing the other if one entry fits. An entry
-    goes to the first source row that resolves to it.
+    goes to the first source row that resolves to it; ranks may tie. Rows filed
+    under a placeholder title come out put right.
     """
     at = list(at)
-    title, artist = F.col("title"), F.col("artist")
-    r = (unswap(rows) if swapped else rows).withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
-    line = F.struct("rank", "title", "artist")
-    e = entries.withColumns({"k_t": title_key(title), "k_a": lead_artist(artist)})
-    # Both tables are read by several of the steps below: written once.
-    by_both = staged(e.groupBy(*at, "k_t", "k_a").agg(F.max(line).alias("last"), F.count("*").alias("n")), "keys")
-    by_title = by_both.groupBy(*at, "k_t").agg(F.sum("n").alias("n"), F.max("last").alias("e2")).filter(
-        "n = 1").drop("n")
-    known = staged(
-        r.join(by_both.select(*at, "k_t", "k_a", F.col("last").alias("e1")), [*at, "k_t", "k_a"], "left")
-        .join(by_title, [*at, "k_t"], "left")
-        .withColumn("e12", F.coalesce("e1", "e2")).drop("e1", "e2"), "known")
-    open_keys = known.filter("e12 IS NULL AND k_t <> ''").select(*at, "k_t", "k_a")
-    by_part = _containing(open_keys, by_both, at).groupBy(*at, "k_a", F.col("r_t").alias("k_t")).agg(
-        F.sum("n").alias("n"), F.max("last").alias("e3")).filter("n = 1").drop("n")
-    resolved = (known.join(by_part, [*at, "k_a", "k_t"], "left")
-                .withColumn("e", F.coalesce("e12", "e3")).drop("e12", "e3"))
-    # Rows resolving to one entry are rows of one source list. Ranks may tie.
-    turn = F.row_number().over(W.partitionBy(*at, "e").orderBy("src_rank", "title", "artist"))
-    return (
-        resolved.withColumn("e", F.when(turn == 1, F.col("e")))
-        .select(*rows.columns, "k_t", "k_a", F.col("e.rank").alias("m_rank"),
-                F.col("e.title").alias("m_title"), F.col("e.artist").alias("m_artist")))
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of two strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def _candidates(missed: DataFrame, free: DataFrame, at: list[str]) -> DataFrame:
-    """(at, turn, e, prefix, alike, close): entries a missed row could take.
-
-    Two titles 0.85 alike are at most fifteen per cent apart in letters, so some
-    unbroken run of two letters is common to both, of three once they have
-    twenty letters between them. Candidates share such a run; none is missed.
+    return _matched(_taken(_resolved(_placed(rows, entries, at, swapped), at), at))
+
+
+def likeness(title: Column, other: Column, artist: Column, other_artist: Column, least: float = SIMILAR) -> Column:
+    """A struct of near, whether two titles are alike by difflib's ratio, and
+    close, whether their artists are too. Declared non-deterministic, so that a
+    filter on it isn't pushed below and each pair compared twice."""
+
+    @F.pandas_udf("near boolean, close boolean")
+    def run(t: pd.Series, u: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        def alike(x: str, y: str) -> bool:
+            m = difflib.SequenceMatcher(None, x, y)
+            return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+        near = [alike(*pair) for pair in zip(t, u)]
+        return pd.DataFrame({"near": near, "close": [n and alike(x or "", y or "") for n, x, y in zip(near, a, b)]})
+
+    return run.asNondeterministic()(title, other, artist, other_artist)
+
+
+def gram_share(size: Column) -> Column:
+    """How many letter pairs a title of `size` letters shares at least with any
+    title that is alike.
+
+    Titles of L letters in all that are alike have M >= 17 L / 40 letters in
+    common, in blocks with an unshared letter between any two: at most
+    L - 2 M + 1 blocks, so M - (L - 2 M + 1) pairs. The other title has between
+    17 / 23 and 23 / 17 of the letters; the bound grows by 11 pairs in 40
+    letters and swings by less than 3, so the first dozen lengths hold its least
+    value.
+    """
+    low = size + F.ceil(size * 17 / 23).cast("int")
+    high = F.least(low + 11, size + F.floor(size * 23 / 17).cast("int"))
+    return F.array_min(F.transform(F.sequence(low, high), lambda n: 3 * F.ceil(n * 17 / 40).cast("int") - n - 1))
+
+
+def _grams(key: Column) -> Column:
+    """The letter pairs of a key, the second of equal ones told apart and so on;
+    a key of one letter is its own."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, 1, i), lambda h: h == g)).cast("string")))
+
+
+def _candidates(open_: DataFrame, at: list[str]) -> DataFrame:
+    """(at, no, cands): for every open row the free entries it could take, as
+    structs of entry, line, prefix, alike and close.
+
+    Pairs of letters are ordered by how many titles of that list and date have
+    them. Titles that share s pairs share one of their rarest, as many as they
+    have less s - 1: only these are joined, and no pair that is alike is missed.
     """
-    r = missed.select(*at, "turn", "k_t", "k_a")
-    e = free.select(*at, "e", F.col("k_t").alias("e_t"), F.col("k_a").alias("e_a"))
-    short = MIN_PREFIX
-
-    def head(c):
-        return F.substring(c, 1, short)
-
-    starts = (
-        r.filter(F.length("k_t") >= short).withColumn("g", head(F.col("k_t")))
-        .join(e.filter(F.length("e_t") >= short).withColumn("g", head(F.col("e_t"))), [*at, "g"])
-        .filter(F.startswith("e_t", "k_t") | F.startswith("k_t", "e_t")).drop("g")
-        .withColumn("prefix", F.lit(True)).withColumn("near", F.lit(False)))
-
-    def runs(c):
-        two = F.when(F.length(c) <= 12, _pieces(c, 2)).otherwise(F.array().cast("array<string>"))
-        return F.explode(F.array_distinct(F.concat(two, _pieces(c, 3))))
-
-    both = F.length("k_t") + F.length("e_t")
-    same = r.join(e, [F.col("k_t") == F.col("e_t"), *[r[c].eqNullSafe(e[c]) for c in at]]).select(
-        *[r[c] for c in at], "turn", "k_t", "k_a", "e", "e_t", "e_a")
-    shared = (
-        r.withColumn("g", runs(F.col("k_t"))).join(e.withColumn("g", runs(F.col("e_t"))), [*at, "g"])
-        .filter((2 * F.least(F.length("k_t"), F.length("e_t")) >= SIMILAR * both)
-                & ((F.length("g") == 3) | (both < 20))).drop("g"))
-    near = shared.unionByName(same).dropDuplicates([*at, "turn", "e"]).filter(
-        (F.col("e_t") != "") & (similarity("k_t", "e_t") >= SIMILAR))
-    near = near.withColumn("prefix", F.lit(False)).withColumn("near", F.lit(True))
-    return (
-        starts.unionByName(near).groupBy(*at, "turn", "k_a", "e", "e_a")
-        .agg(F.max("prefix").alias("prefix"), F.max("near").alias("near"))
-        .withColumn("alike", F.col("near") & (F.col("k_a") == F.col("e_a")))
-        .withColumn("close", F.col("near") & (similarity("k_a", "e_a") >= SIMILAR))
-        .select(*at, "turn", "e", "prefix", "alike", "close"))
+    size = F.length("k_t")
+    short = F.when(size >= MIN_PREFIX, F.concat(F.lit("^"), F.substring("k_t", 1, MIN_PREFIX)))
+    keyed = open_.filter(size > 0).withColumn("g", F.explode(_grams(F.col("k_t"))))
+    often = keyed.withColumn("often", F.count("*").over(W.partitionBy(*at, "g")))
+    rare = often.withColumn("place", F.row_number().over(W.partitionBy(*at, "is_row", "no").orderBy("often", "g")))
+    rare = rare.filter(F.col("place") <= F.greatest(size - 1, F.lit(1)) - F.greatest(gram_share(size), F.lit(1)) + 1).drop("often", "place")
+    heads = open_.withColumn("g", short).filter("g IS NOT NULL")
+    blank = open_.filter(size == 0).withColumn("g", F.lit(""))  # two empty keys are alike
+    keys = rare.unionByName(heads).unionByName(blank)
+    side = F.struct("no", "k_t", "k_a", "line")
+    met = keys.groupBy(*at, "g").agg(F.collect_list(F.when(F.col("is_row"), side)).alias("r"),
+                                     F.collect_list(F.when(~F.col("is_row"), side)).alias("f"))
+    pairs = met.filter((F.size("r") > 0) & (F.size("f") > 0)).withColumn("r", F.explode("r")).withColumn("f", F.explode("f"))
+    t, u = F.col("r.k_t"), F.col("f.k_t")
+    fits = 40 * F.least(F.length(t), F.length(u)) >= 17 * (F.length(t) + F.length(u))
+    pairs = pairs.withColumn("head", F.startswith("g", F.lit("^"))).filter(F.when(
+        F.col("head"), F.startswith(u, t) | F.startswith(t, u)).otherwise(fits))
+    once = pairs.groupBy(*at, F.col("r.no").alias("no"), F.col("f.no").alias("f_no")).agg(
+        F.max("head").alias("prefix"), F.any_value("r").alias("r"), F.any_value("f").alias("f"))
+    alike = likeness(F.col("r.k_t"), F.col("f.k_t"), F.col("r.k_a"), F.col("f.k_a"))
+    judged = once.withColumn("like", alike).filter("prefix OR like.near")
+    cand = F.struct(F.col("f_no").alias("no"), F.col("f.line").alias("line"), "prefix",
+                    (F.col("like.near") & F.col("r.k_a").eqNullSafe(F.col("f.k_a"))).alias("alike"),
+                    (F.col("like.close") & (F.length("f.k_t") > 0)).alias("close"))
+    return judged.groupBy(*at, "no").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _settled(tagged: DataFrame, at: list[str]) -> DataFrame:
+    """`tagged` with `e` of open rows filled from free entries, row by row."""
+    order = [F.desc("is_row"), "src_rank", "title", "artist"]
+    tagged = tagged.withColumn("no", F.row_number().over(W.partitionBy(*at).orderBy(*order)))
+    open_ = tagged.filter((F.col("is_row") & F.col("e").isNull()) | F.col("free")).select(*at, "is_row", "no", "k_t", "k_a", "line")
+    open_ = open_.filter(F.col("k_t").isNotNull())
+    cands = _candidates(open_, at)
+    lists = cands.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("no", "cands"))).alias("todo"))
+    line = tagged.schema["line"].dataType.simpleString()
+
+    def only(cands: Column, rule: str) -> Column:
+        return _let(F.filter(cands, lambda c: c[rule]), lambda fit: F.when(F.size(fit) == 1, F.get(fit, F.lit(0))))
+
+    def settle(state: Column, row: Column) -> Column:
+        left = F.filter(row["cands"], lambda c: ~F.array_contains(state["used"], c["no"]))
+        won = _let(left, lambda cands: F.coalesce(*(only(cands, rule) for rule in ("prefix", "alike", "close"))))
+        return _let(won, lambda c: F.when(c.isNull(), state).otherwise(F.struct(
+            F.array_append(state["used"], c["no"]).alias("used"),
+            F.array_append(state["won"], F.struct(row["no"].alias("no"), c["line"].alias("line"))).alias("won"))))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<struct<no:int,line:{line}>>").alias("won"))
+    won = lists.select(*at, F.aggregate("todo", start, settle, lambda state: F.map_from_entries(state["won"])).alias("won"))
+    return tagged.filter("is_row").join(won, at, "left").withColumn("e", F.coalesce("e", F.try_element_at("won", F.col("no")))).drop("won")
 
 
 def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date")) -> DataFrame:
     """Fills what `match_entities` left: a unique title prefix; else one entry
     of the same lead artist whose title is 0.85 alike; else one whose title and
     artist both are. Each only among entries not yet used, source rows in rank
-    order.
-
-    A row can only be decided once no earlier open row could take one of its
-    entries. So all rows that are first in line at every entry they could take
-    are decided together, and the rest waits for the next round; a list needs as
-    many rounds as its longest chain of rows wanting the same entries.
+    order: the candidates of a list and date are folded over in that order.
     """
     at = list(at)
     line = F.struct("rank", "title", "artist")
-    # Source rows in the order they are settled: ranks may tie.
-    turn = F.row_number().over(W.partitionBy(*at).orderBy("src_rank", "title", "artist"))
-    columns = matched.columns
-    matched = staged(matched.withColumn("turn", turn), "matched")
-    used = matched.filter("m_rank IS NOT NULL").select(
-        *at, F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"),
-                      F.col("m_artist").alias("artist")).alias("e"))
-    free = staged(
-        entries.select(*at, line.alias("e"), title_key(F.col("title")).alias("k_t"),
-                       lead_artist(F.col("artist")).alias("k_a"))
-        .distinct().join(used, [*at, "e"], "left_anti"), "free")
-    cand = staged(_candidates(matched.filter("m_rank IS NULL"), free, at), "candidates")
-    taken = None
-    while not cand.isEmpty():
-        line_head = cand.groupBy(*at, "e").agg(F.min("turn").alias("head"))
-        state = cand.join(line_head, [*at, "e"]).groupBy(*at, "turn").agg(
-            F.min(F.col("head") == F.col("turn")).alias("ready"),
-            *[F.count_if(c).alias(f"n_{c}") for c in ("prefix", "alike", "close")],
-            *[F.max(F.when(F.col(c), F.col("e"))).alias(f"e_{c}") for c in ("prefix", "alike", "close")])
-        ready = state.filter("ready").select(
-            *at, "turn",
-            F.when(F.col("n_prefix") == 1, F.col("e_prefix"))
-            .when(F.col("n_alike") == 1, F.col("e_alike"))
-            .when(F.col("n_close") == 1, F.col("e_close")).alias("e"))
-        ready = staged(ready, "decided")
-        won = ready.filter("e IS NOT NULL")
-        taken = won if taken is None else taken.unionByName(won)
-        cand = staged(
-            cand.join(ready.drop("e"), [*at, "turn"], "left_anti")
-            .join(won.drop("turn"), [*at, "e"], "left_anti"), "candidates")
-    if taken is None:
-        return matched.select(*columns)
-    extra = taken.select(*at, "turn", F.col("e").alias("x"))
-    return (
-        matched.join(extra, [*at, "turn"], "left")
-        .withColumn("m_rank", F.coalesce("m_rank", "x.rank"))
-        .withColumn("m_title", F.coalesce("m_title", "x.title"))
-        .withColumn("m_artist", F.coalesce("m_artist", "x.artist")).select(*columns))
+    kind = entries.select(line).schema[0].dataType
+    given = F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"), F.col("m_artist").alias("artist")).cast(kind)
+    r = matched.select(*at, F.lit(True).alias("is_row"), F.struct("*").alias("row"), F.lit(None).cast(kind).alias("line"),
+                       F.col("src_rank").cast("bigint").alias("src_rank"), "title", "artist", "k_t", "k_a",
+                       F.when(F.col("m_rank").isNotNull(), given).alias("e"))
+    e = entries.select(*at, F.lit(False).alias("is_row"), F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
+                       F.col("rank").cast("bigint").alias("src_rank"), "title", "artist", title_key(F.col("title")).alias("k_t"),
+                       lead_artist(F.col("artist")).alias("k_a"), line.alias("e"))
+    done = _settled(_taken(r.unionByName(e).repartition(*at), at), at)
+    names = [c for c in matched.columns if c not in ("m_rank", "m_title", "m_artist")]
+    return done.select(*(F.col(f"row.{c}") for c in names), F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
+                       F.col("e.artist").alias("m_artist")).select(*matched.columns)
+
+
+def match_rows(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), swapped: bool = True) -> DataFrame:
+    """`match_entities` and then `match_fuzzy` on one placement of the rows."""
+    at = list(at)
+    return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped), at), at), at))
 
 
 def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -316,7 +360,7 @@ def build_units(captures: DataFrame, rows: DataFrame, entries: DataFrame,
     fits = best_fit(kept, entries, week_candidates(kept, dates))
     placed = place_weeks(fits)
     dated = kept.join(placed, ["chart", "week"])
-    pairs = match_fuzzy(match_entities(dated, entries), entries).filter("m_rank IS NOT NULL")
+    pairs = match_rows(dated, entries).filter("m_rank IS NOT NULL")
     units = pairs.select(
         "chart", "date", F.col("m_title").alias("title"), F.col("m_artist").alias("artist"),
         F.col("m_rank").alias("rank"), number(F.col("units")).alias("units"),

@@ -571,7 +571,47 @@ def match_entities(spark, sf):
         "chart", "date", "week", "src_rank", "k_t", "k_a", "m_rank", "m_title", "m_artist")
 
 
-@register("match_fuzzy")
+# The longest common block of two keys, the first one in each: difflib's step.
+_BLOCK = """list_filter(flatten(list_transform(range(least(length({a}), length({b})), 0, -1), lambda k: list_transform(
+  range(1, length({a}) - k + 2), lambda i: {{'k': k, 'i': i}}))), lambda c: contains({b}, substr({a}, c.i, c.k)))[1]"""
+_FUZZY_SQL = f"""
+mt AS (SELECT *, row_number() OVER (PARTITION BY chart, date ORDER BY src_rank, title, artist) AS no FROM fin),
+fr AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM fin WHERE fin.chart = e.chart AND fin.date = e.date AND fin.m = e.rank)),
+pr AS (SELECT o.chart, o.date, o.no, o.k_t, o.k_a, f.rank AS f_rank, f.k_t AS f_t, f.k_a AS f_a,
+         length(o.k_t) >= 4 AND length(f.k_t) >= 4 AND (starts_with(f.k_t, o.k_t) OR starts_with(o.k_t, f.k_t)) AS prefix
+       FROM mt o JOIN fr f ON f.chart = o.chart AND f.date = o.date WHERE o.m IS NULL),
+both_ AS (SELECT k_t AS a, f_t AS b FROM pr UNION SELECT k_a, f_a FROM pr),
+seg AS (
+  SELECT a AS a0, b AS b0, a, b, {_BLOCK.format(a="a", b="b")} AS blk FROM both_ WHERE 40 * least(length(a), length(b)) >= 17 * (length(a) + length(b))
+  UNION ALL
+  SELECT a0, b0, x.a, x.b, {_BLOCK.format(a="x.a", b="x.b")}
+  FROM (SELECT a0, b0, unnest([
+          {{'a': substr(a, 1, blk.i - 1), 'b': substr(b, 1, instr(b, substr(a, blk.i, blk.k)) - 1)}},
+          {{'a': substr(a, blk.i + blk.k), 'b': substr(b, instr(b, substr(a, blk.i, blk.k)) + blk.k)}}]) AS x
+        FROM seg WHERE blk IS NOT NULL) WHERE x.a <> '' AND x.b <> ''),
+alike AS (SELECT a0, b0 FROM seg GROUP BY 1, 2 HAVING 40 * coalesce(sum(blk.k), 0) >= 17 * (length(a0) + length(b0))),
+cd AS (SELECT pr.*, t.a0 IS NOT NULL AS near, n.a0 IS NOT NULL AS same FROM pr LEFT JOIN alike t ON t.a0 = k_t AND t.b0 = f_t
+       LEFT JOIN alike n ON n.a0 = k_a AND n.b0 = f_a),
+cl AS (SELECT chart, date, no, row_number() OVER (PARTITION BY chart, date ORDER BY no) AS turn,
+         list({{'rank': f_rank, 'prefix': prefix, 'alike': near AND k_a = f_a, 'close': near AND same AND f_t <> ''}}) AS c
+       FROM cd WHERE prefix OR near GROUP BY 1, 2, 3),
+st AS (
+  SELECT DISTINCT chart, date, 0::BIGINT AS turn, []::INT[] AS used, NULL::BIGINT AS no, NULL::INT AS won FROM cl
+  UNION ALL
+  SELECT chart, date, turn, CASE WHEN won IS NULL THEN used ELSE list_append(used, won) END, no, won FROM (
+    SELECT *, CASE WHEN len(list_filter(c, lambda x: x.prefix)) = 1 THEN list_filter(c, lambda x: x.prefix)[1].rank
+                   WHEN len(list_filter(c, lambda x: x.alike)) = 1 THEN list_filter(c, lambda x: x.alike)[1].rank
+                   WHEN len(list_filter(c, lambda x: x.close)) = 1 THEN list_filter(c, lambda x: x.close)[1].rank END AS won
+    FROM (SELECT cl.chart, cl.date, cl.turn, st.used, cl.no, list_filter(cl.c, lambda x: NOT list_contains(st.used, x.rank)) AS c
+          FROM st JOIN cl ON cl.chart = st.chart AND cl.date = st.date AND cl.turn = st.turn + 1))),
+fz AS (SELECT mt.chart, mt.date, week, src_rank, coalesce(m, won) AS m_rank FROM mt
+       LEFT JOIN st ON st.chart = mt.chart AND st.date = mt.date AND st.no = mt.no)"""
+_FUZZY = with_sql(*_SRC, _UNSWAP_SQL, _FUZZY_SQL).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT fz.chart, fz.date, week, src_rank, m_rank, albums.title AS m_title, albums.artist AS m_artist
+FROM fz LEFT JOIN albums ON albums.chart = fz.chart AND albums.date = fz.date AND albums.rank = m_rank"""
+
+
+@register("match_fuzzy", _FUZZY)
 def match_fuzzy(spark, sf):
     lists, rows = both_sources(spark, sf)
     matched = matching.match_entities(dated(rows), lists)
@@ -579,6 +619,12 @@ def match_fuzzy(spark, sf):
         "chart", "date", "week", "src_rank", "m_rank", "m_title", "m_artist")
 
 
+@register("match_rows", _FUZZY)
+def match_rows(spark, sf):
+    lists, rows = both_sources(spark, sf)
+    return matching.match_rows(dated(rows), lists).select("chart", "date", "week", "src_rank", "m_rank", "m_title", "m_artist")
+
+
 _OFFICIAL_SQL = """
 figs AS (SELECT chart, date, CASE extract(month FROM date) % 4 WHEN 0 THEN title WHEN 1 THEN replace(upper(title), 'S', '$') || ' Deluxe'
            WHEN 2 THEN 'Something else' ELSE 'Other' END AS title,
