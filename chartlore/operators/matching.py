@@ -8,13 +8,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chartlore.functions.dates import plausible_capture
 from chartlore.functions.text import lead_artist, norm, number, title_key, unswap
-from chartlore.operators.ingest import source_precedence
 from chartlore.operators.quality import list_signature
 from chartlore.session import staged
 
@@ -92,42 +91,53 @@ def latest_capture(captures: DataFrame) -> DataFrame:
         F.max("taken").alias("taken"))
 
 
-def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
-    """(chart, week, date): each source week on the list date it fits best.
+def placements(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
+    """Every (chart, week) of `fits` with the list date it is placed on, or no
+    date and the reason.
 
     1. Best by (exact, overlap); too weak or tied weeks are dropped.
     2. A week whose lag is off from both neighbours', while they agree, moves to
        their lag if exactly one good candidate lies there, else it is dropped.
        Neighbours are those of step 1.
     3. Of two weeks on one date the better fit stays, none on a tie.
+
+    A week's candidates, a few by the range they come from, travel with it; the
+    two windows that follow are over the weeks of a list and share its placement.
     """
-    fits = staged(fits, "fits")
-    best = W.partitionBy("chart", "week").orderBy(F.desc("exact"), F.desc("overlap"), F.desc("date"))
-    ranked = fits.withColumn("lag", F.datediff("date", "week")).withColumn(
-        "n", F.row_number().over(best))
-    tied = (F.lead("exact").over(best) == F.col("exact")) & (F.lead("overlap").over(best) == F.col("overlap"))
-    first = (
-        ranked.withColumn("tied", F.coalesce(tied, F.lit(False))).filter("n = 1")
-        .filter((F.col("overlap") >= min_fit) & ~F.col("tied")))
-    order = W.partitionBy("chart").orderBy("week")
-    around = first.withColumn("before", F.lag("lag").over(order)).withColumn("after", F.lead("lag").over(order))
-    odd = F.coalesce((F.abs(F.col("before") - F.col("after")) <= 2)
-                     & (F.abs(F.col("lag") - F.col("before")) >= 4), F.lit(False))
-    marked = around.withColumn("odd", odd)
-    moved = (
-        marked.filter("odd").select("chart", "week", "before")
-        .join(ranked.select("chart", "week", "date", "exact", "overlap", "lag"), ["chart", "week"])
-        .filter(F.abs(F.col("lag") - F.col("before")) <= 2)
-        .groupBy("chart", "week").agg(F.count("*").alias("k"), F.min(F.struct("date", "exact", "overlap")).alias("c"))
-        .filter((F.col("k") == 1) & (F.col("c.overlap") >= min_fit))
-        .select("chart", "week", "c.date", "c.exact", "c.overlap"))
-    placed = marked.filter("NOT odd").select("chart", "week", "date", "exact", "overlap").unionByName(moved)
-    fit = F.struct("exact", "overlap")
-    per_date = placed.groupBy("chart", "date").agg(F.max(fit).alias("top"))
-    winners = (placed.join(per_date, ["chart", "date"]).filter(fit == F.col("top"))
-               .groupBy("chart", "date").agg(F.count("*").alias("k"), F.min("week").alias("week"))
-               .filter("k = 1"))
-    return winners.select("chart", "week", "date")
+    cand = F.struct("exact", "overlap", "date")
+    weeks = fits.groupBy("chart", "week").agg(F.sort_array(F.collect_list(cand), asc=False).alias("cands"))
+    best, second = F.get("cands", F.lit(0)), F.get("cands", F.lit(1))
+    day = F.date_format(best["date"], "yyyy-MM-dd")
+    shown = F.concat(best["exact"].cast("string"), F.lit("/"), best["overlap"].cast("string"), F.lit(" on "), day)
+    tied = F.coalesce((best["exact"] == second["exact"]) & (best["overlap"] == second["overlap"]), F.lit(False))
+    weeks = weeks.withColumn("reason", F.when(best["overlap"] < min_fit, F.concat(F.lit("best fit "), shown)).when(
+        tied, F.concat(F.lit("fit tied: "), shown, F.lit(" and "), F.date_format(second["date"], "yyyy-MM-dd"))))
+    weeks = weeks.withColumn("own", F.when(F.col("reason").isNull(), F.datediff(best["date"], F.col("week"))))
+    around = weeks.withColumn("before", F.expr("lag(own) IGNORE NULLS OVER (PARTITION BY chart ORDER BY week)")).withColumn(
+        "after", F.expr("lead(own) IGNORE NULLS OVER (PARTITION BY chart ORDER BY week)"))
+    odd = F.coalesce(F.col("own").isNotNull() & (F.abs(F.col("before") - F.col("after")) <= 2)
+                     & (F.abs(F.col("own") - F.col("before")) >= 4), F.lit(False))
+    near = F.filter("cands", lambda c: F.abs(F.datediff(c["date"], F.col("week")) - F.col("before")) <= 2)
+    moved = F.when((F.size(near) == 1) & (F.get(near, F.lit(0))["overlap"] >= min_fit), F.get(near, F.lit(0)))
+    placed = around.withColumn("odd", odd).withColumn("fit", F.when(F.col("reason").isNull(), F.when(F.col("odd"), moved).otherwise(best)))
+    placed = placed.withColumn("reason", F.when(F.col("odd") & F.col("fit").isNull(), F.concat(
+        F.lit("lag "), F.col("own").cast("string"), F.lit(" against neighbours "), F.col("before").cast("string"), F.lit("/"),
+        F.col("after").cast("string"))).otherwise(F.col("reason"))).withColumn("date", F.col("fit.date"))
+    same = W.partitionBy("chart", "date").orderBy(F.desc("fit.exact"), F.desc("fit.overlap"), F.desc("week"))
+    whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rival = placed.withColumn("n", F.row_number().over(same)).withColumn("one", F.first(F.struct("fit", "week")).over(whole)).withColumn(
+        "two", F.nth_value(F.struct("fit", "week"), 2).over(whole))
+    on = F.date_format("date", "yyyy-MM-dd")
+    equal = F.coalesce(F.col("one.fit") == F.col("two.fit"), F.lit(False))
+    reason = F.when(F.col("date").isNull(), F.col("reason")).when(equal, F.concat(F.lit("shares "), on, F.lit(" with an equal fit"))).when(
+        F.col("n") > 1, F.concat(on, F.lit(" fits "), F.date_format("one.week", "yyyy-MM-dd"), F.lit(" better")))
+    return rival.withColumn("reason", reason).select("chart", "week", F.when(F.col("reason").isNull(), F.col("date")).alias("date"), "reason")
+
+
+def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
+    """(chart, week, date): each source week on the list date it fits best, by
+    the rules of `placements`."""
+    return placements(fits, min_fit).filter("reason IS NULL").select("chart", "week", "date")
 
 
 # --- entity matching --------------------------------------------------------
@@ -349,27 +359,87 @@ def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:
               F.concat(F.lit("stored No. 1 is "), "s_title", F.lit(" by "), "s_artist")))
 
 
-def build_units(captures: DataFrame, rows: DataFrame, entries: DataFrame,
-                official: DataFrame | None = None, source: str = "source") -> DataFrame:
-    """Units per stored entry: last captures, copies dropped, weeks placed,
-    entities matched, the official figures taking precedence."""
-    kept = rows.join(latest_capture(captures).select("chart", "week", "capture_id"),
-                     ["chart", "week", "capture_id"], "left_semi")
-    kept = staged(kept.join(copied_weeks(kept), ["chart", "week"], "left_anti"), "kept")
+#: What can become of a row of the second source or of an official figure.
+STATUSES = ("used", "outranked", "no figure", "superseded", "copied", "unplaced", "pending", "owned", "unmatched", "rejected")
+
+
+def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, official: DataFrame | None = None,
+                 owned: DataFrame | None = None, source: str = "source", days: int | None = None) -> DataFrame:
+    """Every input row with what became of it: source rows and official figures
+    as chart, week, src_rank, title, artist, the entry (date, m_rank, m_title,
+    m_artist), figures, source, status and reason. Statuses are those of
+    `STATUSES`; each row has one, so their counts add up to the input.
+
+    Only the last capture of a week counts, copies of a neighbouring week are
+    left out, weeks are placed on list dates by their fit (or `days` later, where
+    a list not yet published leaves them pending), list dates in `owned` (chart,
+    date) belong to another source, and an official figure outranks others.
+    `rows` may hold `albums`, `tea` and `sea` beside `units`.
+    """
+    figures = {"units": "units", "album_sales": "albums", "tea": "tea", "sea": "sea"}
+    extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in figures.values()}
+    rows = rows.withColumns(extra)
+    last = latest_capture(captures).select("chart", "week", F.col("capture_id").alias("last_id"))
+    # Read for the copies, the fits and the rows themselves: written once.
+    marked = staged(rows.join(last, ["chart", "week"], "left").withColumn(
+        "superseded", ~F.coalesce(F.col("capture_id") == F.col("last_id"), F.lit(False))).drop("last_id"), "captured")
+    shown = marked.filter("NOT superseded")
+    copies = copied_weeks(shown).withColumn("copied", F.lit(True))
     dates = entries.select("chart", "date").distinct()
-    fits = best_fit(kept, entries, week_candidates(kept, dates))
-    placed = place_weeks(fits)
-    dated = kept.join(placed, ["chart", "week"])
-    pairs = match_rows(dated, entries).filter("m_rank IS NOT NULL")
-    units = pairs.select(
-        "chart", "date", F.col("m_title").alias("title"), F.col("m_artist").alias("artist"),
-        F.col("m_rank").alias("rank"), number(F.col("units")).alias("units"),
-        F.lit(source).alias("source"), F.col("week").alias("source_week"),
-        F.col("src_rank").alias("source_rank"), F.col("src_rank").alias("seq"))
+    weeks = shown.select("chart", "week").distinct().join(copies, ["chart", "week"], "left")
+    open_weeks = weeks.filter("copied IS NULL").select("chart", "week")
+    if days is None:
+        kept = shown.join(copies, ["chart", "week"], "left_anti")
+        placed = open_weeks.join(placements(best_fit(kept, entries, week_candidates(open_weeks, dates))), ["chart", "week"], "left")
+        placed = placed.withColumn("reason", F.when(F.col("date").isNull(), F.coalesce("reason", F.lit("no list in range"))))
+        lost = "unplaced"
+    else:
+        due = open_weeks.withColumn("date", F.date_add("week", days))
+        out = dates.withColumn("out", F.lit(True))
+        placed = due.join(out, ["chart", "date"], "left").select(
+            "chart", "week", F.when(F.col("out"), F.col("date")).alias("date"),
+            F.when(F.col("out").isNull(), F.concat(F.lit("no list of "), F.date_format("date", "yyyy-MM-dd"))).alias("reason"))
+        lost = "pending"
+    if owned is not None:
+        placed = placed.join(owned.select("chart", "date").distinct().withColumn("owned", F.lit(True)), ["chart", "date"], "left")
+    else:
+        placed = placed.withColumn("owned", F.lit(None).cast("boolean"))
+    fate = weeks.join(placed, ["chart", "week"], "left").select(
+        "chart", "week", "date", F.when(F.col("copied"), "copied").when(F.col("date").isNull(), lost).when(F.col("owned"), "owned").alias("status"),
+        F.when(F.col("copied"), "equal to a neighbouring week").otherwise(F.col("reason")).alias("reason"))
+    dated = marked.join(fate, ["chart", "week"], "left").withColumn("status", F.when(F.col("superseded"), "superseded").otherwise(F.col("status")))
+    # Rows that have a status don't take part; without a date nothing is near them.
+    dated = dated.withColumn("date", F.when(F.col("status").isNull(), F.col("date")))
+    found = match_rows(dated, entries)
+    ledger = found.select(
+        "chart", "week", "src_rank", "title", "artist", "date", "m_rank", "m_title", "m_artist",
+        *(number(F.col(c)).alias(name) for name, c in figures.items()), F.lit(source).alias("source"),
+        F.coalesce("status", F.when(F.col("m_rank").isNull(), "unmatched")).alias("status"), "reason")
     if official is not None:
-        good = pin_official(official, entries).filter("reason IS NULL")
-        units = units.unionByName(good.select(
-            "chart", "date", F.col("s_title").alias("title"), F.col("s_artist").alias("artist"),
-            F.lit(1).alias("rank"), "units", F.lit("official").alias("source"),
-            F.col("date").alias("source_week"), F.lit(1).alias("source_rank"), F.lit(0).alias("seq")))
-    return source_precedence(units, "official").drop("seq")
+        pinned = pin_official(official, entries)
+        good = F.col("reason").isNull()
+        ledger = ledger.unionByName(pinned.select(
+            "chart", F.col("date").alias("week"), F.lit(1).alias("src_rank"), "title", "artist", F.when(good, F.col("date")).alias("date"),
+            F.when(good, 1).alias("m_rank"), F.when(good, F.col("s_title")).alias("m_title"), F.when(good, F.col("s_artist")).alias("m_artist"),
+            F.col("units").cast("bigint").alias("units"), *(F.lit(None).cast("bigint").alias(c) for c in ("album_sales", "tea", "sea")),
+            F.lit("official").alias("source"), F.when(~good, "rejected").alias("status"), "reason"))
+    is_official = F.col("source") == "official"
+    claim = W.partitionBy("chart", "date", F.trim("m_title"), F.trim("m_artist"), F.col("status").isNull() & F.col("units").isNotNull()).orderBy(
+        F.desc(is_official), F.when(is_official, F.col("src_rank")).otherwise(-F.col("src_rank")), F.desc("week"))
+    return ledger.withColumn("status", F.coalesce("status", F.when(F.col("units").isNull(), "no figure").when(
+        F.row_number().over(claim) > 1, "outranked").otherwise("used")))
+
+
+def counted(ledger: DataFrame, observation: Observation) -> DataFrame:
+    """The ledger with its rows counted by status as they pass by; the figures
+    are there once an action on the result has ended."""
+    return ledger.observe(observation, F.count("*").alias("rows"), *(
+        F.count_if(F.col("status") == s).alias(s.replace(" ", "_")) for s in STATUSES))
+
+
+def build_units(captures: DataFrame, rows: DataFrame, entries: DataFrame, official: DataFrame | None = None,
+                source: str = "source", **options) -> DataFrame:
+    """Units per stored entry: the used rows of `units_ledger`."""
+    used = units_ledger(captures, rows, entries, official, source=source, **options).filter("status = 'used'")
+    return used.select("chart", "date", F.trim("m_title").alias("title"), F.trim("m_artist").alias("artist"), F.col("m_rank").alias("rank"),
+                       "units", "album_sales", "tea", "sea", "source", F.col("week").alias("source_week"), F.col("src_rank").alias("source_rank"))

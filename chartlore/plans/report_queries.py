@@ -694,11 +694,86 @@ def override_join(spark, sf):
     return ingest.override_join(rows, fixes, ["p_partkey"]).drop("text")
 
 
-@register("build_units")
+# Everything that leads to units: copies go first, then weeks are placed. One
+# list's dates belong to another source; two captures of each week came too soon
+# or too late.
+_LEDGER_SQL = f"""
+owned AS (SELECT DISTINCT chart, date FROM albums WHERE chart = 'list_0' AND extract(month FROM date) = 5),
+copy AS (SELECT chart, nw AS week FROM pairs WHERE l = nl UNION SELECT chart, week FROM pairs WHERE l = nl),
+src AS (SELECT * FROM src0 WHERE (chart, week) NOT IN (SELECT (chart, week) FROM copy))"""
+_PLACED_SQL = """
+placed AS (SELECT chart, week, date FROM pl p WHERE NOT EXISTS (
+  SELECT 1 FROM pl q WHERE q.chart = p.chart AND q.date = p.date AND q.week <> p.week AND (q.exact, q.overlap) >= (p.exact, p.overlap))),
+ready AS (SELECT * FROM placed WHERE (chart, date) NOT IN (SELECT (chart, date) FROM owned))"""
+_LEDGER = with_sql(
+    ENTRIES_SQL, ALBUMS_SQL, SOURCE_SQL.replace("src AS", "src0 AS"), _OFFICIAL_SQL,
+    "slist" + _COPY_SQL.split("slist", 1)[1].split(",\nown AS")[0].replace("FROM src ", "FROM src0 "),
+    "pairs AS (SELECT *, lead(l) OVER w AS nl, lead(week) OVER w AS nw FROM slist WINDOW w AS (PARTITION BY chart ORDER BY week))",
+    _LEDGER_SQL, _CAND_SQL, _FIT_SQL, _PLACE_SQL, _PLACED_SQL,
+    _UNSWAP_SQL.replace("CAST(week + 9 AS DATE) AS date", "date").replace("FROM src),", "FROM src JOIN ready USING (chart, week)),"),
+    _FUZZY_SQL, """
+off AS (SELECT f.chart, f.date, units, a.title AS s_title, a.artist AS s_artist, extract(month FROM f.date) % 4 <> 3 AS good
+        FROM figs f JOIN albums a ON a.chart = f.chart AND a.date = f.date AND a.rank = 1),
+led AS (
+  SELECT s.chart, s.week, s.src_rank, p.date, fz.m_rank, CAST(replace(s.units, ',', '') AS BIGINT) AS units, 'source' AS source,
+    CASE WHEN c.week IS NOT NULL THEN 'copied' WHEN p.date IS NULL THEN 'unplaced' WHEN r.date IS NULL THEN 'owned'
+         WHEN fz.m_rank IS NULL THEN 'unmatched' END AS status
+  FROM src0 s LEFT JOIN copy c ON c.chart = s.chart AND c.week = s.week LEFT JOIN placed p ON p.chart = s.chart AND p.week = s.week
+  LEFT JOIN ready r ON r.chart = s.chart AND r.week = s.week
+  LEFT JOIN fz ON fz.chart = s.chart AND fz.week = s.week AND fz.src_rank = s.src_rank
+  UNION ALL SELECT chart, date, 1, date, 1, units, 'official', CASE WHEN NOT good THEN 'rejected' END FROM off
+  UNION ALL SELECT chart, week, src_rank, NULL, NULL, CAST(replace(units, ',', '') AS BIGINT), 'source', 'superseded' FROM src0 WHERE src_rank <= 2)""").replace("WITH", "WITH RECURSIVE", 1)
+_STATUS_SQL = """
+fate AS (SELECT chart, week, src_rank, CASE WHEN status IS NULL OR status = 'unmatched' THEN date END AS date,
+           CASE WHEN status IS NULL THEN m_rank END AS m_rank, units, source, coalesce(status, CASE WHEN row_number() OVER (
+             PARTITION BY chart, date, m_rank, status ORDER BY source = 'official' DESC, -src_rank, week DESC) > 1 THEN 'outranked' ELSE 'used' END) AS status
+         FROM led)"""
+
+
+def ledger(spark, sf):
+    lists, rows = both_sources(spark, sf)
+    named = rows.withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("b")))
+    early = rows.filter("src_rank <= 2").withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("a")))
+    owned = lists.filter("chart = 'list_0' AND month(date) = 5")
+    return matching.units_ledger(captures(rows), named.unionByName(early), lists, figures(lists), owned)
+
+
+@register("units_ledger", _LEDGER.rstrip() + "," + _STATUS_SQL + "SELECT * FROM fate")
+def units_ledger(spark, sf):
+    return ledger(spark, sf).select("chart", "week", "src_rank", "date", "m_rank", "units", "source", "status")
+
+
+@register("units_ledger_counts", _LEDGER.rstrip() + "," + _STATUS_SQL + "SELECT status, source, count(*) AS n FROM fate GROUP BY 1, 2")
+def units_ledger_counts(spark, sf):
+    return ledger(spark, sf).groupBy("status", "source").agg(F.count("*").alias("n"))
+
+
+@register("build_units", _LEDGER.rstrip() + "," + _STATUS_SQL + """
+SELECT f.chart, f.date, trim(a.title) AS title, trim(a.artist) AS artist, f.m_rank AS rank, f.units, f.source, f.week AS source_week,
+       f.src_rank AS source_rank
+FROM fate f JOIN albums a ON a.chart = f.chart AND a.date = f.date AND a.rank = f.m_rank WHERE status = 'used'""")
 def build_units(spark, sf):
     lists, rows = both_sources(spark, sf)
     named = rows.withColumn("capture_id", F.concat_ws("/", "chart", "week", F.lit("b")))
-    return matching.build_units(captures(rows), named, lists, figures(lists))
+    owned = lists.filter("chart = 'list_0' AND month(date) = 5")
+    return matching.build_units(captures(rows), named, lists, figures(lists), owned=owned).drop("album_sales", "tea", "sea")
+
+
+_PLACEMENT_SQL = """
+won AS (SELECT chart, week, date FROM pl p WHERE NOT EXISTS (
+  SELECT 1 FROM pl q WHERE q.chart = p.chart AND q.date = p.date AND q.week <> p.week AND (q.exact, q.overlap) >= (p.exact, p.overlap)))"""
+
+
+@register("placements", with_sql(*_SRC, _CAND_SQL, _FIT_SQL, _PLACE_SQL, _PLACEMENT_SQL) + """
+SELECT r.chart, r.week, won.date, CASE WHEN won.date IS NOT NULL THEN NULL WHEN r.overlap < 7 THEN 'best fit' WHEN r.tied THEN 'fit tied'
+  WHEN pl.week IS NULL THEN 'lag' ELSE 'rival' END AS kind
+FROM (SELECT chart, week, overlap, coalesce(tied, false) AS tied FROM r WHERE n = 1) r LEFT JOIN pl ON pl.chart = r.chart AND pl.week = r.week
+LEFT JOIN won ON won.chart = r.chart AND won.week = r.week""")
+def placements(spark, sf):
+    placed = matching.placements(fits(spark, sf))
+    return placed.select("chart", "week", "date", F.expr(
+        "CASE WHEN reason LIKE 'best fit%' THEN 'best fit' WHEN reason LIKE 'fit tied%' THEN 'fit tied' WHEN reason LIKE 'lag%' THEN 'lag' "
+        "WHEN reason IS NOT NULL THEN 'rival' END").alias("kind"))
 
 
 def captures(rows):
