@@ -255,21 +255,21 @@ def _candidates(open_: DataFrame, at: list[str]) -> DataFrame:
     have less s - 1: only these are joined, and no pair that is alike is missed.
     """
     size = F.length("k_t")
-    short = F.when(size >= MIN_PREFIX, F.concat(F.lit("^"), F.substring("k_t", 1, MIN_PREFIX)))
-    keyed = open_.filter(size > 0).withColumn("g", F.explode(_grams(F.col("k_t"))))
-    often = keyed.withColumn("often", F.count("*").over(W.partitionBy(*at, "g")))
-    rare = often.withColumn("place", F.row_number().over(W.partitionBy(*at, "is_row", "no").orderBy("often", "g")))
-    rare = rare.filter(F.col("place") <= F.greatest(size - 1, F.lit(1)) - F.greatest(gram_share(size), F.lit(1)) + 1).drop("often", "place")
-    heads = open_.withColumn("g", short).filter("g IS NOT NULL")
-    blank = open_.filter(size == 0).withColumn("g", F.lit(""))  # two empty keys are alike
-    keys = rare.unionByName(heads).unionByName(blank)
+    # Keys of a title: its letter pairs; its beginning, which a title prefix has
+    # to share; one for empty titles, which are alike.
+    head = F.when(size >= MIN_PREFIX, F.array(F.concat(F.lit("^"), F.substring("k_t", 1, MIN_PREFIX)))).otherwise(F.array().cast("array<string>"))
+    keyed = open_.withColumn("g", F.explode(F.when(size > 0, F.concat(_grams(F.col("k_t")), head)).otherwise(F.array(F.lit("")))))
+    keyed = keyed.withColumn("head", F.startswith("g", F.lit("^"))).withColumn("often", F.count("*").over(W.partitionBy(*at, "g")))
+    place = F.row_number().over(W.partitionBy(*at, "is_row", "no").orderBy("head", "often", "g"))
+    wanted = F.greatest(size - 1, F.lit(1)) - F.greatest(gram_share(size), F.lit(1)) + 1
+    keys = keyed.withColumn("place", place).filter(F.col("head") | (F.col("place") <= wanted)).drop("often", "place")
     side = F.struct("no", "k_t", "k_a", "line")
-    met = keys.groupBy(*at, "g").agg(F.collect_list(F.when(F.col("is_row"), side)).alias("r"),
+    met = keys.groupBy(*at, "g", "head").agg(F.collect_list(F.when(F.col("is_row"), side)).alias("r"),
                                      F.collect_list(F.when(~F.col("is_row"), side)).alias("f"))
     pairs = met.filter((F.size("r") > 0) & (F.size("f") > 0)).withColumn("r", F.explode("r")).withColumn("f", F.explode("f"))
     t, u = F.col("r.k_t"), F.col("f.k_t")
     fits = 40 * F.least(F.length(t), F.length(u)) >= 17 * (F.length(t) + F.length(u))
-    pairs = pairs.withColumn("head", F.startswith("g", F.lit("^"))).filter(F.when(
+    pairs = pairs.filter(F.when(
         F.col("head"), F.startswith(u, t) | F.startswith(t, u)).otherwise(fits))
     once = pairs.groupBy(*at, F.col("r.no").alias("no"), F.col("f.no").alias("f_no")).agg(
         F.max("head").alias("prefix"), F.any_value("r").alias("r"), F.any_value("f").alias("f"))
