@@ -51,7 +51,8 @@ def _folded(text: Column) -> Column:
 
 
 def _unfolded(text: Column) -> Column:
-    table = F.create_map(*(F.lit(v) for pair in LIGATURES.items() for v in pair))
+    # One literal, folded into a map once: a map of so many columns is slow to build.
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{p}" for c, p in LIGATURES.items())), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
         c > F.lit("\x7f"), F.coalesce(F.try_element_at(table, c), F.lit(""))).otherwise(c)), "")
     return F.when(F.rlike(text, F.lit(OTHER_PATTERN)), spelled).otherwise(text)

@@ -1,9 +1,15 @@
 """The cross-list title index and its lookups."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chartlore.functions.credits import primary_artist
+from chartlore.functions.text import match_key
 from chartlore.operators.history import with_keys
 
 INDEXED_KINDS = ("song", "album")
@@ -38,11 +44,61 @@ def title_index(entries: DataFrame, registry: DataFrame) -> DataFrame:
                 F.col("f.date").alias("debut"), "chart", "label", "kind"))
 
 
-def save_title_index(index: DataFrame, name: str, buckets: int) -> None:
-    """Saves the index bucketed and sorted by key, so lookups prune and joins on
-    the key need no shuffle of this side."""
-    (index.write.mode("overwrite").bucketBy(buckets, "k_title", "k_artist")
-     .sortBy("k_title", "k_artist").saveAsTable(name))
+@dataclass(frozen=True)
+class StoredIndex:
+    """A saved title index: the same rows by title key and by its first letter."""
+
+    by_title: DataFrame
+    by_letter: DataFrame
+
+
+def history_version(entries: DataFrame) -> str:
+    """Names the rows an index is built from, whatever their order: their number
+    and two sums over their hashes, from one scan with partial sums."""
+    h = F.xxhash64(*[c for c in REQUIRED if c in entries.columns])
+    row = entries.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("a"),
+                      F.sum(F.xxhash64(h).cast("decimal(20,0)")).alias("b")).first()
+    return hashlib.sha256(f"{row.n}/{row.a}/{row.b}".encode()).hexdigest()[:16]
+
+
+def _index_names(name: str, version: str) -> tuple[str, str]:
+    return f"{name}_{version}", f"{name}_{version}_letters"
+
+
+def save_title_index(index: DataFrame, name: str, version: str, path: str, buckets: int) -> None:
+    """Saves the index of one version of the history as two bucketed tables under
+    `path`, each row twice. By title key, sorted by key: a lookup of a title reads
+    one bucket, and what is grouped by title or by more needs no shuffle. By the
+    key's first letter, dealt out and sorted by key: a lookup by prefix reads one
+    bucket and skips files and row groups; a common letter is several files.
+    Tables of other versions stay as they are, so readers of an older one are not
+    disturbed."""
+    by_title, by_letter = _index_names(name, version)
+    (index.repartition(buckets, "k_title").write.mode("overwrite").option("path", f"{path}/{by_title}")
+     .bucketBy(buckets, "k_title").sortBy("k_title", "k_artist").saveAsTable(by_title))
+    (index.withColumn("letter", F.substring("k_title", 1, 1)).repartitionByRange("letter", "k_title").write.mode("overwrite")
+     .option("path", f"{path}/{by_letter}").bucketBy(buckets, "letter").sortBy("letter", "k_title").saveAsTable(by_letter))
+
+
+def stored_title_index(spark: SparkSession, name: str, version: str) -> StoredIndex | None:
+    """The saved index of that version, or None: an index of another history is
+    not used."""
+    by_title, by_letter = _index_names(name, version)
+    if not (spark.catalog.tableExists(by_title) and spark.catalog.tableExists(by_letter)):
+        return None
+    return StoredIndex(spark.table(by_title), spark.table(by_letter))
+
+
+def lookup(index: DataFrame, title: str, credit: str, kind: str, exclude: str | None = None, origin_debut: str | None = None) -> DataFrame:
+    """Every list of that kind a title reached, but for `exclude`: best peak, then
+    most weeks, first. `later` is null without a debut to compare with. The key
+    is a constant, so only its bucket is read."""
+    found = index.filter((F.col("k_title") == match_key(F.lit(title))) & (F.col("k_artist") == primary_artist(F.lit(credit)))
+                         & (F.col("kind") == kind))
+    if exclude is not None:
+        found = found.filter(F.col("chart") != exclude)
+    return found.select("chart", "label", "debut", "peak", "weeks", (F.col("debut") > F.lit(origin_debut).cast("date")).alias("later")).orderBy(
+        "peak", F.desc("weeks"), "chart")
 
 
 def crossovers(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -58,6 +114,20 @@ def crossovers(index: DataFrame, asked: DataFrame) -> DataFrame:
         .orderBy("k_title", "k_artist", "kind", "peak", F.desc("weeks"), "chart"))
 
 
+def all_crossovers(index: DataFrame) -> DataFrame:
+    """`crossovers` of every title from its first list, in one read of the index:
+    the first list comes from a window over the title, which a table bucketed by
+    title satisfies without a shuffle. A title's lists stand together, by peak,
+    then weeks."""
+    title = ["k_title", "k_artist", "kind"]
+    first = F.min(F.struct("debut", "chart")).over(W.partitionBy(*title))
+    rows = index.select(*title, "chart", "label", "debut", "peak", "weeks").withColumn("first", first)
+    rows = rows.filter(F.col("chart") != F.col("first.chart")).select(
+        *title, F.col("first.chart").alias("origin"), "chart", "label", "debut", "peak", "weeks",
+        (F.col("debut") > F.col("first.debut")).alias("later"))
+    return rows.sortWithinPartitions(*title, "peak", F.desc("weeks"), "chart")
+
+
 def origins(index: DataFrame) -> DataFrame:
     """Per title and kind its first list, as the question for `crossovers`."""
     first = F.min(F.struct("debut", "chart"))
@@ -67,8 +137,11 @@ def origins(index: DataFrame) -> DataFrame:
 
 
 def _prefixed(index: DataFrame, kind: str, prefix: str) -> DataFrame:
+    """Rows of a kind by key prefix; of an index by letter one bucket is read."""
     rows = index.filter(F.col("kind") == kind)
     needle = prefix.strip().lower()
+    if needle and "letter" in index.columns:
+        rows = rows.filter(F.col("letter") == needle[0])
     return rows.filter(F.startswith("k_title", F.lit(needle))) if needle else rows
 
 

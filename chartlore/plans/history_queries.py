@@ -8,6 +8,7 @@ from chartlore.plans import fixtures as fx
 from chartlore.plans.fixtures import (
     CALENDAR_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, sql_primary_artist, sql_primary_credit, with_sql)
 from chartlore.plans.ingest_queries import NAMES, named_sql
+from chartlore.session import scratch
 
 QUERIES: dict = {}
 
@@ -379,6 +380,22 @@ def index(spark, sf):
     return titles.title_index(fx.entries(spark, sf), fx.registry(spark, sf))
 
 
+_VERSIONS: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf):
+    """The saved index of the stored history, built if that version has none. The
+    history doesn't change within a session, so its version is worked out once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VERSIONS:
+        _VERSIONS[key] = titles.history_version(fx.entries(spark, sf))
+    found = titles.stored_title_index(spark, "titles", _VERSIONS[key])
+    if found is None:
+        titles.save_title_index(index(spark, sf), "titles", _VERSIONS[key], scratch(spark, "title-index"), 8)
+        found = titles.stored_title_index(spark, "titles", _VERSIONS[key])
+    return found
+
+
 @register("title_index", _INDEX + "SELECT * FROM tindex")
 def title_index(spark, sf):
     return index(spark, sf)
@@ -390,14 +407,32 @@ org AS (SELECT k_title, k_artist, kind, arg_min(chart, (debut, chart)) AS origin
 SELECT k_title, k_artist, kind, origin, chart, label, debut, peak, weeks, debut > origin_debut AS later
 FROM org JOIN tindex USING (k_title, k_artist, kind) WHERE chart <> origin""")
 def crossovers(spark, sf):
-    idx = index(spark, sf)
-    return titles.crossovers(idx, titles.origins(idx))
+    return titles.all_crossovers(stored_index(spark, sf).by_title)
+
+
+# The first list of every 'gear' title asks for the others.
+@register("crossovers_asked", _INDEX.rstrip() + """,
+org AS (SELECT k_title, k_artist, kind, arg_min(chart, (debut, chart)) AS origin, min(debut) AS origin_debut
+        FROM tindex WHERE starts_with(k_title, 'ge') GROUP BY 1, 2, 3)
+SELECT k_title, k_artist, kind, origin, chart, label, debut, peak, weeks, debut > origin_debut AS later
+FROM org JOIN tindex USING (k_title, k_artist, kind) WHERE chart <> origin""")
+def crossovers_asked(spark, sf):
+    idx = stored_index(spark, sf)
+    asked = titles.origins(idx.by_letter.filter("letter = 'g' AND startswith(k_title, 'ge')"))
+    return titles.crossovers(idx.by_title, asked)
+
+
+@register("title_lookup", _INDEX + """
+SELECT chart, label, debut, peak, weeks, debut > DATE '1995-06-05' AS later FROM tindex
+WHERE k_title = 'gear' AND k_artist = 'red 0' AND kind = 'song' AND chart <> 'list_0'""")
+def title_lookup(spark, sf):
+    return titles.lookup(stored_index(spark, sf).by_title, " Gear", "RED 0 feat. Guest", "song", "list_0", "1995-06-05")
 
 
 @register("title_pool", _INDEX + """
 SELECT DISTINCT display FROM tindex WHERE kind = 'song' AND starts_with(k_title, 'r') ORDER BY 1 LIMIT 50""")
 def title_pool(spark, sf):
-    return titles.title_pool(index(spark, sf), "song", "R")
+    return titles.title_pool(stored_index(spark, sf).by_letter, "song", "R")
 
 
 @register("suggest", _INDEX + """
@@ -406,7 +441,7 @@ SELECT arg_min(display, (debut, chart)) AS title, arg_min(credit, (debut, chart)
 FROM tindex WHERE kind = 'song' AND starts_with(k_title, 'g') GROUP BY k_title, k_artist
 ORDER BY charts DESC, k_title, k_artist LIMIT 20""")
 def suggest(spark, sf):
-    return titles.suggest(index(spark, sf), "song", "g")
+    return titles.suggest(stored_index(spark, sf).by_letter, "song", "g")
 
 
 @register("fill_image", with_sql(ENTRIES_SQL, KEYED_SQL, """

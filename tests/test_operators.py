@@ -4,6 +4,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from chartlore.operators import calendar, compare, history, ingest, quality, stats, titles, yearend
+from chartlore.plans import fixtures as fx
+
+SF = "/root/testdata/sf0.001"
 
 
 def d(s):
@@ -187,3 +190,34 @@ def test_missing_weeks(spark, entries):
     extra = spark.createDataFrame([("a", d("2024-02-04"))], "chart string, date date")
     got = [str(r.date) for r in calendar.missing_weeks(e, seg, gap, extra).orderBy("date").collect()]
     assert got == [W[2], W[4], "2024-02-04"]
+
+
+def test_stored_index_is_versioned_and_pruned(spark, tmp_path):
+    entries = fx.entries(spark, SF)
+    registry = fx.registry(spark, SF)
+    version = titles.history_version(entries)
+    assert version == titles.history_version(entries.repartition(7)) != titles.history_version(entries.limit(5))
+    assert titles.stored_title_index(spark, "kept", version) is None
+    built = titles.title_index(entries, registry)
+    titles.save_title_index(built, "kept", version, str(tmp_path), 4)
+    assert titles.stored_title_index(spark, "kept", "other") is None
+    index = titles.stored_title_index(spark, "kept", version)
+    assert sorted(map(tuple, index.by_title.collect())) == sorted(map(tuple, built.collect()))
+    # A question for one title reads one bucket and builds nothing.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't name the buckets
+    try:
+        for ask in (titles.lookup(index.by_title, "Gear", "RED 0", "song"), titles.suggest(index.by_letter, "song", "ge")):
+            plan = ask._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount: 1 out of 4" in plan and plan.count("FileScan") == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    # All titles at once need no exchange of the table.
+    everything = titles.all_crossovers(index.by_title)
+    assert "Exchange" not in everything._jdf.queryExecution().executedPlan().toString()
+    want = titles.crossovers(built, titles.origins(built))
+    assert sorted(map(repr, everything.collect())) == sorted(map(repr, want.collect()))
+    for prefix in ("g", "GE", "ri", ""):
+        for ask in (titles.suggest, titles.title_pool):
+            assert ask(index.by_letter, "song", prefix).collect() == ask(built, "song", prefix).collect()
+    # A title with no other list, and one that is not known.
+    assert titles.lookup(index.by_title, "No such title", "Nobody", "song").collect() == []
