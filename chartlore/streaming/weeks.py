@@ -1,15 +1,19 @@
 """New list weeks arriving as files, guarded and appended."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chartlore.functions.text import match_key
 from chartlore.operators.ingest import append_only_weeks
 from chartlore.operators.quality import ranking_signatures, refuse_incomplete_ranks
+from chartlore.streaming import sinks
 
 
 def new_genuine_weeks(incoming: DataFrame, stored_sigs: DataFrame) -> DataFrame:
@@ -28,36 +32,46 @@ def new_genuine_weeks(incoming: DataFrame, stored_sigs: DataFrame) -> DataFrame:
     return fresh.join(genuine.select("chart", "date"), ["chart", "date"], "left_semi")
 
 
-def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Signatures of the batches before this one. A replayed batch must not see
-    its own first attempt."""
-    try:
-        return spark.read.parquet(f"{path}/signatures").filter(F.col("batch") < batch_id)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return spark.createDataFrame([], "chart string, date date, signature string")
+class _ListGuard(StatefulProcessor):
+    """Keeps, per list, the stored weeks with their signatures, and lets through
+    the rows of new genuine ones. A batch costs the weeks it brings and the
+    calendar of the lists it touches, however many batches came before."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.weeks = handle.getMapState("weeks", "date date", "signature string")
 
-def week_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function appending genuine weeks under `path`."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        stored = {date: signature for (date,), (signature,) in self.weeks.iterator()}
+        fresh = {}
+        for date, week in arrived.groupby("date"):
+            if date not in stored and sorted(week["rank"].tolist()) == list(range(1, len(week) + 1)):
+                fresh[date] = hashlib.sha256("\n".join(sorted(week["line"])).encode()).hexdigest()
+        known = sorted({**stored, **fresh}.items())
+        good = [date for (_, before), (date, signature) in zip([(None, None), *known], known) if date in fresh and signature != before]
+        for date in good:
+            self.weeks.updateValue((date,), (fresh[date],))
+        if good:
+            yield arrived[arrived["date"].isin(good)].drop(columns="line")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()  # several steps read it; lost parts are read again
-        good = new_genuine_weeks(batch, _stored(spark, path, batch_id))
-        rows = f"{path}/weeks/batch={batch_id}"
-        good.write.mode("overwrite").parquet(rows)
-        batch.unpersist()
-        ranking_signatures(spark.read.schema(good.schema).parquet(rows), ["chart", "date"], fold=True).write.mode(
-            "overwrite").parquet(f"{path}/signatures/batch={batch_id}")
+    def close(self) -> None:
+        pass
 
-    return write
 
+def genuine_weeks(stream: DataFrame) -> DataFrame:
+    """The rows of arriving list weeks worth storing, by the rules of
+    `new_genuine_weeks`; append mode. Rows without a list or date are left out."""
+    lines = stream.filter("chart IS NOT NULL AND date IS NOT NULL").withColumn(
+        "line", F.concat_ws("|", F.col("rank").cast("string"), match_key(F.col("title"))))
+    return lines.groupBy("chart").transformWithStateInPandas(
+        _ListGuard(), outputStructType=stream.schema, outputMode="Append", timeMode="None")
 
-def ingest_weeks(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Drains the weeks available now into `path`/weeks."""
-    query = (
-        stream.writeStream.foreachBatch(week_writer(path))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+
+def ingest_weeks(stream: DataFrame, path: str, checkpoint: str, every: int = sinks.MERGE_EVERY) -> None:
+    """Drains the weeks available now into the sink at `path`; `stored_weeks`
+    reads it."""
+    sinks.run_available(genuine_weeks(stream), path, checkpoint, "append", every=every)
+
+
+def stored_weeks(spark: SparkSession, path: str) -> DataFrame:
+    return sinks.stored_rows(spark, path)
