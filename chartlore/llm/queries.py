@@ -33,19 +33,30 @@ placed AS (
   FROM raw WHERE (kind = 'assign' AND length(m[2]) >= 8) OR (kind = 'access' AND length(m[1]) >= 16)
               OR (kind = 'hex' AND length(m[1]) >= 32) OR kind = 'cand'),
 spans AS (SELECT doc_id, kind, rk, whole, cast(s AS BIGINT) s, cast(s + length(whole) AS BIGINT) e FROM placed),
+whole AS (
+  SELECT *, row_number() OVER () AS id FROM spans
+  WHERE kind = 'cand' {" ".join(f"AND NOT regexp_matches(whole, '{a}')" for a in secret_scan.ALLOW)}),
+known AS (
+  SELECT c.id, b.s, b.e, b.rk FROM whole c JOIN spans b ON b.kind <> 'cand' AND b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e),
+edge AS (
+  SELECT id, s AS until, max(e) OVER (PARTITION BY id ORDER BY s, rk, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM known
+  UNION ALL SELECT c.id, c.e, max(k.e) FROM whole c LEFT JOIN known k ON k.id = c.id GROUP BY ALL),
+part AS (
+  SELECT doc_id, greatest(s, coalesce(since, s)) AS s, substr(whole, greatest(s, coalesce(since, s)) - s + 1, until - greatest(s, coalesce(since, s))) AS whole
+  FROM edge JOIN whole USING (id) WHERE until - greatest(s, coalesce(since, s)) >= {secret_scan.WINDOW}),
 cand AS (
-  SELECT c.*, CASE
+  SELECT *, CASE
       WHEN regexp_matches(whole, '^[0-9a-fA-F]+$') AND regexp_matches(whole, '[0-9]') AND regexp_matches(whole, '[a-fA-F]')
         THEN 2.93
       WHEN regexp_matches(whole, '^[a-z0-9]+$') AND regexp_matches(whole, '([0-9].*){{3}}')
         AND regexp_matches(whole, '([a-z].*){{3}}') THEN 3.47
       WHEN regexp_matches(whole, '[0-9]') AND regexp_matches(whole, '[a-z]') AND regexp_matches(whole, '[A-Z]') THEN 3.77
-    END AS bits
-  FROM spans c
-  WHERE kind = 'cand' AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind <> 'cand' AND b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)
-    {" ".join(f"AND NOT regexp_matches(whole, '{a}')" for a in secret_scan.ALLOW)}),
+      WHEN regexp_matches(whole, '^[A-Z0-9]+$') AND regexp_matches(whole, '([0-9].*){{3}}')
+        AND regexp_matches(whole, '([A-Z].*){{3}}') THEN 3.47
+      WHEN regexp_matches(whole, '[0-9]') THEN 3.77 ELSE 4.0 END AS bits
+  FROM part),
 win AS (
-  SELECT doc_id, s + i AS s FROM (SELECT *, unnest(range(0, length(whole) - {secret_scan.WINDOW} + 1)) i FROM cand WHERE bits IS NOT NULL)
+  SELECT doc_id, s + i AS s FROM (SELECT *, unnest(range(0, length(whole) - {secret_scan.WINDOW} + 1)) i FROM cand)
   WHERE list_entropy(string_split(substr(whole, i + 1, {secret_scan.WINDOW}), '')) >= bits),
 isl AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {secret_scan.WINDOW} THEN 0 ELSE 1 END AS fresh FROM win),
 run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS no FROM isl),

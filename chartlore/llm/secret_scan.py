@@ -5,8 +5,8 @@ candidates are runs of token characters; a fixed-width window slides over each
 one while an array of symbol counts is moved by one in, one out, and the sum of
 c*log2(c) follows from the two counts that changed. Windows whose Shannon
 entropy reaches the threshold of the candidate's character class are joined to
-spans. Candidates on the allow-list, and those that a known form overlaps, give
-no entropy span.
+spans. Every candidate has a class. Those on the allow-list give no entropy
+span; of one that known forms overlap, the parts beside them are scored.
 
 Positions are code points, end exclusive. Null and empty texts have no spans.
 Rows are independent: repeated rows give repeated results, and no shuffle runs.
@@ -43,14 +43,11 @@ class CharClass:
     bits: float
 
 
+#: Letters alone, with or without separators, need more than words reach.
 CLASSES = (
     CharClass("hex", r"^(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]+$", 2.93),
     CharClass("alnum", r"^(?=(?:[a-z]*[0-9]){3})(?=(?:[0-9]*[a-z]){3})[a-z0-9]+$", 3.47),
     CharClass("base64", r"^(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])", 3.77),
-)
-#: Every candidate has a class; letters alone, with or without separators, need
-#: more than words reach.
-ALL_CLASSES = CLASSES + (
     CharClass("upper", r"^(?=(?:[A-Z]*[0-9]){3})(?=(?:[0-9]*[A-Z]){3})[A-Z0-9]+$", 3.47),
     CharClass("digits", r"[0-9]", 3.77),
     CharClass("letters", r"", 4.0),
@@ -139,7 +136,8 @@ def hot_runs(token: Column, bits: Column, width: int = WINDOW) -> Column:
 
 
 def class_bits(token: Column, classes=CLASSES) -> Column:
-    """The threshold of the candidate's class; null where it has none."""
+    """The threshold of the candidate's class, the first whose form fits; null
+    where none does."""
     bits = F.lit(None).cast("double")
     for c in reversed(classes):
         bits = F.when(token.rlike(c.form), F.lit(c.bits)).otherwise(bits)
@@ -153,20 +151,18 @@ def _tagged(spans: Column, kind: str) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", allow=ALLOW, classes=CLASSES, width: int = WINDOW,
-                 cut: bool = False, base: str = "secret_base", found: str = "secret_spans") -> DataFrame:
+                 base: str = "secret_base", found: str = "secret_spans") -> DataFrame:
     """`docs` with two arrays of (start, rank, end, kind): the known forms in
     `base`, these and the entropy spans in `found`, both by start, then kind.
-    A candidate that a known form overlaps gives no entropy span, or with `cut`
-    those of the parts beside the known forms.
+    Of a candidate that known forms overlap, the parts beside them are scored.
 
     Every column of `docs` stays, whatever its name: `base` and `found` must be
     new names. Nulls in `text` count as empty."""
     frame = docs.select(F.struct("*").alias("_row"), whole_text(text).alias("_text"))
-    digit = F.col("_text").rlike("[0-9]")
     frame = _located(frame, "_text", ASSIGN, "_assign", 2)
     frame = _located(frame, "_text", ACCESS, "_access", gate=F.col("_text").contains("AKIA"))
     frame = _located(frame, "_text", HEX, "_hex")
-    frame = _located(frame, "_text", CANDIDATE, "_cand", gate=None if cut else digit)
+    frame = _located(frame, "_text", CANDIDATE, "_cand")
     frame = frame.withColumn("_assign", F.filter("_assign", lambda m: F.length(m["part"]) >= 8))
     frame = frame.withColumn("_base", F.array_sort(F.concat(
         _tagged(F.col("_assign"), "assign"), _tagged(F.col("_access"), "access"), _tagged(F.col("_hex"), "hex"))))
@@ -175,10 +171,10 @@ def find_secrets(docs: DataFrame, text: str = "text", allow=ALLOW, classes=CLASS
         return (b["start"] < m["end"]) & (m["start"] < b["end"])
 
     def wanted(m: Column) -> Column:
-        keep = class_bits(m["part"], classes).isNotNull()
+        keep = F.lit(True)
         for form in allow:
             keep = keep & ~m["part"].rlike(form)
-        return keep if cut else keep & ~F.exists("_base", lambda b: meets(b, m))
+        return keep
 
     def beside(m: Column) -> Column:
         """The parts of a candidate between the known forms, wide enough for a window."""
@@ -192,9 +188,9 @@ def find_secrets(docs: DataFrame, text: str = "text", allow=ALLOW, classes=CLASS
             g["start"].alias("start"), g["end"].alias("end"),
             F.substr(m["part"], (g["start"] - m["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")).alias("part")))
 
-    frame = frame.withColumn("_cand", F.filter("_cand", wanted))
-    if cut:
-        frame = frame.withColumn("_cand", F.flatten(F.transform("_cand", beside)))
+    frame = frame.withColumn("_cand", F.flatten(F.transform(F.filter("_cand", wanted), beside)))
+    # A part is judged by its own class.
+    frame = frame.withColumn("_cand", F.filter("_cand", lambda m: class_bits(m["part"], classes).isNotNull()))
     hot = F.flatten(F.transform("_cand", lambda m: F.transform(
         hot_runs(m["part"], class_bits(m["part"], classes), width),
         lambda r: F.struct((r["start"] + m["start"]).alias("start"), (r["end"] + m["start"]).alias("end")))))
@@ -212,9 +208,7 @@ def listed(spans: Column) -> Column:
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """`docs` with every found span, overlapping ones joined, replaced by `mark`.
-    Texts without spans, nulls included, stay as they are. All candidates are
-    scored, and the parts of one beside a known form."""
-    options = {"classes": ALL_CLASSES, "cut": True} | options
+    Texts without spans, nulls included, stay as they are."""
     frame = find_secrets(docs, text, base="_sbase", found="_sspans", **options)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     joined = F.aggregate("_sspans", none, lambda acc, s: F.when(
