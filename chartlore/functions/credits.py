@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 # Words that separate the leading act from collaborators.
 MARKER_WORDS = ("featuring", r"feat\.?", "with", "x", "&", r"\+", "duet")
-# Generational suffixes whose comma belongs to the name.
-NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+# A comma that belongs to a name: digit groups and generational suffixes.
+NAME_COMMA_PATTERN = r"\d,\d|,\s*(?:jr|sr|ii|iii|iv)\b"
+BAND_PATTERN = r"^the\s+(.+?)\s+band$"
+UNITS_SPLIT_PATTERN = r"\s+(?:&|feat\.?|featuring|with|x|and)\s+|,\s*"
 # Substrings that mark a combined credit, left out of name pools.
 POOL_MARKERS = (" featuring ", " feat. ", " feat ", " with ", " x ", " & ", " + ",
                 " duet ", " / ")
@@ -24,9 +26,6 @@ POOL_MARKERS = (" featuring ", " feat. ", " feat ", " with ", " x ", " & ", " +
 MARKER_PATTERN = r"\s+(?:" + "|".join(MARKER_WORDS) + r")\s+.*$"
 DELIM_PATTERN = (r"(?:\s+(?:" + "|".join((*MARKER_WORDS, "and")) + r")\s+"
                  r"|\s*[/(),]\s*)")
-NAME_COMMA_PATTERN = r"\d,\d|,\s*(?:" + "|".join(NAME_SUFFIXES) + r")\b"
-BAND_PATTERN = r"^the\s+(.+?)\s+band$"
-UNITS_SPLIT_PATTERN = r"\s+(?:&|feat\.?|featuring|with|x|and)\s+|,\s*"
 
 
 def primary_credit(credit: Column) -> Column:
@@ -94,6 +93,20 @@ def names_artist_col(credit: Column, name: Column) -> Column:
         F.lit(False))
 
 
+def credit_words(text: Column) -> Column:
+    """Words of a credit or name, in lower case: what stands between white space
+    and the marks that may separate artists. A credit names an artist only where
+    the artist's words stand in it side by side."""
+    return F.filter(F.split(F.lower(text), r"[\s/(),]+"), lambda w: w != "")
+
+
+def word_runs(words: Column, longest: int) -> Column:
+    """All runs of one to `longest` words, and the empty one."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " ")))
+    return F.when(F.size(words) > 0, F.array_distinct(F.concat(F.flatten(runs), F.array(F.lit(""))))).otherwise(F.array(F.lit("")))
+
+
 def is_solo_name(credit: Column) -> Column:
     """No collaboration marker in the credit: usable in a name pool."""
     text = F.lower(credit)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chartlore.functions.credits import is_solo_name, names_artist, primary_artist, primary_credit
+from chartlore.functions.credits import (
+    credit_words, is_solo_name, names_artist, names_artist_col, primary_artist, primary_credit, word_runs)
 from chartlore.functions.text import match_key, version_base
 from chartlore.operators.history import with_keys
 
@@ -20,8 +21,36 @@ ARTIST_KIND_NULLS = ["entries", "biggest_hit", "number_ones", "top_10s", "top_40
 ZERO_STATS = ["entries", "number_ones", "weeks_at_1", "top_10s", "top_40s", "total_weeks_charted"]
 
 
+FEW_NAMES = 16
+
+
+def named_credits(credits: DataFrame, names: DataFrame) -> DataFrame:
+    """(artist, name) for every distinct credit and every name in it.
+
+    Credits and names meet on runs of words, an equi-join whose plan is the same
+    for any number of names; the pattern then checks the few that meet. A name
+    without words meets every credit, by the empty run.
+    """
+    asked = names.select("name").distinct().withColumn("_words", credit_words(F.col("name")))
+    longest = asked.agg(F.max(F.size("_words"))).first()[0] or 1
+    asked = asked.select("name", F.array_join("_words", " ").alias("_run"))
+    shown = credits.select("artist").distinct().filter("artist IS NOT NULL")
+    runs = shown.withColumn("_run", F.explode(word_runs(credit_words(F.col("artist")), max(1, longest))))
+    return runs.join(asked, "_run").filter(names_artist_col(F.col("artist"), F.col("name"))).select("artist", "name")
+
+
+def artist_rows_of(entries: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows naming any of the artists in `names` (name), however many these are,
+    once per artist named. Names are looked up once per distinct credit."""
+    found = named_credits(entries, names).groupBy("artist").agg(F.collect_list("name").alias("_names"))
+    return entries.join(found, "artist").withColumn("name", F.explode("_names")).select(*entries.columns, "name")
+
+
 def artist_rows(entries: DataFrame, names: list[str]) -> DataFrame:
-    """Rows naming any of the artists, once per artist named (column `name`)."""
+    """Rows naming any of the artists, once per artist named (column `name`). A
+    few names are tested on each row as it is read; more are joined."""
+    if len(names) > FEW_NAMES:
+        return artist_rows_of(entries, names_table(entries.sparkSession, list(dict.fromkeys(names))))
     named = F.array_compact(F.array(*[
         F.when(names_artist(F.col("artist"), n), F.lit(n)) for n in names]))
     return entries.withColumn("name", F.explode(named))

@@ -6,7 +6,7 @@ import html
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlore.functions.credits import artist_pattern
+from chartlore.functions.credits import DELIM_PATTERN, artist_pattern
 from chartlore.functions.dates import plausible_capture, served_date
 from chartlore.operators import calendar, history, ingest, quality, stats, visits, yearend
 from chartlore.plans import fixtures as fx
@@ -255,6 +255,25 @@ def artist_rows(spark, sf):
         "name", "chart", "date", "rank", "title", "artist")
 
 
+# Every act that a list names alone, and some that need care: looked up in all credits.
+_ASKED_SQL = r"""
+asked AS (SELECT DISTINCT act AS name FROM entries UNION SELECT unnest(['guest', 'Other', 'new', 'band', '/', 'Guest & Other', 'red 0, guest'])),
+shown AS (SELECT DISTINCT artist, lower(trim(artist)) AS c FROM entries),
+patterned AS (SELECT name, lower(trim(name)) AS n,
+    '(?:^|{delim})' || regexp_replace(lower(trim(name)), '([^\w\s])', '\\\1', 'g') || '(?:{delim}|$)' AS p FROM asked),
+named_in AS (SELECT artist, name FROM shown JOIN patterned ON contains(c, n)
+             WHERE regexp_matches(c, p) OR regexp_matches(regexp_extract(c, '^the\s+(.+?)\s+band$', 1), p))""".replace("{delim}", DELIM_PATTERN)
+
+
+@register("artist_rows_of", with_sql(ENTRIES_SQL, _ASKED_SQL) + """
+SELECT name, chart, date, rank, title, artist FROM entries JOIN named_in USING (artist)""")
+def artist_rows_of(spark, sf):
+    entries = fx.entries(spark, sf)
+    more = spark.createDataFrame([(n,) for n in ("guest", "Other", "new", "band", "/", "Guest & Other", "red 0, guest")], "name string")
+    names = entries.select(F.col("act").alias("name")).distinct().union(more)
+    return stats.artist_rows_of(entries, names).select("name", "chart", "date", "rank", "title", "artist")
+
+
 @register("title_rows", with_sql(ENTRIES_SQL, fx.KEYED_SQL) + """
 SELECT chart, date, rank, title, artist FROM keyed WHERE k_title = 'ring' AND k_artist = 'red 0'""")
 def title_rows(spark, sf):

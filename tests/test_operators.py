@@ -1,8 +1,10 @@
 """Operators on small histories with known answers."""
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from chartlore.functions.credits import names_artist_col
 from chartlore.operators import calendar, compare, history, ingest, quality, stats, titles, yearend
 from chartlore.plans import fixtures as fx
 
@@ -221,3 +223,21 @@ def test_stored_index_is_versioned_and_pruned(spark, tmp_path):
             assert ask(index.by_letter, "song", prefix).collect() == ask(built, "song", prefix).collect()
     # A title with no other list, and one that is not known.
     assert titles.lookup(index.by_title, "No such title", "Nobody", "song").collect() == []
+
+
+def test_names_by_words_equal_the_pattern(spark):
+    rng = random.Random(8)
+    names = ["A", "b c", "Tyler, The Creator", "x", "with b", "The Who", "who", "(a)", "/", "and", "J. B.", "A & b c", "", "  ", "feat", "b  c"]
+    glue = [" Featuring ", " & ", ", ", " / ", " with ", " x ", "(", ") ", " and ", " ", "-", " feat. ", "  ", " + "]
+    credits = {"The A Band", "the b c band", "the the who band", "A & with b", None, "", " a ", "(A)", "/", "x x x"}
+    while len(credits) < 400:
+        credits.add("".join(rng.choice(names) + rng.choice(glue) for _ in range(rng.randrange(1, 5))) + rng.choice(names))
+    shown = spark.createDataFrame([(c,) for c in credits], "artist string")
+    asked = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {tuple(r) for r in stats.named_credits(shown, asked).collect()}
+    want = {tuple(r) for r in shown.crossJoin(asked).filter(names_artist_col(F.col("artist"), F.col("name"))).collect()}
+    assert got == want and len(want) > 300
+    rows = shown.withColumn("n", F.lit(1))
+    many = [n for n in names if n.strip()] + [f"nobody {i}" for i in range(20)]
+    assert sorted(map(repr, stats.artist_rows(rows, many).collect())) == sorted(
+        repr(r) for half in (many[:10], many[10:24], many[24:]) for r in stats.artist_rows(rows, half).collect())
