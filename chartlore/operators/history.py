@@ -17,11 +17,24 @@ from chartlore.operators.calendar import published_weeks, with_week_index
 
 
 def with_keys(entries: DataFrame) -> DataFrame:
-    """Adds k_title and k_artist, the keys a title's history is grouped by."""
+    """Adds k_title and k_artist, the keys a title's history is grouped by. Keys
+    that entries bring along, as a stored history does, are taken as they are;
+    whoever changes titles or credits drops them first (`without_keys`)."""
+    if {"k_title", "k_artist"} <= set(entries.columns):
+        return entries
     return entries.withColumn("k_title", match_key(F.col("title"))).withColumn(
         "k_artist", primary_artist(F.col("artist")))
 
 
+def with_all_keys(entries: DataFrame) -> DataFrame:
+    """`with_keys` and k_credit, the whole credit's key: what a history stores."""
+    return with_keys(entries) if "k_credit" in entries.columns else with_keys(entries).withColumn("k_credit", match_key(F.col("artist")))
+
+
+def without_keys(entries: DataFrame) -> DataFrame:
+    return entries.drop("k_title", "k_artist", "k_credit")
+
+
 def chart_page(entries: DataFrame, weeks: DataFrame | None = None, grower: bool = False) -> DataFrame:
     """Every list page of every week in one pass.
 
@@ -30,9 +43,7 @@ def chart_page(entries: DataFrame, weeks: DataFrame | None = None, grower: bool
     earlier week that the rank strictly beats. One shuffle on the history key
     serves every window: the finer windows are satisfied by it.
     """
-    keyed = (
-        with_week_index(with_keys(entries), weeks)
-        .withColumn("k_credit", match_key(F.col("artist"))))
+    keyed = with_week_index(with_all_keys(entries), weeks)
     key = ["chart", "k_title", "k_artist"]
     run = W.partitionBy(*key).orderBy("week_idx")
     week_before = run.rangeBetween(-1, -1)
@@ -85,7 +96,7 @@ def song_history(entries: DataFrame, exact_credit: bool = False) -> DataFrame:
     `exact_credit` keys on the full credit, as album histories do."""
     keyed = with_keys(entries.filter(F.col("date").isNotNull()))
     if exact_credit:
-        keyed = keyed.withColumn("k_artist", match_key(F.col("artist")))
+        keyed = keyed.withColumn("k_artist", F.col("k_credit") if "k_credit" in keyed.columns else match_key(F.col("artist")))
     run = W.partitionBy("chart", "k_title", "k_artist")
     ordered = run.orderBy("date", F.asc_nulls_last("rank")).rowsBetween(W.unboundedPreceding, 0)
     return (

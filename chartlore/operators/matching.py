@@ -255,10 +255,10 @@ def _candidates(open_: DataFrame, at: list[str]) -> DataFrame:
     have less s - 1: only these are joined, and no pair that is alike is missed.
     """
     size = F.length("k_t")
-    # Keys of a title: its letter pairs; its beginning, which a title prefix has
-    # to share; one for empty titles, which are alike.
+    # Keys of a title: its letter pairs, and its beginning, which a title prefix
+    # has to share. Empty titles are like no other.
     head = F.when(size >= MIN_PREFIX, F.array(F.concat(F.lit("^"), F.substring("k_t", 1, MIN_PREFIX)))).otherwise(F.array().cast("array<string>"))
-    keyed = open_.withColumn("g", F.explode(F.when(size > 0, F.concat(_grams(F.col("k_t")), head)).otherwise(F.array(F.lit("")))))
+    keyed = open_.withColumn("g", F.explode(F.when(size > 0, F.concat(_grams(F.col("k_t")), head))))
     keyed = keyed.withColumn("head", F.startswith("g", F.lit("^"))).withColumn("often", F.count("*").over(W.partitionBy(*at, "g")))
     place = F.row_number().over(W.partitionBy(*at, "is_row", "no").orderBy("head", "often", "g"))
     wanted = F.greatest(size - 1, F.lit(1)) - F.greatest(gram_share(size), F.lit(1)) + 1
@@ -277,7 +277,7 @@ def _candidates(open_: DataFrame, at: list[str]) -> DataFrame:
     judged = once.withColumn("like", alike).filter("prefix OR like.near")
     cand = F.struct(F.col("f_no").alias("no"), F.col("f.line").alias("line"), "prefix",
                     (F.col("like.near") & F.col("r.k_a").eqNullSafe(F.col("f.k_a"))).alias("alike"),
-                    (F.col("like.close") & (F.length("f.k_t") > 0)).alias("close"))
+                    F.col("like.close").alias("close"))
     return judged.groupBy(*at, "no").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
 
 

@@ -65,7 +65,7 @@ def artist_stats(entries: DataFrame, by: str = "k_artist", kind: str | None = "k
     per_title = keyed.groupBy(*title_keys).agg(
         F.min("rank").alias("peak"), F.count("*").alias("weeks"),
         F.count_if(F.col("rank") == 1).alias("at_1"),
-        F.min("date").alias("first"), F.max("date").alias("last"),
+        F.min("date").alias("first"), F.max("date").alias("last"), F.collect_set("date").alias("dates"),
         F.min_by("title", F.struct("date", "rank", "title")).alias("title"))
     i = "int"
     stats = per_title.groupBy("chart", by, *kinds).agg(
@@ -76,12 +76,9 @@ def artist_stats(entries: DataFrame, by: str = "k_artist", kind: str | None = "k
         F.count_if(F.col("peak") <= 40).cast(i).alias("top_40s"),
         F.min("peak").alias("best_peak"),
         F.min("first").alias("first_entry"), F.max("last").alias("last_entry"),
-        F.trim(F.min_by("title", F.struct("peak", -F.col("weeks"), "title"))).alias("biggest_hit"))
-    # Distinct weeks are counted apart: a distinct aggregate next to the others
-    # would widen every row of the first shuffle.
-    weeks = keyed.select("chart", by, "date").distinct().groupBy("chart", by).agg(
-        F.count("*").cast(i).alias("total_weeks_charted"))
-    stats = stats.join(weeks, ["chart", by])
+        F.trim(F.min_by("title", F.struct("peak", -F.col("weeks"), "title"))).alias("biggest_hit"),
+        # A title's weeks on a list are bounded by its calendar.
+        F.size(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("total_weeks_charted"))
     if kind:
         for c in ARTIST_KIND_NULLS:
             stats = stats.withColumn(c, F.when(F.col(kind) != "artist", F.col(c)))

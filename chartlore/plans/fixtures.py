@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chartlore import schemas
 from chartlore.operators.calendar import published_weeks
 from chartlore.session import scratch
-from chartlore.sources.lists import write_history
+from chartlore.sources.lists import read_history, read_keyed_history, write_history
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,7 @@ def _sales(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
         .agg(F.sum("l_quantity").cast("bigint").alias("metric")))
 
 
+STORED = T.StructType([*schemas.ENTRY, T.StructField("metric", T.LongType()), T.StructField("act", T.StringType())])
 _STORED: dict[tuple[str, str], str] = {}
 
 
@@ -69,14 +72,19 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
     if key not in _STORED:
         path = scratch(spark, "history")
         write_history(derive_entries(spark, sf_dir), f"{path}/entries")
-        stored = spark.read.parquet(f"{path}/entries")
+        stored = read_history(spark, f"{path}/entries", STORED)
         published_weeks(stored).write.parquet(f"{path}/weeks")
         _STORED[key] = path
     return _STORED[key]
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{_store(spark, sf_dir)}/entries")
+    return read_history(spark, f"{_store(spark, sf_dir)}/entries", STORED)
+
+
+def keyed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored history with the keys stored beside it."""
+    return read_keyed_history(spark, f"{_store(spark, sf_dir)}/entries", STORED)
 
 
 def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,12 +52,12 @@ _PAGE = with_sql(ENTRIES_SQL, KEYED_SQL, CALENDAR_SQL, _PAGE_SQL)
 SELECT *, concat_ws(' ', CASE WHEN change IN ('new', 're-entry') THEN change END,
                     CASE WHEN new_peak THEN 'peak' END) AS tags FROM page""")
 def chart_page(spark, sf):
-    return history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf)).withColumn("tags", F.array_join("tags", " "))
+    return history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf)).withColumn("tags", F.array_join("tags", " "))
 
 
 @register("cumulative_weeks", _PAGE + "SELECT chart, date, rank, weeks FROM page")
 def cumulative_weeks(spark, sf):
-    return history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf)).select("chart", "date", "rank", "weeks")
+    return history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf)).select("chart", "date", "rank", "weeks")
 
 
 @register("chart_page_growers", _PAGE + """
@@ -65,7 +65,7 @@ SELECT chart, date, rank, title, last_week FROM page JOIN (
   SELECT chart, date, ceil(count(*) * 0.05) AS need FROM entries GROUP BY 1, 2) d USING (chart, date)
 WHERE last_week - rank >= need""")
 def chart_page_growers(spark, sf):
-    return (history.chart_page(fx.entries(spark, sf), fx.weeks(spark, sf), grower=True).filter("grower")
+    return (history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf), grower=True).filter("grower")
             .select("chart", "date", "rank", "title", "last_week"))
 
 
@@ -74,7 +74,7 @@ SELECT chart, date, rank, k_title, k_artist FROM keyed WHERE (chart, k_title, k_
   SELECT (chart, k_title, k_artist) FROM keyed
   WHERE (chart, date) IN (SELECT (chart, max(date)) FROM entries GROUP BY chart))""")
 def chart_history_restricted(spark, sf):
-    keyed = history.with_keys(fx.entries(spark, sf)).select("chart", "date", "rank", "k_title", "k_artist")
+    keyed = history.with_keys(fx.keyed_entries(spark, sf)).select("chart", "date", "rank", "k_title", "k_artist")
     last = keyed.groupBy("chart").agg(F.max("date").alias("date"))
     return ingest.restrict_history(keyed, keyed.join(last, ["chart", "date"], "left_semi"))
 
@@ -89,12 +89,12 @@ FROM keyed"""
 
 @register("song_history", with_sql(ENTRIES_SQL, KEYED_SQL) + _HISTORY_SQL.format(artist="k_artist"))
 def song_history(spark, sf):
-    return history.song_history(fx.entries(spark, sf))
+    return history.song_history(fx.keyed_entries(spark, sf))
 
 
 @register("album_history", with_sql(ENTRIES_SQL, KEYED_SQL) + _HISTORY_SQL.format(artist="k_credit"))
 def album_history(spark, sf):
-    return history.song_history(fx.entries(spark, sf), exact_credit=True)
+    return history.song_history(fx.keyed_entries(spark, sf), exact_credit=True)
 
 
 _TIMELINE_SQL = """
@@ -125,7 +125,7 @@ step AS (SELECT *, lead(date) OVER (PARTITION BY chart, k_artist ORDER BY date)
 SELECT chart, k_artist, date, false AS is_gap FROM step
 UNION ALL SELECT chart, k_artist, date, true FROM step WHERE nxt - date > 7""")
 def gap_markers(spark, sf):
-    days = history.with_keys(fx.entries(spark, sf)).select("chart", "k_artist", "date").distinct()
+    days = history.with_keys(fx.keyed_entries(spark, sf)).select("chart", "k_artist", "date").distinct()
     return history.gap_markers(days, ["chart", "k_artist"])
 
 
@@ -185,7 +185,7 @@ _STATS_LIST = ("entries, number_ones, weeks_at_1, top_10s, top_40s, best_peak, t
 
 
 def kinded(spark, sf):
-    return fx.entries(spark, sf).join(fx.registry(spark, sf).select("chart", "kind"), "chart")
+    return fx.keyed_entries(spark, sf).join(fx.registry(spark, sf).select("chart", "kind"), "chart")
 
 
 @register("artist_stats", with_sql(ENTRIES_SQL, REGISTRY_SQL, KEYED_SQL, _KINDED_SQL, stats_sql("kinded", "k_artist"))
@@ -275,7 +275,7 @@ SELECT chart, k_artist, lower(trim(title)) AS k_title,
        string_agg(p, ',' ORDER BY date, rank) AS points
 FROM (SELECT DISTINCT chart, k_artist, title, date, rank, date || ' ' || rank AS p FROM keyed) k GROUP BY ALL""")
 def series_map(spark, sf):
-    s = stats.series_map(history.with_keys(fx.entries(spark, sf)), ["chart", "k_artist"])
+    s = stats.series_map(history.with_keys(fx.keyed_entries(spark, sf)), ["chart", "k_artist"])
     return s.select("chart", "k_artist", F.explode("series").alias("t", "p")).select(
         "chart", "k_artist", F.lower("t").alias("k_title"), F.array_join(
             F.transform("p", lambda x: F.concat_ws(" ", x["date"], x["rank"])), ",").alias("points"))
@@ -377,7 +377,7 @@ _INDEX = with_sql(ENTRIES_SQL, REGISTRY_SQL, KEYED_SQL, _INDEX_SQL)
 
 
 def index(spark, sf):
-    return titles.title_index(fx.entries(spark, sf), fx.registry(spark, sf))
+    return titles.title_index(fx.keyed_entries(spark, sf), fx.registry(spark, sf))
 
 
 _VERSIONS: dict[tuple[str, str], str] = {}

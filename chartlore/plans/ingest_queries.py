@@ -46,6 +46,36 @@ def scan_all_charts(spark: SparkSession, sf: str) -> DataFrame:
     return lists.scan_all_charts(spark, path, registered).select("chart", *FILE_COLUMNS)
 
 
+def odd_files(spark: SparkSession, sf: str) -> str:
+    """List files of three kinds: some without a title column, some with a column
+    under its other name, the rest as usual."""
+    path, mode = scratch(spark, "odd-lists"), F.expr("cast(substr(chart, 6) AS int) % 4")
+    cells = {"Date": F.date_format("date", "M/d/yyyy"), "Rank": F.col("rank"), "Song": F.col("title"), "Artist": F.col("artist"),
+             "Weeks on Chart": F.col("weeks_on_chart")}
+    for kind, names in ((mode == 1, ("Rank", "Date", "Artist", "Weeks on Chart")), (mode == 2, ("Date", "Song", "Rank", "Artist", "Weeks in Charts")),
+                        (~mode.isin(1, 2), tuple(cells))):
+        columns = [cells.get(n, F.col("weeks_on_chart")).cast("string").alias(n) for n in names]
+        (fx.entries(spark, sf).filter(kind).select("chart", *columns).write.mode("append").partitionBy("chart")
+         .options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    return path
+
+
+@register("list_catalogue", with_sql(ENTRIES_SQL) + """
+SELECT DISTINCT chart, CASE WHEN CAST(substr(chart, 6) AS INT) % 4 = 1 THEN 'no column for title' END AS defect,
+       CASE CAST(substr(chart, 6) AS INT) % 4 WHEN 1 THEN 'rank,date,artist,weeks_on_chart' WHEN 2 THEN 'date,title,rank,artist,weeks_on_chart'
+         ELSE 'date,rank,title,artist,weeks_on_chart' END AS columns FROM entries""")
+def list_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    found = lists.catalogue(spark, odd_files(spark, sf), partitioned=True)
+    return found.select("chart", "defect", F.array_join("columns", ",").alias("columns")).distinct()
+
+
+@register("scan_catalogued", with_sql(ENTRIES_SQL) + """
+SELECT chart, date, rank, title, artist, weeks_on_chart FROM entries WHERE CAST(substr(chart, 6) AS INT) % 4 <> 1""")
+def scan_catalogued(spark: SparkSession, sf: str) -> DataFrame:
+    found = lists.catalogue(spark, odd_files(spark, sf), partitioned=True)
+    return lists.scan_catalogued(spark, found).select("chart", "date", "rank", "title", "artist", "weeks_on_chart")
+
+
 @register("csv_sink", with_sql(ENTRIES_SQL) + """
 SELECT chart, strftime(date, '%-m/%-d/%Y') AS "Date", CAST(rank AS VARCHAR) AS "Rank", title AS "Song",
        artist AS "Artist", image_url AS "Image URL" FROM entries""")

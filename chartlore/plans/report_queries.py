@@ -582,7 +582,7 @@ pr AS (SELECT o.chart, o.date, o.no, o.k_t, o.k_a, f.rank AS f_rank, f.k_t AS f_
        FROM mt o JOIN fr f ON f.chart = o.chart AND f.date = o.date WHERE o.m IS NULL),
 both_ AS (SELECT k_t AS a, f_t AS b FROM pr UNION SELECT k_a, f_a FROM pr),
 seg AS (
-  SELECT a AS a0, b AS b0, a, b, {_BLOCK.format(a="a", b="b")} AS blk FROM both_ WHERE 40 * least(length(a), length(b)) >= 17 * (length(a) + length(b))
+  SELECT a AS a0, b AS b0, a, b, {_BLOCK.format(a="a", b="b")} AS blk FROM both_ WHERE a <> '' AND 40 * least(length(a), length(b)) >= 17 * (length(a) + length(b))
   UNION ALL
   SELECT a0, b0, x.a, x.b, {_BLOCK.format(a="x.a", b="x.b")}
   FROM (SELECT a0, b0, unnest([

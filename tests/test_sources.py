@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from chartlore.functions import text
 from chartlore.functions.sql import register_sql_functions
 from chartlore.operators import matching
+from chartlore import schemas
+from chartlore.operators import history
 from chartlore.sources import lists, pages
 
 
@@ -90,3 +92,32 @@ def test_tied_source_ranks_use_an_entry_once(spark):
     empty = e.unionByName(spark.createDataFrame([("a", 1, 2, "", "Zed")], e.schema))
     found = {x.title: x.m_rank for x in matching.match_fuzzy(matching.match_entities(near, e), empty).collect()}
     assert found == {"Gold Roads": 1, "Gold Roadz": None, "": None}
+
+
+def test_keys_are_stored_and_versioned(spark, tmp_path, entries, monkeypatch):
+    path = str(tmp_path / "h")
+    lists.write_history(entries([("a", "2024-01-06", 1, " One ", "X Featuring Y"), ("a", "2024-01-06", 2, "Two", "Q, R")]), path)
+    want = [("one", "x", "x featuring y"), ("two", "q", "q, r")]
+    keyed = lists.read_keyed_history(spark, path)
+    assert [tuple(r) for r in keyed.orderBy("rank").select("k_title", "k_artist", "k_credit").collect()] == want
+    assert history.with_all_keys(keyed) is keyed
+    assert lists.read_history(spark, path).columns == schemas.ENTRY.fieldNames()
+    # Files of an older rule are keyed anew, the others keep what is stored.
+    monkeypatch.setattr(lists, "KEY_RULE", lists.KEY_RULE + 1)
+    lists.write_history(entries([("b", "2024-01-06", 1, "Three", "Z")]).withColumn("k_title", F.lit("stale")), path, "append")
+    both = lists.read_keyed_history(spark, path)
+    assert [tuple(r) for r in both.orderBy("chart", "rank").select("k_title", "k_artist", "k_credit").collect()] == [*want, ("three", "z", "z")]
+    assert lists.read_history(spark, path).count() == 3
+
+
+def test_catalogue_reports_what_cannot_be_used(spark, tmp_path):
+    (tmp_path / "good.csv").write_text('Date,Rank,Song,Artist\n1/6/2024,1,"S, T",x\n')
+    (tmp_path / "era.csv").write_text('"Song","Artist","Rank","Date","Weeks in Charts"\nS,x,2,1/13/2024,4\n')
+    (tmp_path / "bare.csv").write_text("Date,Artist\n1/6/2024,x\n")
+    (tmp_path / "twice.csv").write_text("Date,Rank,Song,song,Artist\n1/6/2024,1,S,S,x\n")
+    found = lists.catalogue(spark, str(tmp_path))
+    assert {r.chart: r.defect for r in found.collect()} == {
+        "good": None, "era": None, "bare": "no column for rank, title", "twice": "a column twice"}
+    got = {(r.chart, r["rank"], r.title, r.weeks_on_chart) for r in lists.scan_catalogued(spark, found).collect()}
+    assert got == {("good", 1, "S, T", None), ("era", 2, "S", 4)}
+    assert lists.scan_catalogued(spark, found.filter("chart = 'bare'")).collect() == []
