@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartlore.operators import calendar, compare, history, ingest, quality, stats, titles
+from chartlore.operators import calendar, compare, history, ingest, predict, quality, stats, titles
 from chartlore.plans import fixtures as fx
 from chartlore.plans.fixtures import (
     CALENDAR_SQL, ENTRIES_SQL, GAPPED_SQL, KEYED_SQL, REGISTRY_SQL, sql_primary_artist, sql_primary_credit, with_sql)
 from chartlore.plans.ingest_queries import NAMES, named_sql
-from chartlore.session import scratch
+from chartlore.session import scratch, staged
 
 QUERIES: dict = {}
 
@@ -611,3 +611,37 @@ def weeks_list(spark, sf):
 @register("union_dates", with_sql(ENTRIES_SQL, named_sql()) + "SELECT DISTINCT date FROM named")
 def union_dates(spark, sf):
     return calendar.union_dates(stats.artist_rows(fx.entries(spark, sf), NAMES))
+
+
+# --- the next number one ------------------------------------------------------
+
+_NEXT_SQL = """
+nk AS (SELECT keyed.chart, keyed.date, rank, k_title, k_artist, week_idx FROM keyed JOIN cal USING (chart, date)),
+nw AS (
+  SELECT *, min(rank) OVER (run RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS here, min(rank) OVER (run RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS b1,
+         min(rank) OVER (run RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING) AS b2, min(rank) OVER (run RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS b3,
+         min(rank) OVER (run RANGE UNBOUNDED PRECEDING) AS peak, min(rank) OVER (run RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS nxt,
+         CAST(dense_rank() OVER run AS INT) AS weeks
+  FROM nk WINDOW run AS (PARTITION BY chart, k_title, k_artist ORDER BY week_idx)),
+no AS (SELECT *, CASE WHEN rank = 1 AND coalesce(b1, 0) <> 1 THEN week_idx END AS opens FROM nw WHERE rank = here),
+ns AS (SELECT *, max(opens) OVER (PARTITION BY chart, k_title, k_artist ORDER BY week_idx) AS start FROM no),
+nf AS (
+  SELECT chart, date, k_title, k_artist, rank, round(ln(rank), 9) AS log_rank, coalesce(b1 - rank, 0) AS rise_1, coalesce(b2 - rank, 0) AS rise_2,
+         coalesce(b3 - rank, 0) AS rise_3, CAST(b1 IS NULL AS INT) AS absent_1, weeks, peak, CAST(weeks = 1 AS INT) AS is_debut,
+         CAST(rank = 1 AS INT) AS is_incumbent, CASE WHEN rank = 1 THEN week_idx - start + 1 ELSE 0 END AS held,
+         CASE WHEN week_idx < max(week_idx) OVER (PARTITION BY chart) THEN CAST(coalesce(nxt, 0) = 1 AS INT) END AS label
+  FROM ns WHERE rank <= 20)"""
+
+
+@register("next_week_candidates", with_sql(ENTRIES_SQL, KEYED_SQL, CALENDAR_SQL, _NEXT_SQL) + """
+SELECT chart, date, k_title, k_artist, rank, log_rank, rise_1, rise_2, rise_3, absent_1, weeks, peak, is_debut, is_incumbent, CAST(held AS INT) AS held,
+       coalesce(max(CASE WHEN rank = 1 THEN rise_1 END) OVER (PARTITION BY chart, date), 0) AS incumbent_rise, label FROM nf""")
+def next_week_candidates(spark, sf):
+    return predict.next_week_candidates(fx.keyed_entries(spark, sf), fx.weeks(spark, sf))
+
+
+@register("next_number_one")
+def next_number_one(spark, sf):
+    found = staged(next_week_candidates(spark, sf), "candidates")
+    model = predict.fit_next_number_one(found, "1997-01-01")
+    return predict.predicted(model, found).select("chart", "date", "k_title", "k_artist", F.round("probability", 6).alias("probability"))
