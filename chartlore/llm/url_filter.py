@@ -31,32 +31,49 @@ GRAMS = (3, 4, 5)
 #: (verdict, rule): a host, then the start of the path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Hosts that carry unwanted pages, and ordinary ones.
-UNWANTED = ("adult-x adult-films xxx-adult sex-cams hot-adult porn-tube casino-win online-casino casino-bonus win-casino "
-            "slots-casino poker-win big-win free-bets sport-bets bets-online live-bets free-spins free-download "
-            "cheap-pills pills-shop cheap-meds discount-pills cheap-watches replica-watches viagra-cheap spam-farm "
-            "link-farm spam-links seo-spam spam-blog ads-track ad-tracker click-ads track-ads pixel-track popup-ads "
-            "ads-server payday-loans quick-loans win-prize free-prize").split()
-ORDINARY = ("library museum garden science history wiki news-daily city-council university school theatre weather "
-            "cooking recipes travel-guide maps books reading music-notes choir physics biology gazette tribune forum "
-            "archive docs handbook journal review letters painting sailing hiking mountain river bakery market workshop "
-            "thother therin thting thandon theron thenti tionsh tionble tiontion thates inghe eron estat onshe andere "
-            "ungheit schaft leren ciona dores mente eauxre quelle").split()
+#: Words of hosts with unwanted pages and of ordinary hosts. None of the labelled
+#: names occurs in the given tables; both kinds take the same companions, so that
+#: these tell nothing.
+UNWANTED = ("adult porn sex xxx nude escort cams casino poker slots jackpot roulette bets betting bookie pills viagra meds "
+            "pharma steroids replica knockoff spam spammer ads adserver popup clicks tracker track payday loans prize winner "
+            "crack keygen warez cheap free win").split()
+ORDINARY = ("library museum garden science history wiki news city university school theatre weather cooking recipes travel "
+            "maps books reading music physics biology gazette tribune forum archive docs handbook journal review letters "
+            "painting sailing hiking mountain river bakery market workshop teacher other thing there the nation station "
+            "tradition motion shore thunder leather weaver theory thread ration onward heron entry strand").split()
+COMPANIONS = "hub zone world club daily online house team corner point".split()
 _PATHS = ("/", "/en/12", "/de/345", "/fr/67.html", "/es/8910/", "/page/2", "/about")
 _HOSTS = ("{}.example.com", "www.{}.example.org", "m.{}.net", "blog.{}.example.net", "{}.org")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The labelled table: each host name under two forms, with a path that
-    tells nothing about the label."""
+    """The labelled table: each word alone and with six companions, before or
+    after it, under several hosts and with a path that tells nothing about the
+    label."""
     rows = []
-    for bad, names in ((1, UNWANTED), (0, ORDINARY)):
-        for i, name in enumerate(names):
-            for j in (0, 1):
+    for bad, words in ((1, UNWANTED), (0, ORDINARY)):
+        for i, word in enumerate(words):
+            a, b, c, d, e, f = (COMPANIONS[(3 * i + k) % len(COMPANIONS)] for k in range(6))
+            for j, name in enumerate((word, f"{word}-{a}", f"{b}-{word}", f"{word}{c}", f"{d}{word}", f"{word}-{e}", f"my-{word}-{f}")):
                 rows.append((f"http://{_HOSTS[(i + 2 * j) % len(_HOSTS)].format(name)}{_PATHS[(i + 3 * j) % len(_PATHS)]}", bad))
     return rows
 
 
+def left_out_accuracy(labelled: Sequence[tuple[str, int]], folds: int = 5) -> dict[int, float]:
+    """Share of each label judged right by models that haven't seen the host."""
+    right, total = {0: 0, 1: 0}, {0: 0, 1: 0}
+    hosts = [zlib.crc32(split_url(u)[0].encode()) % folds for u, _ in labelled]
+    for fold in range(folds):
+        weights = train([row for row, f in zip(labelled, hosts) if f != fold])
+        for (url, bad), f in zip(labelled, hosts):
+            if f == fold:
+                slots = gram_slots(*split_url(url))
+                score = weights[slots].sum() / np.sqrt(max(1, len(slots))) + weights[-1]
+                right[bad] += int((score >= 0) == bad)
+                total[bad] += 1
+    return {label: right[label] / max(1, total[label]) for label in right}
+
+
 def host_of(url: Column) -> Column:
     host = F.regexp_extract(url, r"^[\s\S]*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))

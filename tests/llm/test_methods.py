@@ -184,3 +184,12 @@ def test_bpe_equals_the_library():
         assert np.frombuffer(got, "<u4").tolist() == want
         assert ours.decode(got) == theirs.decode(want, skip_special_tokens=False)
     assert ours.encode(None) == b"" and ours.decode(b"") == ""
+
+
+def test_url_model_on_left_out_hosts():
+    labelled = url_filter.labelled_urls()
+    right = url_filter.left_out_accuracy(labelled)
+    assert right[0] >= 0.9 and right[1] >= 0.9, right
+    known = {part for url, _ in labelled for part in url_filter.split_url(url)[0].split(".")}
+    # No labelled name is one of the given tables'.
+    assert not known & {"adult-x", "casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "thother", "tionsh", "theron"}
