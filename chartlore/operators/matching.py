@@ -410,7 +410,7 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     dated = marked.join(fate, ["chart", "week"], "left").withColumn("status", F.when(F.col("superseded"), "superseded").otherwise(F.col("status")))
     # Rows that have a status don't take part; without a date nothing is near them.
     dated = dated.withColumn("date", F.when(F.col("status").isNull(), F.col("date")))
-    found = match_rows(dated, entries)
+    found = match_rows(staged(dated, "dated"), entries)  # read twice by the matching
     ledger = found.select(
         "chart", "week", "src_rank", "title", "artist", "date", "m_rank", "m_title", "m_artist",
         *(number(F.col(c)).alias(name) for name, c in figures.items()), F.lit(source).alias("source"),

@@ -124,21 +124,23 @@ def versus_weekly(rows: DataFrame) -> DataFrame:
     return cells.groupBy("date").pivot("col", names).agg(F.min("rank")).orderBy("date")
 
 
-def artist_history_export(rows: DataFrame, images: DataFrame) -> DataFrame:
-    """One artist's history in long form: per cell the header, the artwork (the
-    selection's own first, else any list's) and the rank, and a marker line
-    (is_gap) after each break of over a week."""
-    heads = title_columns(rows)
+def artist_history_export(rows: DataFrame, images: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The history of one artist, or of every group `by` (an artist's name), in
+    long form: per cell the header, the artwork (the selection's own first, else
+    any list's) and the rank, and a marker line (is_gap) after each break of over
+    a week. Any number of artists share one plan."""
+    by = list(by)
+    heads = title_columns(rows, by)
     art = (
-        fill_image(heads.select("title", F.col("credit").alias("artist"), "header", "image_url"), images)
-        .select("title", primary_artist(F.col("artist")).alias("k_artist"), "header", "image_url"))
-    cells = rank_long(rows)
-    days = cells.select("date").distinct()
-    # One selection's weeks: bounded by the calendar.
-    gaps = days.withColumn("next", F.lead("date").over(W.orderBy("date"))).filter(
+        fill_image(heads.select(*by, "title", F.col("credit").alias("artist"), "header", "image_url"), images)
+        .select(*by, "title", primary_artist(F.col("artist")).alias("k_artist"), "header", "image_url"))
+    cells = rank_long(rows, by)
+    days = cells.select(*by, "date").distinct()
+    # A selection's weeks: bounded by the calendar.
+    gaps = days.withColumn("next", F.lead("date").over(W.partitionBy(*by).orderBy("date"))).filter(
         F.datediff("next", "date") > 7)
-    body = cells.join(art, ["title", "k_artist"]).select(
-        "date", F.lit(False).alias("is_gap"), "header", "image_url", "rank")
-    marks = gaps.select("date", F.lit(True).alias("is_gap"), F.lit(None).cast("string").alias("header"),
+    body = cells.join(art, [*by, "title", "k_artist"]).select(
+        *by, "date", F.lit(False).alias("is_gap"), "header", "image_url", "rank")
+    marks = gaps.select(*by, "date", F.lit(True).alias("is_gap"), F.lit(None).cast("string").alias("header"),
                         F.lit(None).cast("string").alias("image_url"), F.lit(None).cast("int").alias("rank"))
     return body.unionByName(marks)

@@ -189,12 +189,12 @@ def modern_artist_summary(entries: DataFrame, floor: str = "1990-01-01",
 
 
 def artist_pool(entries: DataFrame, by: list[str] | None = None, floor: str | None = None) -> DataFrame:
-    """Distinct solo names, per list or over all, for a search box."""
+    """Distinct solo names, per list or over all, sorted, for a search box."""
     rows = entries if floor is None else entries.filter(F.col("date") >= F.lit(floor).cast("date"))
     by = by or []
     return (
         rows.select(*by, F.trim("artist").alias("artist"))
-        .filter((F.col("artist") != "") & is_solo_name(F.col("artist"))).distinct())
+        .filter((F.col("artist") != "") & is_solo_name(F.col("artist"))).distinct().orderBy(*by, "artist"))
 
 
 def artist_prefix(pool: DataFrame, prefix: str = "", limit: int = 50) -> DataFrame:

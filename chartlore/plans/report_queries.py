@@ -882,20 +882,30 @@ def versus_weekly_long(spark, sf):
     return reshape.versus_weekly_long(stats.artist_rows(fx.entries(spark, sf), NAMES))
 
 
-@register("artist_history_export", _HEADS.rstrip() + f""",
+_EXPORT = _HEADS.rstrip() + f""",
 img AS (SELECT lower(trim(title)) AS kt, k_artist, arg_min(image_url, (chart, date, rank)) AS image_url
         FROM entries JOIN pa ON artist = a0 WHERE starts_with(image_url, 'http') GROUP BY 1, 2),
-own AS (SELECT title, k_artist, arg_min(image_url, (date, rank, image_url)) AS own_url FROM nk
-        WHERE name = 'red 0' AND starts_with(image_url, 'http') GROUP BY 1, 2),
-body AS (SELECT date, false AS is_gap, header, coalesce(own_url, img.image_url, '') AS image_url, min(rank) AS rank
+own AS (SELECT name, title, k_artist, arg_min(image_url, (date, rank, image_url)) AS own_url FROM nk
+        WHERE starts_with(image_url, 'http') GROUP BY 1, 2, 3),
+body AS (SELECT nk.name, date, false AS is_gap, header, coalesce(own_url, img.image_url, '') AS image_url, min(rank) AS rank
          FROM nk JOIN heads USING (name, title, k_artist) LEFT JOIN img ON img.kt = lower(trim(nk.title)) AND img.k_artist = nk.k_artist
-         LEFT JOIN own ON own.title = nk.title AND own.k_artist = nk.k_artist
-         WHERE name = 'red 0' GROUP BY date, nk.title, nk.k_artist, header, own_url, img.image_url),
-days AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM body) d)
-SELECT * FROM body UNION ALL SELECT date, true, NULL, NULL, NULL FROM days WHERE nxt - date > 7""")
+         LEFT JOIN own ON own.name = nk.name AND own.title = nk.title AND own.k_artist = nk.k_artist
+         GROUP BY nk.name, date, nk.title, nk.k_artist, header, own_url, img.image_url),
+days AS (SELECT name, date, lead(date) OVER (PARTITION BY name ORDER BY date) AS nxt FROM (SELECT DISTINCT name, date FROM body) d),
+export AS (SELECT * FROM body UNION ALL SELECT name, date, true, NULL, NULL, NULL FROM days WHERE nxt - date > 7)
+"""
+
+
+@register("artist_history_export", _EXPORT + "SELECT date, is_gap, header, image_url, rank FROM export WHERE name = 'red 0'")
 def artist_history_export(spark, sf):
     e = fx.entries(spark, sf)
-    return reshape.artist_history_export(stats.artist_rows(e, ["red 0"]), titles.image_index(e))
+    return reshape.artist_history_export(stats.artist_rows(e, ["red 0"]), titles.image_index(e), ["name"]).drop("name")
+
+
+@register("artist_history_exports", _EXPORT + "SELECT * FROM export")
+def artist_history_exports(spark, sf):
+    e = fx.entries(spark, sf)
+    return reshape.artist_history_export(stats.artist_rows(e, NAMES), titles.image_index(e), ["name"])
 
 
 # --- visits -----------------------------------------------------------------
