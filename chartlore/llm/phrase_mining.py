@@ -39,7 +39,7 @@ from chartlore.session import staged
 LEAST, LONGEST, TOP = 100, 5, 2000
 TILE = 1024  # ids along a side of a tile
 CROWDED = TILE * TILE // 8  # pairs from which a tile is counted densely
-HELD = 1 << 22  # pairs a task counts at once
+HELD = 1 << 21  # pairs a task counts at once
 HELD_WORDS = 300_000  # distinct words a task holds
 BLOCK = 1 << 16  # ids of one encoded row
 HEAD = 200_000  # dictionary entries sent to the workers
