@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartlore.session import staged
+
 
 def countable_visits(visits: DataFrame, prefixes: tuple[str, ...] = ("/static", "/api"),
                      paths: tuple[str, ...] = ("/admin",)) -> DataFrame:
@@ -59,8 +61,8 @@ def visit_summary(visits: DataFrame, today: str, days: int = 30) -> DataFrame:
     def line(section: str, frame: DataFrame, period) -> DataFrame:
         return frame.select(F.lit(section).alias("section"), period.alias("period"), "views", "uniques")
 
-    # One reduction of the visits; every section sums it up further.
-    base = visits.groupBy("day", "visitor").agg(F.count("*").alias("views"))
+    # One reduction of the visits, written once; every section sums it up further.
+    base = staged(visits.groupBy("day", "visitor").agg(F.count("*").alias("views")), "visitor-days")
 
     def summed(frame: DataFrame, *by: str) -> DataFrame:
         sums = [F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.count("visitor").alias("uniques")]

@@ -41,10 +41,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back. Used where a
     result feeds several branches or a loop: later steps start from files that
-    outlive an executor, and their sizes are known to the planner."""
+    outlive an executor, and their sizes are known to the planner. `drop_staged`
+    deletes them when what was made from them has been written."""
     path = scratch(frame.sparkSession, name)
     frame.write.parquet(path)
+    _STAGED.setdefault(frame.sparkSession.sparkContext.applicationId, []).append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def staged_count(spark: SparkSession) -> int:
+    """How many frames this application has staged: a mark for `drop_staged`."""
+    return len(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes what was staged after a mark, but for the last one if that is kept.
+    Frames still to be read from these files must have been written elsewhere."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    end = len(paths) - keep_last
+    for path in paths[since:end]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[since:end]

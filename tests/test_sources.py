@@ -1,5 +1,6 @@
 """List files as ordinary CSV, page text, folded letters, tied source ranks."""
 import csv
+import os
 import re
 import unicodedata
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from chartlore.functions import text
 from chartlore.functions.sql import register_sql_functions
 from chartlore.operators import matching
-from chartlore import schemas
+from chartlore import schemas, session
 from chartlore.operators import history
 from chartlore.sources import lists, pages
 
@@ -121,3 +122,13 @@ def test_catalogue_reports_what_cannot_be_used(spark, tmp_path):
     got = {(r.chart, r["rank"], r.title, r.weeks_on_chart) for r in lists.scan_catalogued(spark, found).collect()}
     assert got == {("good", 1, "S, T", None), ("era", 2, "S", 4)}
     assert lists.scan_catalogued(spark, found.filter("chart = 'bare'")).collect() == []
+
+
+def test_staged_files_are_dropped(spark):
+    mark = session.staged_count(spark)
+    kept = [session.staged(spark.range(n), "part") for n in (3, 4, 5)]
+    files = [os.path.dirname(k.inputFiles()[0].removeprefix("file://")) for k in kept]
+    session.drop_staged(spark, mark, keep_last=True)
+    assert [os.path.exists(f) for f in files] == [False, False, True] and kept[2].count() == 5
+    session.drop_staged(spark, mark)
+    assert not os.path.exists(files[2]) and session.staged_count(spark) == mark
