@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chartlore.llm import edit_leaks, order_minhash, prefix_bpe, secret_scan, site_quality
 from chartlore.llm.common import table, word_model
-from chartlore.session import staged
+from chartlore.session import drop_staged, staged, staged_count
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), staged_count(spark)
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        drop_staged(spark, mark, keep_last=True)  # the stage's input and what it wrote on the way
     return docs
