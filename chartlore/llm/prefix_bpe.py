@@ -9,8 +9,7 @@ back-pointers that give the ids, in time linear in the word's length.
 
 The model file (tokenizers JSON: NFC, white space, lower case, byte-level BPE
 with word ends) is read once by the driver and broadcast; its size is checked.
-Each worker keeps two bounded tables of encoded pieces, in two generations: what
-was used since the last change of generations stays.
+Each worker keeps two bounded tables of encoded pieces, cleared when full.
 
 Letters and digits are those of the installed regex module's Unicode tables.
 
@@ -53,19 +52,6 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-class Recent:
-    """A table of at most twice `size` entries. When the younger half is full it
-    becomes the older one, whose entries come back as they are used."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def keep(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
-
-
 class PrefixBpe:
     def __init__(self, spec: str):
         spec = json.loads(spec)
@@ -98,7 +84,8 @@ class PrefixBpe:
                 self.automaton.add_word(word, (token, len(word)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.pieces, self.chunks = Recent(CACHED_PIECES), Recent(CACHED_PIECES)
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def _symbols_of(self, token: str) -> str:
         """A token's bytes as characters, the last one marked if it ends a word."""
@@ -159,14 +146,16 @@ class PrefixBpe:
     def _chunk(self, chunk: str) -> bytes:
         found = self.piece.findall(chunk)
         if found == [chunk]:
-            return self.pieces.young.get(chunk) or self.encode_word(chunk)
+            return self.pieces.get(chunk) or self.encode_word(chunk)
         out = []
         for piece in found:
-            ids = self.pieces.young.get(piece)
+            ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces.old.get(piece) or self.encode_word(piece)
+                ids = self.encode_word(piece)
                 if len(piece) <= 64:
-                    self.pieces.keep(piece, ids)
+                    if len(self.pieces) >= CACHED_PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -180,11 +169,13 @@ class PrefixBpe:
         chunks = _SPACE.split(text) if _NOT_SPACE.search(text) else text.split()
         known, out = self.chunks, []
         for chunk in chunks:
-            ids = known.young.get(chunk)
+            ids = known.get(chunk)
             if ids is None:
-                ids = known.old.get(chunk) or self._chunk(chunk)
+                ids = self._chunk(chunk)
                 if len(chunk) <= 64:
-                    known.keep(chunk, ids)
+                    if len(known) >= CACHED_PIECES:
+                        known.clear()
+                    known[chunk] = ids
             out.append(ids)
         return b"".join(out)
 
