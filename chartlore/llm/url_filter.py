@@ -34,7 +34,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Words of hosts with unwanted pages and of ordinary hosts. None of the labelled
 #: names occurs in the given tables; both kinds take the same companions, so that
 #: these tell nothing.
-UNWANTED = ("adult porn sex xxx nude escort cams casino poker slots jackpot roulette bets betting bookie pills viagra meds "
+UNWANTED = ("adult porn erotic fetish nude escort cams casino poker slots jackpot roulette bets betting bookie pills viagra meds "
             "pharma steroids replica knockoff spam spammer ads adserver popup clicks tracker track payday loans prize winner "
             "crack keygen warez cheap free win").split()
 ORDINARY = ("library museum garden science history wiki news city university school theatre weather cooking recipes travel "
