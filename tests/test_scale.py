@@ -26,3 +26,26 @@ def test_placed_history_is_not_worked_out_twice(spark, entries, tmp_path):
     assert seen.value == 2
     stored = lists.read_keyed_history(spark, str(tmp_path / "h")).orderBy("chart").collect()
     assert [(r.title, r.k_title, r.k_artist) for r in stored] == [("One", "one", "x"), ("Two", "two", "q")]
+
+
+def test_comparison_has_more_columns_than_a_pivot(spark, entries):
+    rows = entries([("a", "2024-01-06", n, f"T{n}", "X") for n in range(1, 5)]).withColumn("name", F.lit("X"))
+    limit = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    try:
+        cells = reshape.versus_weekly_cells(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", limit)
+    assert sorted((r.header, r.rank) for r in cells) == [(f"X: T{n}", n) for n in range(1, 5)]
+
+
+def test_list_pages_take_one_placement_and_no_broadcast(spark):
+    page = history.chart_page(fx.keyed_entries(spark, SF), partitions=fx.tasks(spark, SF))
+    found = plan(page)
+    assert "Broadcast" not in found and page.rdd.getNumPartitions() == fx.tasks(spark, SF)
+    assert found.count("Exchange hashpartitioning(") == 1
+
+
+def test_exports_take_the_keys_that_rows_bring_along(spark, entries):
+    rows = entries([("a", "2024-01-06", 1, "T", "X")]).withColumn("k_artist", F.lit("stored")).withColumn("name", F.lit("X"))
+    assert [r.k_artist for r in reshape.versus_weekly_long(rows).collect()] == ["stored"]
