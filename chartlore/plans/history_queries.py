@@ -52,12 +52,12 @@ _PAGE = with_sql(ENTRIES_SQL, KEYED_SQL, CALENDAR_SQL, _PAGE_SQL)
 SELECT *, concat_ws(' ', CASE WHEN change IN ('new', 're-entry') THEN change END,
                     CASE WHEN new_peak THEN 'peak' END) AS tags FROM page""")
 def chart_page(spark, sf):
-    return history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf)).withColumn("tags", F.array_join("tags", " "))
+    return history.chart_page(fx.keyed_entries(spark, sf), partitions=fx.tasks(spark, sf)).withColumn("tags", F.array_join("tags", " "))
 
 
 @register("cumulative_weeks", _PAGE + "SELECT chart, date, rank, weeks FROM page")
 def cumulative_weeks(spark, sf):
-    return history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf)).select("chart", "date", "rank", "weeks")
+    return history.chart_page(fx.keyed_entries(spark, sf), partitions=fx.tasks(spark, sf)).select("chart", "date", "rank", "weeks")
 
 
 @register("chart_page_growers", _PAGE + """
@@ -65,7 +65,7 @@ SELECT chart, date, rank, title, last_week FROM page JOIN (
   SELECT chart, date, ceil(count(*) * 0.05) AS need FROM entries GROUP BY 1, 2) d USING (chart, date)
 WHERE last_week - rank >= need""")
 def chart_page_growers(spark, sf):
-    return (history.chart_page(fx.keyed_entries(spark, sf), fx.weeks(spark, sf), grower=True).filter("grower")
+    return (history.chart_page(fx.keyed_entries(spark, sf), grower=True, partitions=fx.tasks(spark, sf)).filter("grower")
             .select("chart", "date", "rank", "title", "last_week"))
 
 
@@ -450,7 +450,7 @@ img AS (SELECT k_title, k_artist, arg_min(image_url, (chart, date, rank)) AS fou
 SELECT chart, date, rank, CASE WHEN starts_with(image_url, 'http') THEN image_url ELSE coalesce(found, '') END AS image_url
 FROM keyed LEFT JOIN img USING (k_title, k_artist)""")
 def fill_image(spark, sf):
-    e = fx.entries(spark, sf)
+    e = fx.keyed_entries(spark, sf)
     return titles.fill_image(e, titles.image_index(e)).select("chart", "date", "rank", "image_url")
 
 
