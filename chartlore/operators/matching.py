@@ -6,6 +6,7 @@ entries are (chart, date, rank, title, artist).
 from __future__ import annotations
 
 import difflib
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -148,17 +149,16 @@ def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
 # held together for one list and date is bounded by the depth of its lists.
 
 
-def _placed(rows: DataFrame, entries: DataFrame, at: list[str], swapped: bool) -> DataFrame:
-    """Both sides as (at, is_row, row, line, k_t, k_a, src_rank, title, artist);
-    `row` is null for entries, `line` for rows."""
+def _placed(rows: DataFrame, entries: DataFrame, at: list[str], swapped: bool, partitions: int | None = None) -> DataFrame:
+    """Both sides as (at, row, line, is_row, k_t, k_a); `row` is null for
+    entries, `line` for rows. `partitions` is how many tasks share them."""
     r = unswap(rows) if swapped else rows
     line = F.struct("rank", "title", "artist")
-    r = r.withColumn("row", F.struct(*rows.columns)).select(*at, F.lit(True).alias("is_row"), "row", F.lit(None).cast(entries.select(line).schema[0].dataType).alias("line"),
-                 F.col("src_rank").cast("bigint").alias("src_rank"), "title", "artist")
-    e = entries.select(*at, F.lit(False).alias("is_row"), F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
-                       F.col("rank").cast("bigint").alias("src_rank"), "title", "artist")
-    both = r.unionByName(e).repartition(*at)
-    return both.withColumns({"k_t": title_key(F.col("title")), "k_a": lead_artist(F.col("artist"))})
+    r = r.select(*at, F.struct(*rows.columns).alias("row"), F.lit(None).cast(entries.select(line).schema[0].dataType).alias("line"))
+    e = entries.select(*at, F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"))
+    both = r.unionByName(e)
+    both = (both.repartition(*at) if partitions is None else both.repartition(partitions, *at)).withColumn("is_row", F.col("row").isNotNull())
+    return both.withColumns({"k_t": title_key(F.coalesce("row.title", "line.title")), "k_a": lead_artist(F.coalesce("row.artist", "line.artist"))})
 
 
 def _resolved(both: DataFrame, at: list[str]) -> DataFrame:
@@ -181,137 +181,129 @@ def _resolved(both: DataFrame, at: list[str]) -> DataFrame:
 def _taken(resolved: DataFrame, at: list[str]) -> DataFrame:
     """`resolved` with an entry left to the first row that resolves to it; `free`
     marks the entries no row has, one of equal lines."""
-    w = W.partitionBy(*at, "e").orderBy(F.desc("is_row"), "src_rank", "title", "artist")
+    w = W.partitionBy(*at, "e").orderBy(F.desc("is_row"), F.col("row.src_rank").cast("bigint"), "row.title", "row.artist")
     rows = F.count_if("is_row").over(W.partitionBy(*at, "e"))
     first = resolved.withColumn("_no", F.row_number().over(w)).withColumn("_rows", rows)
     return first.withColumn("free", ~F.col("is_row") & (F.col("_rows") == 0) & (F.col("_no") == 1)).withColumn(
         "e", F.when(~F.col("is_row") | (F.col("_no") == 1), F.col("e"))).drop("_no", "_rows")
 
 
-def _matched(settled: DataFrame) -> DataFrame:
-    return settled.filter("is_row").select("row.*", "k_t", "k_a", F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
-                                           F.col("e.artist").alias("m_artist"))
+def _matched(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*", "k_t", "k_a", F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
+                       F.col("e.artist").alias("m_artist"))
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
-                   swapped: bool = True) -> DataFrame:
+                   swapped: bool = True, partitions: int | None = None) -> DataFrame:
     """Source rows with the list entry each resolves to, or nulls.
 
     In order: title and lead artist; title alone if one entry carries it; same
     lead artist and one title containing the other if one entry fits. An entry
     goes to the first source row that resolves to it; ranks may tie. Rows filed
-    under a placeholder title come out put right.
+    under a placeholder title come out put right. `partitions` is how many tasks
+    share both sides.
     """
     at = list(at)
-    return _matched(_taken(_resolved(_placed(rows, entries, at, swapped), at), at))
+    return _matched(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at).filter("is_row"))
 
 
-def likeness(title: Column, other: Column, artist: Column, other_artist: Column, least: float = SIMILAR) -> Column:
-    """A struct of near, whether two titles are alike by difflib's ratio, and
-    close, whether their artists are too. Declared non-deterministic, so that a
-    filter on it isn't pushed below and each pair compared twice."""
+def likeness(pairs: str, least: float = SIMILAR) -> Column:
+    """For a column of arrays of (t, u, a, b), titles and artists of two sides, how alike
+    each pair is by difflib's ratio: 2 where titles and artists are, 1 where
+    titles are, else 0. Declared non-deterministic, so that it is worked out
+    once."""
 
-    @F.pandas_udf("near boolean, close boolean")
-    def run(t: pd.Series, u: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<int>")
+    def run(ts: pd.Series, us: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        @functools.lru_cache(10_000)
         def alike(x: str, y: str) -> bool:
             m = difflib.SequenceMatcher(None, x, y)
             return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
-        near = [alike(*pair) for pair in zip(t, u)]
-        return pd.DataFrame({"near": near, "close": [n and alike(x or "", y or "") for n, x, y in zip(near, a, b)]})
+        return pd.Series([[(1 + alike(a or "", b or "")) if alike(t, u) else 0 for t, u, a, b in zip(*group)]
+                          for group in zip(ts, us, xs, ys)], dtype=object)
 
-    return run.asNondeterministic()(title, other, artist, other_artist)
+    return run.asNondeterministic()(*(F.col(f"{pairs}.{c}") for c in ("t", "u", "a", "b")))
 
 
-def gram_share(size: Column) -> Column:
-    """How many letter pairs a title of `size` letters shares at least with any
-    title that is alike.
+def _could_be_alike(t: Column, u: Column) -> Column:
+    """Whether two titles may have a ratio of 17 / 20. Of L letters in all M are
+    matched, in order, on either side: with 2 M >= 17 L / 20 no more than 3 L / 20
+    insertions and deletions lead from one to the other, and no more edits."""
+    both = F.length(t) + F.length(u)
+    edits = F.call_function("levenshtein", t, u, F.floor(both * 3 / 20).cast("int"))
+    return (40 * F.least(F.length(t), F.length(u)) >= 17 * both) & (edits >= 0)
 
-    Titles of L letters in all that are alike have M >= 17 L / 40 letters in
-    common, in blocks with an unshared letter between any two: at most
-    L - 2 M + 1 blocks, so M - (L - 2 M + 1) pairs. The other title has between
-    17 / 23 and 23 / 17 of the letters; the bound grows by 11 pairs in 40
-    letters and swings by less than 3, so the first dozen lengths hold its least
-    value.
-    """
-    low = size + F.ceil(size * 17 / 23).cast("int")
-    high = F.least(low + 11, size + F.floor(size * 23 / 17).cast("int"))
-    return F.array_min(F.transform(F.sequence(low, high), lambda n: 3 * F.ceil(n * 17 / 40).cast("int") - n - 1))
-
-
-def _grams(key: Column) -> Column:
-    """The letter pairs of a key, the second of equal ones told apart and so on;
-    a key of one letter is its own."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))
-    return F.transform(pairs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(pairs, 1, i), lambda h: h == g)).cast("string")))
 
+def _won(open_: DataFrame, at: list[str]) -> DataFrame:
+    """The open rows of `open_`, which holds them and the free entries (at, is_row,
+    row, line, k_t, k_a), with the line each wins as `e`, or null.
 
-def _candidates(open_: DataFrame, at: list[str]) -> DataFrame:
-    """(at, no, cands): for every open row the free entries it could take, as
-    structs of entry, line, prefix, alike and close.
-
-    Pairs of letters are ordered by how many titles of that list and date have
-    them. Titles that share s pairs share one of their rarest, as many as they
-    have less s - 1: only these are joined, and no pair that is alike is missed.
+    Both are gathered per list and date. What is compared there is bounded by its
+    rows and entries that resolve to nothing: an edit bound is worked out for each
+    of these pairs, and Python sees only what passes it. The candidates are then
+    folded over in row order.
     """
-    size = F.length("k_t")
-    # Keys of a title: its letter pairs, and its beginning, which a title prefix
-    # has to share. Empty titles are like no other.
-    head = F.when(size >= MIN_PREFIX, F.array(F.concat(F.lit("^"), F.substring("k_t", 1, MIN_PREFIX)))).otherwise(F.array().cast("array<string>"))
-    keyed = open_.withColumn("g", F.explode(F.when(size > 0, F.concat(_grams(F.col("k_t")), head))))
-    keyed = keyed.withColumn("head", F.startswith("g", F.lit("^"))).withColumn("often", F.count("*").over(W.partitionBy(*at, "g")))
-    place = F.row_number().over(W.partitionBy(*at, "is_row", "no").orderBy("head", "often", "g"))
-    wanted = F.greatest(size - 1, F.lit(1)) - F.greatest(gram_share(size), F.lit(1)) + 1
-    keys = keyed.withColumn("place", place).filter(F.col("head") | (F.col("place") <= wanted)).drop("often", "place")
-    side = F.struct("no", "k_t", "k_a", "line")
-    met = keys.groupBy(*at, "g", "head").agg(F.collect_list(F.when(F.col("is_row"), side)).alias("r"),
-                                     F.collect_list(F.when(~F.col("is_row"), side)).alias("f"))
-    pairs = met.filter((F.size("r") > 0) & (F.size("f") > 0)).withColumn("r", F.explode("r")).withColumn("f", F.explode("f"))
-    t, u = F.col("r.k_t"), F.col("f.k_t")
-    fits = 40 * F.least(F.length(t), F.length(u)) >= 17 * (F.length(t) + F.length(u))
-    pairs = pairs.filter(F.when(
-        F.col("head"), F.startswith(u, t) | F.startswith(t, u)).otherwise(fits))
-    once = pairs.groupBy(*at, F.col("r.no").alias("no"), F.col("f.no").alias("f_no")).agg(
-        F.max("head").alias("prefix"), F.any_value("r").alias("r"), F.any_value("f").alias("f"))
-    alike = likeness(F.col("r.k_t"), F.col("f.k_t"), F.col("r.k_a"), F.col("f.k_a"))
-    judged = once.withColumn("like", alike).filter("prefix OR like.near")
-    cand = F.struct(F.col("f_no").alias("no"), F.col("f.line").alias("line"), "prefix",
-                    (F.col("like.near") & F.col("r.k_a").eqNullSafe(F.col("f.k_a"))).alias("alike"),
-                    F.col("like.close").alias("close"))
-    return judged.groupBy(*at, "no").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
-
-
-def _let(value: Column, body) -> Column:
-    """`body` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _settled(tagged: DataFrame, at: list[str]) -> DataFrame:
-    """`tagged` with `e` of open rows filled from free entries, row by row."""
-    order = [F.desc("is_row"), "src_rank", "title", "artist"]
-    tagged = tagged.withColumn("no", F.row_number().over(W.partitionBy(*at).orderBy(*order)))
-    open_ = tagged.filter((F.col("is_row") & F.col("e").isNull()) | F.col("free")).select(*at, "is_row", "no", "k_t", "k_a", "line")
-    open_ = open_.filter(F.col("k_t").isNotNull())
-    cands = _candidates(open_, at)
-    lists = cands.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("no", "cands"))).alias("todo"))
-    line = tagged.schema["line"].dataType.simpleString()
+    order = W.partitionBy(*at).orderBy(F.desc("is_row"), F.col("row.src_rank").cast("bigint"), "row.title", "row.artist")
+    rows, free = (lambda c: F.collect_list(F.when(F.col("is_row"), c))), (lambda c: F.collect_list(F.when(~F.col("is_row"), c)))
+    groups = open_.withColumn("no", F.row_number().over(order)).groupBy(*at).agg(
+        F.array_sort(rows(F.struct("no", "k_t", "k_a"))).alias("todo"), rows(F.struct("no", "row", "k_t", "k_a")).alias("rows"),
+        free(F.struct("no", "k_t", "k_a", "line")).alias("free"))
+
+    def prefix(t: Column, u: Column) -> Column:
+        return (F.length(t) >= MIN_PREFIX) & (F.length(u) >= MIN_PREFIX) & (F.startswith(u, t) | F.startswith(t, u))
+
+    def candidates(r: Column) -> Column:
+        fitting = F.filter("free", lambda f: prefix(r["k_t"], f["k_t"]) | _could_be_alike(r["k_t"], f["k_t"]))
+        return F.transform(fitting, lambda f: F.struct(
+            r["no"].alias("no"), f["no"].alias("f_no"), f["line"].alias("line"), prefix(r["k_t"], f["k_t"]).alias("prefix"),
+            r["k_a"].eqNullSafe(f["k_a"]).alias("same"), r["k_t"].alias("t"), f["k_t"].alias("u"), r["k_a"].alias("a"), f["k_a"].alias("b")))
+
+    # Made once, as the likeness is worked out from it: an expression that is not
+    # deterministic is not merged into what reads it.
+    pairs = groups.withColumn("pairs", F.flatten(F.transform("todo", candidates)))
+    judged = pairs.withColumn("like", likeness("pairs"))
+    cands = F.zip_with("pairs", "like", lambda p, n: F.struct(
+        p["no"].alias("no"), p["f_no"].alias("f_no"), p["line"].alias("line"), p["prefix"].alias("prefix"),
+        ((n > 0) & p["same"]).alias("alike"), (n > 1).alias("close")))
+    judged = judged.withColumn("cands", cands)
+    line = open_.schema["line"].dataType.simpleString()
 
     def only(cands: Column, rule: str) -> Column:
         return _let(F.filter(cands, lambda c: c[rule]), lambda fit: F.when(F.size(fit) == 1, F.get(fit, F.lit(0))))
 
     def settle(state: Column, row: Column) -> Column:
-        left = F.filter(row["cands"], lambda c: ~F.array_contains(state["used"], c["no"]))
+        left = F.filter("cands", lambda c: (c["no"] == row["no"]) & ~F.array_contains(state["used"], c["f_no"]))
         won = _let(left, lambda cands: F.coalesce(*(only(cands, rule) for rule in ("prefix", "alike", "close"))))
         return _let(won, lambda c: F.when(c.isNull(), state).otherwise(F.struct(
-            F.array_append(state["used"], c["no"]).alias("used"),
+            F.array_append(state["used"], c["f_no"]).alias("used"),
             F.array_append(state["won"], F.struct(row["no"].alias("no"), c["line"].alias("line"))).alias("won"))))
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<struct<no:int,line:{line}>>").alias("won"))
-    won = lists.select(*at, F.aggregate("todo", start, settle, lambda state: F.map_from_entries(state["won"])).alias("won"))
-    return tagged.filter("is_row").join(won, at, "left").withColumn("e", F.coalesce("e", F.try_element_at("won", F.col("no")))).drop("won")
+    won = F.when(F.size("cands") > 0, F.map_from_entries(F.aggregate("todo", start, settle, lambda state: state["won"])))
+    return judged.select("rows", won.alias("won")).select(F.explode("rows").alias("r"), "won").select(
+        "r.row", "r.k_t", "r.k_a", F.try_element_at("won", F.col("r.no")).alias("e"))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _settled(taken: DataFrame, at: list[str]) -> DataFrame:
+    """The rows of `taken` with `e` of open ones filled from free entries. It is
+    written once; only rows and entries that resolved to nothing are placed and
+    read again."""
+    kept = staged(taken.filter("is_row OR free").select(*at, "is_row", "row", "line", "k_t", "k_a", "e"), "taken")
+    comparable = F.coalesce(F.col("k_t") != "", F.lit(False))
+    for c in at:
+        comparable = comparable & F.col(c).isNotNull()
+    is_open = comparable & (~F.col("is_row") | F.col("e").isNull())
+    done = kept.filter(~is_open & F.col("is_row")).select("row", "k_t", "k_a", "e")
+    return done.unionByName(_won(kept.filter(is_open), at))
 
 
-def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date")) -> DataFrame:
+def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), partitions: int | None = None) -> DataFrame:
     """Fills what `match_entities` left: a unique title prefix; else one entry
     of the same lead artist whose title is 0.85 alike; else one whose title and
     artist both are. Each only among entries not yet used, source rows in rank
@@ -321,22 +313,23 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     line = F.struct("rank", "title", "artist")
     kind = entries.select(line).schema[0].dataType
     given = F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"), F.col("m_artist").alias("artist")).cast(kind)
-    r = matched.select(*at, F.lit(True).alias("is_row"), F.struct("*").alias("row"), F.lit(None).cast(kind).alias("line"),
-                       F.col("src_rank").cast("bigint").alias("src_rank"), "title", "artist", "k_t", "k_a",
+    r = matched.select(*at, F.struct("*").alias("row"), F.lit(None).cast(kind).alias("line"), "k_t", "k_a",
                        F.when(F.col("m_rank").isNotNull(), given).alias("e"))
-    e = entries.select(*at, F.lit(False).alias("is_row"), F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
-                       F.col("rank").cast("bigint").alias("src_rank"), "title", "artist", title_key(F.col("title")).alias("k_t"),
-                       lead_artist(F.col("artist")).alias("k_a"), line.alias("e"))
-    done = _settled(_taken(r.unionByName(e).repartition(*at), at), at)
+    e = entries.select(*at, F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
+                       title_key(F.col("title")).alias("k_t"), lead_artist(F.col("artist")).alias("k_a"), line.alias("e"))
+    both = r.unionByName(e)
+    both = (both.repartition(*at) if partitions is None else both.repartition(partitions, *at)).withColumn("is_row", F.col("row").isNotNull())
+    done = _settled(_taken(both, at), at)
     names = [c for c in matched.columns if c not in ("m_rank", "m_title", "m_artist")]
     return done.select(*(F.col(f"row.{c}") for c in names), F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
                        F.col("e.artist").alias("m_artist")).select(*matched.columns)
 
 
-def match_rows(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), swapped: bool = True) -> DataFrame:
+def match_rows(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), swapped: bool = True,
+               partitions: int | None = None) -> DataFrame:
     """`match_entities` and then `match_fuzzy` on one placement of the rows."""
     at = list(at)
-    return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped), at), at), at))
+    return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at), at))
 
 
 def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """What grows with the tables: placements, broadcasts, numbers of columns."""
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
-from chartlore.operators import history, reshape
+from chartlore.operators import history, matching, reshape
 from chartlore.plans import fixtures as fx
 from chartlore.sources import lists
 
@@ -49,3 +52,35 @@ def test_list_pages_take_one_placement_and_no_broadcast(spark):
 def test_exports_take_the_keys_that_rows_bring_along(spark, entries):
     rows = entries([("a", "2024-01-06", 1, "T", "X")]).withColumn("k_artist", F.lit("stored")).withColumn("name", F.lit("X"))
     assert [r.k_artist for r in reshape.versus_weekly_long(rows).collect()] == ["stored"]
+
+
+def test_rows_are_matched_on_one_pass_over_them(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    e = spark.createDataFrame([("a", 1, 1, "Long Summer Nights", "Em"), ("a", 1, 2, "Other", "Em"), ("a", 1, 3, "Nothing Like It", "Em")],
+                              "chart string, date int, rank int, title string, artist string")
+    r = spark.createDataFrame([("a", 1, 1, "Long Sumer Night", "Em"), ("a", 1, 2, "Other", "Em"), ("a", 1, 3, "Else", "Em"), (None, None, 4, "Else", "Em")],
+                              "chart string, date int, src_rank int, title string, artist string").withColumn("title", count("title"))
+    got = {x.src_rank: x.m_rank for x in matching.match_rows(r, e, swapped=False, partitions=3).collect()}
+    assert got == {1: 1, 2: 2, 3: None, 4: None} and seen.value == 4
+
+
+def test_matching_takes_the_tasks_it_is_given(spark):
+    e = spark.createDataFrame([("a", 1, 1, "T", "X")], "chart string, date int, rank int, title string, artist string")
+    found = matching.match_entities(e.withColumnRenamed("rank", "src_rank"), e, partitions=37)
+    assert found.rdd.getNumPartitions() == 37
+
+
+def test_edit_bound_loses_no_title_that_is_alike(spark):
+    rng = random.Random(11)
+    titles = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+
+    def typo(s):
+        i = rng.randrange(len(s) + 1)
+        return s[:i] + rng.choice(["", "a", "bc"]) + s[i + rng.randrange(2):]
+
+    pairs = [(t, typo(typo(typo(t)))) for t in titles] + list(zip(titles, titles[1:]))
+    alike = [p for p in pairs if difflib.SequenceMatcher(None, *p).ratio() >= 0.85]
+    frame = spark.createDataFrame(alike, "t string, u string")
+    assert len(alike) > 100 and frame.filter(matching._could_be_alike(F.col("t"), F.col("u"))).count() == len(alike)
+    assert spark.createDataFrame(pairs, "t string, u string").filter(matching._could_be_alike(F.col("t"), F.col("u"))).count() < len(pairs)
