@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartlore.functions.text import artwork_url, match_key, normalise_title
 from chartlore.operators.ingest import keep_last
 from chartlore.operators.quality import ranking_signatures
+from chartlore.session import staged
 
 # Fixed values of the overlap rule.
 MIN_WEEKS, MIN_OVERLAP, FULL_YEAR_WEEKS = 20, 60, 52
@@ -115,16 +116,14 @@ def verify_yearend(yearend: DataFrame, entries: DataFrame, accepted: DataFrame |
                            .otherwise("ok")).drop("listed")
 
 
-def best_matching_year(yearend: DataFrame, entries: DataFrame) -> DataFrame:
-    """For each year-end year the year of the list's weeks that holds most of
-    its titles, the earliest on a tie; years with few stored weeks do not
-    compete."""
-    good = weekly_coverage(entries).filter(F.col("weeks") >= MIN_WEEKS).select("chart", "year")
-    weekly = _titles(entries.filter("date IS NOT NULL").withColumn("year", F.year("date"))).join(
-        good, ["chart", "year"], "left_semi").withColumnRenamed("year", "weekly_year")
-    # Titles repeat within a list, so count them before the join.
-    listed = yearend.select("chart", "year", normalise_title(F.col("title")).alias("t")).groupBy(
+def _listed(yearend: DataFrame) -> DataFrame:
+    """Titles of each list and year with how many rows have them."""
+    return yearend.select("chart", "year", normalise_title(F.col("title")).alias("t")).groupBy(
         "chart", "year", "t").agg(F.count("*").alias("n"))
+
+
+def _best(listed: DataFrame, weekly: DataFrame, cover: DataFrame) -> DataFrame:
+    weekly = weekly.join(cover.select("chart", "year"), ["chart", "year"], "left_semi").withColumnRenamed("year", "weekly_year")
     scores = listed.join(weekly, ["chart", "t"]).groupBy("chart", "year", "weekly_year").agg(
         F.sum("n").cast("int").alias("score"))
     return scores.groupBy("chart", "year").agg(
@@ -132,18 +131,33 @@ def best_matching_year(yearend: DataFrame, entries: DataFrame) -> DataFrame:
         F.max("score").alias("score"))
 
 
+def _weekly(entries: DataFrame) -> DataFrame:
+    return _titles(entries.filter("date IS NOT NULL").withColumn("year", F.year("date")))
+
+
+def best_matching_year(yearend: DataFrame, entries: DataFrame) -> DataFrame:
+    """For each year-end year the year of the list's weeks that holds most of
+    its titles, the earliest on a tie; years with few stored weeks do not
+    compete."""
+    return _best(_listed(yearend), _weekly(entries), weekly_coverage(entries).filter(F.col("weeks") >= MIN_WEEKS))
+
+
 def accept_yearend(yearend: DataFrame, entries: DataFrame) -> DataFrame:
     """chart, year, accepted: the share of rows found in the year's weeks
-    reaches the scaled bar and no other year matches better."""
-    cover = weekly_coverage(entries).filter(F.col("weeks") >= MIN_WEEKS)
-    weekly = _titles(entries.filter("date IS NOT NULL").withColumn("year", F.year("date")))
-    rows = yearend.select("chart", "year", normalise_title(F.col("title")).alias("t")).join(
-        weekly.withColumn("hit", F.lit(1)), ["chart", "year", "t"], "left")
-    share = rows.groupBy("chart", "year").agg((F.count("hit") / F.count("*")).alias("share"))
+    reaches the scaled bar and no other year matches better.
+
+    Distinct titles of both sides and the weeks stored serve both questions: they
+    are written once, and neither input is worked out a second time.
+    """
+    listed, weekly = staged(_listed(yearend), "listed-titles"), staged(_weekly(entries), "weekly-titles")
+    cover = staged(weekly_coverage(entries).filter(F.col("weeks") >= MIN_WEEKS), "coverage")
+    rows = listed.join(weekly.withColumn("hit", F.lit(True)), ["chart", "year", "t"], "left")
+    share = rows.groupBy("chart", "year").agg(
+        (F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)) / F.sum("n")).alias("share"))
     bar = F.lit(MIN_OVERLAP / 100) * F.least(F.lit(1.0), F.col("weeks") / FULL_YEAR_WEEKS)
     return (
         share.join(cover, ["chart", "year"], "left")
-        .join(best_matching_year(yearend, entries), ["chart", "year"], "left")
+        .join(_best(listed, weekly, cover), ["chart", "year"], "left")
         .select("chart", "year", F.coalesce(
             F.col("weeks").isNotNull() & (F.col("share") >= bar)
             & (F.col("best_year") == F.col("year")), F.lit(False)).alias("accepted")))
