@@ -357,7 +357,8 @@ STATUSES = ("used", "outranked", "no figure", "superseded", "copied", "unplaced"
 
 
 def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, official: DataFrame | None = None,
-                 owned: DataFrame | None = None, source: str = "source", days: int | None = None) -> DataFrame:
+                 owned: DataFrame | None = None, source: str = "source", days: int | None = None,
+                 partitions: int | None = None) -> DataFrame:
     """Every input row with what became of it: source rows and official figures
     as chart, week, src_rank, title, artist, the entry (date, m_rank, m_title,
     m_artist), figures, source, status and reason. Statuses are those of
@@ -367,7 +368,8 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     left out, weeks are placed on list dates by their fit (or `days` later, where
     a list not yet published leaves them pending), list dates in `owned` (chart,
     date) belong to another source, and an official figure outranks others.
-    `rows` may hold `albums`, `tea` and `sea` beside `units`.
+    `rows` may hold `albums`, `tea` and `sea` beside `units`. `partitions` is how
+    many tasks share the matching.
     """
     figures = {"units": "units", "album_sales": "albums", "tea": "tea", "sea": "sea"}
     extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in figures.values()}
@@ -375,7 +377,7 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     last = latest_capture(captures).select("chart", "week", F.col("capture_id").alias("last_id"))
     # Read for the copies, the fits and the rows themselves: written once.
     marked = staged(rows.join(last, ["chart", "week"], "left").withColumn(
-        "superseded", ~F.coalesce(F.col("capture_id") == F.col("last_id"), F.lit(False))).drop("last_id"), "captured")
+        "superseded", ~F.coalesce(F.col("capture_id") == F.col("last_id"), F.lit(False))).drop("last_id", "capture_id"), "captured")
     shown = marked.filter("NOT superseded")
     copies = copied_weeks(shown).withColumn("copied", F.lit(True))
     dates = entries.select("chart", "date").distinct()
@@ -403,7 +405,7 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     dated = marked.join(fate, ["chart", "week"], "left").withColumn("status", F.when(F.col("superseded"), "superseded").otherwise(F.col("status")))
     # Rows that have a status don't take part; without a date nothing is near them.
     dated = dated.withColumn("date", F.when(F.col("status").isNull(), F.col("date")))
-    found = match_rows(staged(dated, "dated"), entries)  # read twice by the matching
+    found = match_rows(dated, entries, partitions=partitions)
     ledger = found.select(
         "chart", "week", "src_rank", "title", "artist", "date", "m_rank", "m_title", "m_artist",
         *(number(F.col(c)).alias(name) for name, c in figures.items()), F.lit(source).alias("source"),

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chartlore.operators import history, matching, reshape
+from chartlore.operators import history, matching, reshape, yearend
 from chartlore.plans import fixtures as fx
 from chartlore.sources import lists
 
@@ -84,3 +84,24 @@ def test_edit_bound_loses_no_title_that_is_alike(spark):
     frame = spark.createDataFrame(alike, "t string, u string")
     assert len(alike) > 100 and frame.filter(matching._could_be_alike(F.col("t"), F.col("u"))).count() == len(alike)
     assert spark.createDataFrame(pairs, "t string, u string").filter(matching._could_be_alike(F.col("t"), F.col("u"))).count() < len(pairs)
+
+
+def test_ledger_matches_in_the_tasks_it_is_given_and_moves_no_capture_ids(spark):
+    e = spark.sql("SELECT 'a' AS chart, date'2024-01-10' AS date, 1 AS rank, 'T' AS title, 'X' AS artist")
+    captures = spark.sql("SELECT 'a' AS chart, date'2024-01-01' AS week, timestamp'2024-01-11 00:00:00' AS taken, 'Final' AS status, 'c1' AS capture_id")
+    rows = spark.sql("""SELECT 'a' AS chart, date'2024-01-01' AS week, src_rank, title, 'X' AS artist, '1,000' AS units, capture_id
+                        FROM VALUES (1, 'T', 'c1'), (2, 'Q', 'c1'), (3, 'T', 'c0') AS v(src_rank, title, capture_id)""")
+    found = matching.units_ledger(captures, rows, e, days=9, partitions=5)
+    assert {r.src_rank: r.status for r in found.collect()} == {1: "used", 2: "unmatched", 3: "superseded"}
+    read = [f for f in found.inputFiles() if "/taken-" in f]
+    assert read and "capture_id" not in spark.read.parquet(*read).schema["row"].dataType.fieldNames()
+
+
+def test_yearend_titles_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: (seen.add(1), t)[1], "string").asNondeterministic()
+    y = spark.sql("SELECT 'a' AS chart, 2024 AS year, title FROM VALUES ('One'), ('Two'), ('Two'), (null) AS v(title)")
+    w = spark.sql("SELECT 'a' AS chart, explode(sequence(date'2024-01-06', date'2024-12-28', interval 7 day)) AS date, 'one' AS title").union(
+        spark.sql("SELECT 'a', date'2024-01-06', 'TWO!'"))
+    got = yearend.accept_yearend(y.withColumn("title", count("title")), w.withColumn("title", count("title"))).collect()
+    assert [(r.chart, r.year, r.accepted) for r in got] == [("a", 2024, True)] and seen.value == 4 + 53
