@@ -105,3 +105,12 @@ def test_yearend_titles_are_worked_out_once(spark):
         spark.sql("SELECT 'a', date'2024-01-06', 'TWO!'"))
     got = yearend.accept_yearend(y.withColumn("title", count("title")), w.withColumn("title", count("title"))).collect()
     assert [(r.chart, r.year, r.accepted) for r in got] == [("a", 2024, True)] and seen.value == 4 + 53
+
+
+def test_stored_files_hold_a_bounded_number_of_rows(spark, entries, tmp_path, monkeypatch):
+    monkeypatch.setattr(lists, "ROWS_A_FILE", 10)
+    rows = entries([("a", "2024-01-06", n, f"T{n}", "X") for n in range(1, 36)]).coalesce(1)
+    lists.write_history(rows, str(tmp_path / "h"), placed=True)
+    stored = spark.read.parquet(str(tmp_path / "h"))
+    found = stored.groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b")).collect()
+    assert sorted((r.a, r.b, r.n) for r in found) == [(1, 10, 10), (11, 20, 10), (21, 30, 10), (31, 35, 5)]
