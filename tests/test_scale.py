@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from chartlore.functions.credits import primary_artist
 from chartlore.operators import history, matching, reshape, yearend
 from chartlore.plans import fixtures as fx
 from chartlore.sources import lists
@@ -114,3 +115,9 @@ def test_stored_files_hold_a_bounded_number_of_rows(spark, entries, tmp_path, mo
     stored = spark.read.parquet(str(tmp_path / "h"))
     found = stored.groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b")).collect()
     assert sorted((r.a, r.b, r.n) for r in found) == [(1, 10, 10), (11, 20, 10), (21, 30, 10), (31, 35, 5)]
+
+
+def test_credits_without_a_comma_of_a_name_are_not_walked_by_character(spark):
+    credits = {"A, Guest & B": "a", "Tyler, Jr": "tyler, jr", "10,000 Maniacs, Q": "10,000 maniacs", "Abc, Ivy": "abc", "X, Y, Jr": "x", "Y, Jr, X": "y, jr", ",x": ""}
+    frame = spark.createDataFrame([(c,) for c in credits], "artist string").select("artist", primary_artist(F.col("artist")).alias("k"))
+    assert {r.artist: r.k for r in frame.collect()} == credits and "substring_index(" in plan(frame)
