@@ -29,32 +29,52 @@ def offset_join(weeks: DataFrame, entries: DataFrame, days: int = OFFSET_DAYS) -
     return weeks.withColumn("date", F.date_add("week", days)).join(dates, ["chart", "date"])
 
 
-def week_candidates(weeks: DataFrame, dates: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+def _by_list(frame: DataFrame, partitions: int | None) -> DataFrame:
+    """Placed by list in that many tasks: what then goes by list and week, or by
+    list and date, moves nothing more. A list is bounded by its calendar."""
+    return frame.repartition(partitions, "chart") if partitions else frame
+
+
+def week_candidates(weeks: DataFrame, dates: DataFrame, max_lag: int = MAX_LAG, partitions: int | None = None) -> DataFrame:
     """(chart, week, date) with the date 1..max_lag days after the week.
 
-    Both sides are put in seven-day bins; a week meets only the few bins its
-    range touches, so the range condition runs on an equi-join.
+    Weeks and dates of a list stand in one line of days, and a week sees the
+    dates ahead of it. `partitions` is how many tasks share the lists.
     """
-    def bin_of(day):
-        return F.floor(F.unix_date(day) / 7)
+    days = weeks.select("chart", F.col("week").alias("day"), F.lit(True).alias("is_week")).unionByName(
+        dates.select("chart", F.col("date").alias("day"), F.lit(False).alias("is_week"))).dropna().distinct()
+    ahead = W.partitionBy("chart").orderBy(F.unix_date("day")).rangeBetween(1, max_lag)
+    seen = _by_list(days, partitions).withColumn("dates", F.collect_list(F.when(~F.col("is_week"), F.col("day"))).over(ahead))
+    return seen.filter("is_week").select("chart", F.col("day").alias("week"), F.explode("dates").alias("date"))
 
-    left = weeks.select("chart", "week").distinct().withColumn("bin", F.explode(F.sequence(
-        bin_of(F.date_add("week", 1)), bin_of(F.date_add("week", max_lag)))))
-    right = dates.select("chart", "date").distinct().withColumn("bin", bin_of(F.col("date")))
-    lag = F.datediff("date", "week")
-    return left.join(right, ["chart", "bin"]).filter((lag >= 1) & (lag <= max_lag)).drop("bin")
 
+def best_fit(rows: DataFrame, entries: DataFrame, pairs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per (chart, week, date) of `pairs`, each there once: `exact` source top ten
+    rows at the same rank, `overlap` of them anywhere in the list's top twenty.
 
-def best_fit(rows: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per (chart, week, date): `exact` source top ten rows at the same rank,
-    `overlap` of them anywhere in the list's top twenty."""
-    top = (entries.filter("rank <= 20")
-           .groupBy("chart", "date", norm(F.col("title")).alias("t")).agg(F.max("rank").alias("rank")))
-    ten = rows.filter("src_rank <= 10").select("chart", "week", "src_rank", norm(F.col("title")).alias("t"))
-    hits = pairs.join(ten, ["chart", "week"], "left").join(top, ["chart", "date", "t"], "left")
-    return hits.groupBy("chart", "week", "date").agg(
-        F.count_if(F.col("rank") == F.col("src_rank")).cast("int").alias("exact"),
-        F.count("rank").cast("int").alias("overlap"))
+    Pairs, rows and entries are one relation, placed once by list in as many tasks
+    as `partitions` says; a pair takes the ten of its week and the twenty of its
+    date from two windows that this placement satisfies, and stays one row.
+    """
+    def side(frame: DataFrame, **columns) -> DataFrame:
+        types = {"week": "date", "date": "date", "src_rank": "int", "rank": "int", "t": "string"}
+        return frame.select("chart", *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+
+    title = norm(F.col("title"))
+    every = side(pairs, week=F.col("week"), date=F.col("date")).unionByName(
+        side(rows.filter("src_rank <= 10"), week=F.col("week"), src_rank=F.col("src_rank"), t=title)).unionByName(
+        side(entries.filter("rank <= 20"), date=F.col("date"), rank=F.col("rank"), t=title).filter("t IS NOT NULL"))
+    ten = F.collect_list(F.when(F.col("src_rank").isNotNull(), F.struct("src_rank", "t"))).over(W.partitionBy("chart", "week"))
+    met = _by_list(every, partitions).withColumn("ten", ten).filter("src_rank IS NULL")
+    # Of a title that is there twice the last rank counts.
+    last = F.row_number().over(W.partitionBy("chart", "date", "t").orderBy(F.desc("rank"))) == 1
+    ranks = F.collect_list(F.when(F.col("last") & F.col("rank").isNotNull(), F.struct("t", "rank"))).over(W.partitionBy("chart", "date"))
+    pair = met.withColumn("last", last).withColumn("ranks", ranks).filter("rank IS NULL")
+    hits = pair.withColumn("ranks", F.map_from_entries("ranks")).withColumn(
+        "hits", F.transform("ten", lambda x: F.struct(x["src_rank"].alias("src_rank"), F.try_element_at("ranks", x["t"]).alias("rank"))))
+    return hits.select(
+        "chart", "week", "date", F.size(F.filter("hits", lambda h: h["rank"] == h["src_rank"])).alias("exact"),
+        F.size(F.filter("hits", lambda h: h["rank"].isNotNull())).alias("overlap"))
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
@@ -385,7 +405,8 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     open_weeks = weeks.filter("copied IS NULL").select("chart", "week")
     if days is None:
         kept = shown.join(copies, ["chart", "week"], "left_anti")
-        placed = open_weeks.join(placements(best_fit(kept, entries, week_candidates(open_weeks, dates))), ["chart", "week"], "left")
+        placed = open_weeks.join(placements(best_fit(
+            kept, entries, week_candidates(open_weeks, dates, partitions=partitions), partitions)), ["chart", "week"], "left")
         placed = placed.withColumn("reason", F.when(F.col("date").isNull(), F.coalesce("reason", F.lit("no list in range"))))
         lost = "unplaced"
     else:

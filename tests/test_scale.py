@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chartlore.functions.credits import primary_artist
 from chartlore.operators import history, matching, reshape, yearend
 from chartlore.plans import fixtures as fx
+from chartlore.plans import report_queries
 from chartlore.sources import lists
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +122,19 @@ def test_credits_without_a_comma_of_a_name_are_not_walked_by_character(spark):
     credits = {"A, Guest & B": "a", "Tyler, Jr": "tyler, jr", "10,000 Maniacs, Q": "10,000 maniacs", "Abc, Ivy": "abc", "X, Y, Jr": "x", "Y, Jr, X": "y, jr", ",x": ""}
     frame = spark.createDataFrame([(c,) for c in credits], "artist string").select("artist", primary_artist(F.col("artist")).alias("k"))
     assert {r.artist: r.k for r in frame.collect()} == credits and "substring_index(" in plan(frame)
+
+
+def test_weeks_are_fitted_and_placed_on_one_placement_by_list(spark):
+    lists_, rows = report_queries.both_sources(spark, SF)
+    found = matching.placements(matching.best_fit(rows, lists_, matching.week_candidates(rows, lists_, partitions=37), 37))
+    text = plan(found)
+    assert "Join" not in text and found.rdd.getNumPartitions() == 37
+    assert text.count("Exchange hashpartitioning(chart") == 3 == text.count("Exchange hashpartitioning(")
+
+
+def test_fit_counts_every_row_and_the_last_rank_of_a_title_twice_there(spark):
+    e = spark.sql("SELECT 'a' AS chart, date'2024-01-10' AS date, * FROM VALUES (1, 'T'), (2, 't'), (3, NULL), (21, 'Q') AS v(rank, title)")
+    r = spark.sql("SELECT 'a' AS chart, date'2024-01-01' AS week, * FROM VALUES (1, 'T'), (2, 'T!'), (3, NULL), (4, 'Q'), (11, 'T') AS v(src_rank, title)")
+    pairs = spark.sql("SELECT 'a' AS chart, w AS week, d AS date FROM VALUES (date'2024-01-01', date'2024-01-10'), (date'2024-01-01', date'2024-01-11'), (date'2024-01-02', date'2024-01-10') AS v(w, d)")
+    got = {(x.week.day, x.date.day): (x.exact, x.overlap) for x in matching.best_fit(r, e, pairs, 3).collect()}
+    assert got == {(1, 10): (1, 2), (1, 11): (0, 0), (2, 10): (0, 0)}
