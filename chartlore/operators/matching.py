@@ -163,21 +163,33 @@ def place_weeks(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
 
 # --- entity matching --------------------------------------------------------
 #
-# Source rows and list entries are put into one relation and placed once by list
-# and date. Every window, grouping and join below is by those keys or by these
-# and more, so that placement serves all of them and only sorts follow. What is
-# held together for one list and date is bounded by the depth of its lists.
+# Source rows and list entries are put into one relation and placed once by list.
+# Every window and grouping below is by list and date or by these and more, so
+# that placement serves all of them and only sorts follow. Rows of a list lie
+# together in what is moved, as they do where they are stored, and so take a part
+# of the room that rows dealt out by list and date take. What is held together for
+# one list and date is bounded by the depth of its lists.
+
+
+def _both(rows: DataFrame, entries: DataFrame, at: list[str], partitions: int | None) -> DataFrame:
+    """Rows (at, row, ...) and the lines of entries as one relation, with is_row, placed
+    by list in that many tasks. Each side is placed for itself: one that comes so
+    placed is not moved again, lines that two steps ask for are moved once, and the
+    union keeps what its sides have in common."""
+    r, e = rows, entries.select(*at, "rank", "title", "artist")
+    if partitions is not None:
+        r, e = r.repartition(partitions, at[0]), e.repartition(partitions, at[0])
+    both = r.unionByName(e.select(*at, F.struct("rank", "title", "artist").alias("line")), allowMissingColumns=True)
+    both = both.repartition(*at) if partitions is None else both
+    return both.withColumn("is_row", F.col("row").isNotNull())
 
 
 def _placed(rows: DataFrame, entries: DataFrame, at: list[str], swapped: bool, partitions: int | None = None) -> DataFrame:
-    """Both sides as (at, row, line, is_row, k_t, k_a); `row` is null for
-    entries, `line` for rows. `partitions` is how many tasks share them."""
+    """Both sides as (at, row, line, is_row, k_t, k_a); `row`, the columns of a row
+    but for `at`, is null for entries, `line` for rows. `partitions` is how many
+    tasks share them."""
     r = unswap(rows) if swapped else rows
-    line = F.struct("rank", "title", "artist")
-    r = r.select(*at, F.struct(*rows.columns).alias("row"), F.lit(None).cast(entries.select(line).schema[0].dataType).alias("line"))
-    e = entries.select(*at, F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"))
-    both = r.unionByName(e)
-    both = (both.repartition(*at) if partitions is None else both.repartition(partitions, *at)).withColumn("is_row", F.col("row").isNotNull())
+    both = _both(r.select(*at, F.struct(*(c for c in rows.columns if c not in at)).alias("row")), entries, at, partitions)
     return both.withColumns({"k_t": title_key(F.coalesce("row.title", "line.title")), "k_a": lead_artist(F.coalesce("row.artist", "line.artist"))})
 
 
@@ -208,9 +220,11 @@ def _taken(resolved: DataFrame, at: list[str]) -> DataFrame:
         "e", F.when(~F.col("is_row") | (F.col("_no") == 1), F.col("e"))).drop("_no", "_rows")
 
 
-def _matched(rows: DataFrame) -> DataFrame:
-    return rows.select("row.*", "k_t", "k_a", F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
-                       F.col("e.artist").alias("m_artist"))
+def _matched(rows: DataFrame, names: list[str], at: list[str]) -> DataFrame:
+    """The columns `names` of rows, keys and what they resolve to; those of `at` are
+    the ones that rows are placed by."""
+    return rows.select(*(c if c in at else F.col(f"row.{c}") for c in names), "k_t", "k_a", F.col("e.rank").alias("m_rank"),
+                       F.col("e.title").alias("m_title"), F.col("e.artist").alias("m_artist"))
 
 
 def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"),
@@ -224,7 +238,7 @@ def match_entities(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     share both sides.
     """
     at = list(at)
-    return _matched(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at).filter("is_row"))
+    return _matched(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at).filter("is_row"), rows.columns, at)
 
 
 def likeness(pairs: str, least: float = SIMILAR) -> Column:
@@ -255,7 +269,7 @@ def _could_be_alike(t: Column, u: Column) -> Column:
     return (40 * F.least(F.length(t), F.length(u)) >= 17 * both) & (edits >= 0)
 
 
-def _won(open_: DataFrame, at: list[str]) -> DataFrame:
+def _won(open_: DataFrame, at: list[str], partitions: int | None) -> DataFrame:
     """The open rows of `open_`, which holds them and the free entries (at, is_row,
     row, line, k_t, k_a), with the line each wins as `e`, or null.
 
@@ -266,7 +280,8 @@ def _won(open_: DataFrame, at: list[str]) -> DataFrame:
     """
     order = W.partitionBy(*at).orderBy(F.desc("is_row"), F.col("row.src_rank").cast("bigint"), "row.title", "row.artist")
     rows, free = (lambda c: F.collect_list(F.when(F.col("is_row"), c))), (lambda c: F.collect_list(F.when(~F.col("is_row"), c)))
-    groups = open_.withColumn("no", F.row_number().over(order)).groupBy(*at).agg(
+    placed = open_ if partitions is None else open_.repartition(partitions, at[0])
+    groups = placed.withColumn("no", F.row_number().over(order)).groupBy(*at).agg(
         F.array_sort(rows(F.struct("no", "k_t", "k_a"))).alias("todo"), rows(F.struct("no", "row", "k_t", "k_a")).alias("rows"),
         free(F.struct("no", "k_t", "k_a", "line")).alias("free"))
 
@@ -301,8 +316,8 @@ def _won(open_: DataFrame, at: list[str]) -> DataFrame:
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<struct<no:int,line:{line}>>").alias("won"))
     won = F.when(F.size("cands") > 0, F.map_from_entries(F.aggregate("todo", start, settle, lambda state: state["won"])))
-    return judged.select("rows", won.alias("won")).select(F.explode("rows").alias("r"), "won").select(
-        "r.row", "r.k_t", "r.k_a", F.try_element_at("won", F.col("r.no")).alias("e"))
+    return judged.select(*at, "rows", won.alias("won")).select(*at, F.explode("rows").alias("r"), "won").select(
+        *at, "r.row", "r.k_t", "r.k_a", F.try_element_at("won", F.col("r.no")).alias("e"))
 
 
 def _let(value: Column, body) -> Column:
@@ -310,17 +325,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _settled(taken: DataFrame, at: list[str]) -> DataFrame:
+def _settled(taken: DataFrame, at: list[str], partitions: int | None = None) -> DataFrame:
     """The rows of `taken` with `e` of open ones filled from free entries. It is
     written once; only rows and entries that resolved to nothing are placed and
     read again."""
-    kept = staged(taken.filter("is_row OR free").select(*at, "is_row", "row", "line", "k_t", "k_a", "e"), "taken")
+    own = F.when(F.col("is_row"), F.col("e")).alias("e")
+    kept = staged(taken.filter("is_row OR free").select(*at, "is_row", "row", "line", "k_t", "k_a", own), "taken")
     comparable = F.coalesce(F.col("k_t") != "", F.lit(False))
     for c in at:
         comparable = comparable & F.col(c).isNotNull()
     is_open = comparable & (~F.col("is_row") | F.col("e").isNull())
-    done = kept.filter(~is_open & F.col("is_row")).select("row", "k_t", "k_a", "e")
-    return done.unionByName(_won(kept.filter(is_open), at))
+    done = kept.filter(~is_open & F.col("is_row")).select(*at, "row", "k_t", "k_a", "e")
+    return done.unionByName(_won(kept.filter(is_open), at, partitions))
 
 
 def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), partitions: int | None = None) -> DataFrame:
@@ -328,28 +344,26 @@ def match_fuzzy(matched: DataFrame, entries: DataFrame, at: list[str] = ("chart"
     of the same lead artist whose title is 0.85 alike; else one whose title and
     artist both are. Each only among entries not yet used, source rows in rank
     order: the candidates of a list and date are folded over in that order.
+    What `match_entities` placed in as many tasks as `partitions` stays there.
     """
     at = list(at)
     line = F.struct("rank", "title", "artist")
     kind = entries.select(line).schema[0].dataType
     given = F.struct(F.col("m_rank").alias("rank"), F.col("m_title").alias("title"), F.col("m_artist").alias("artist")).cast(kind)
-    r = matched.select(*at, F.struct("*").alias("row"), F.lit(None).cast(kind).alias("line"), "k_t", "k_a",
+    names = [c for c in matched.columns if c not in ("k_t", "k_a", "m_rank", "m_title", "m_artist")]
+    r = matched.select(*at, F.struct(*(c for c in names if c not in at)).alias("row"), "k_t", "k_a",
                        F.when(F.col("m_rank").isNotNull(), given).alias("e"))
-    e = entries.select(*at, F.lit(None).cast(r.schema["row"].dataType).alias("row"), line.alias("line"),
-                       title_key(F.col("title")).alias("k_t"), lead_artist(F.col("artist")).alias("k_a"), line.alias("e"))
-    both = r.unionByName(e)
-    both = (both.repartition(*at) if partitions is None else both.repartition(partitions, *at)).withColumn("is_row", F.col("row").isNotNull())
-    done = _settled(_taken(both, at), at)
-    names = [c for c in matched.columns if c not in ("m_rank", "m_title", "m_artist")]
-    return done.select(*(F.col(f"row.{c}") for c in names), F.col("e.rank").alias("m_rank"), F.col("e.title").alias("m_title"),
-                       F.col("e.artist").alias("m_artist")).select(*matched.columns)
+    both = _both(r, entries, at, partitions)
+    both = both.withColumns({c: F.when(F.col("is_row"), F.col(c)).otherwise(own) for c, own in (
+        ("k_t", title_key(F.col("line.title"))), ("k_a", lead_artist(F.col("line.artist"))), ("e", F.col("line")))})
+    return _matched(_settled(_taken(both, at), at, partitions), names, at).select(*matched.columns)
 
 
 def match_rows(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "date"), swapped: bool = True,
                partitions: int | None = None) -> DataFrame:
     """`match_entities` and then `match_fuzzy` on one placement of the rows."""
     at = list(at)
-    return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at), at))
+    return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at), at, partitions), rows.columns, at)
 
 
 def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:

@@ -138,3 +138,15 @@ def test_fit_counts_every_row_and_the_last_rank_of_a_title_twice_there(spark):
     pairs = spark.sql("SELECT 'a' AS chart, w AS week, d AS date FROM VALUES (date'2024-01-01', date'2024-01-10'), (date'2024-01-01', date'2024-01-11'), (date'2024-01-02', date'2024-01-10') AS v(w, d)")
     got = {(x.week.day, x.date.day): (x.exact, x.overlap) for x in matching.best_fit(r, e, pairs, 3).collect()}
     assert got == {(1, 10): (1, 2), (1, 11): (0, 0), (2, 10): (0, 0)}
+
+
+def test_rows_matched_by_key_stay_where_they_are_for_the_fuzzy_step(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(matching, "staged", lambda frame, name: seen.append(frame) or frame)
+    e = spark.createDataFrame([("a", 1, 1, "Long Summer Nights", "Em"), ("b", 1, 2, "Other", "Em")], "chart string, date int, rank int, title string, artist string")
+    r = spark.createDataFrame([("a", 1, 1, "Long Sumer Night", "Em"), ("b", 1, 2, "Other", "Em")], "chart string, date int, src_rank int, title string, artist string")
+    got = matching.match_fuzzy(matching.match_entities(r, e, partitions=7), e, partitions=7).collect()
+    assert sorted((x.chart, x.date, x.src_rank, x.m_rank) for x in got) == [("a", 1, 1, 1), ("b", 1, 2, 2)]
+    seen[0].collect()
+    moved = [line for line in plan(seen[0]).split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(moved) == 3 and sum("ReusedExchange" in line for line in moved) == 1 and all("(chart#" in x and "date" not in x.split("(chart#")[1].split(")")[0] for x in moved)
