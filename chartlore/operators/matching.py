@@ -35,6 +35,20 @@ def _by_list(frame: DataFrame, partitions: int | None) -> DataFrame:
     return frame.repartition(partitions, "chart") if partitions else frame
 
 
+def _looked_up(frame: DataFrame, other: DataFrame, at: list[str], names: list[str], partitions: int | None = None) -> DataFrame:
+    """`frame` with the columns `names` of `other`, where `at` occurs once, or nulls:
+    a left join as a window on both, each placed by list. A side that comes so placed
+    is not moved again, and nothing is broadcast, however small its files are."""
+    own = [c for c in frame.columns if c not in at]
+    both = _by_list(frame.select(*at, F.struct(F.lit(True).alias("_"), *own).alias("_row")), partitions).unionByName(
+        _by_list(other.select(*at, F.struct(*names).alias("_other")), partitions), allowMissingColumns=True)
+    known = F.lit(True)
+    for c in at:
+        known = known & F.col(c).isNotNull()
+    met = both.withColumn("_other", F.when(known, F.max("_other").over(W.partitionBy(*at)))).filter("_row IS NOT NULL")
+    return met.select(*(c if c in at else F.col(f"_row.{c}") for c in frame.columns), *(F.col(f"_other.{c}") for c in names))
+
+
 def week_candidates(weeks: DataFrame, dates: DataFrame, max_lag: int = MAX_LAG, partitions: int | None = None) -> DataFrame:
     """(chart, week, date) with the date 1..max_lag days after the week.
 
@@ -48,24 +62,27 @@ def week_candidates(weeks: DataFrame, dates: DataFrame, max_lag: int = MAX_LAG,
     return seen.filter("is_week").select("chart", F.col("day").alias("week"), F.explode("dates").alias("date"))
 
 
-def best_fit(rows: DataFrame, entries: DataFrame, pairs: DataFrame, partitions: int | None = None) -> DataFrame:
+def best_fit(rows: DataFrame, entries: DataFrame, pairs: DataFrame, partitions: int | None = None, rows_placed: bool = False) -> DataFrame:
     """Per (chart, week, date) of `pairs`, each there once: `exact` source top ten
     rows at the same rank, `overlap` of them anywhere in the list's top twenty.
 
     Pairs, rows and entries are one relation, placed once by list in as many tasks
     as `partitions` says; a pair takes the ten of its week and the twenty of its
-    date from two windows that this placement satisfies, and stays one row.
+    date from two windows that this placement satisfies, and stays one row. Pairs
+    that come so placed, and rows if `rows_placed`, are not moved again.
     """
     def side(frame: DataFrame, **columns) -> DataFrame:
         types = {"week": "date", "date": "date", "src_rank": "int", "rank": "int", "t": "string"}
         return frame.select("chart", *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()))
 
     title = norm(F.col("title"))
-    every = side(pairs, week=F.col("week"), date=F.col("date")).unionByName(
-        side(rows.filter("src_rank <= 10"), week=F.col("week"), src_rank=F.col("src_rank"), t=title)).unionByName(
-        side(entries.filter("rank <= 20"), date=F.col("date"), rank=F.col("rank"), t=title).filter("t IS NOT NULL"))
+    ours = side(rows.filter("src_rank <= 10"), week=F.col("week"), src_rank=F.col("src_rank"), t=title)
+    listed = side(entries.filter("rank <= 20"), date=F.col("date"), rank=F.col("rank"), t=title).filter("t IS NOT NULL")
+    both = (_by_list(ours, partitions).unionByName(_by_list(listed, partitions)) if rows_placed
+            else _by_list(ours.unionByName(listed), partitions))
+    every = _by_list(side(pairs, week=F.col("week"), date=F.col("date")), partitions).unionByName(both)
     ten = F.collect_list(F.when(F.col("src_rank").isNotNull(), F.struct("src_rank", "t"))).over(W.partitionBy("chart", "week"))
-    met = _by_list(every, partitions).withColumn("ten", ten).filter("src_rank IS NULL")
+    met = every.withColumn("ten", ten).filter("src_rank IS NULL")
     # Of a title that is there twice the last rank counts.
     last = F.row_number().over(W.partitionBy("chart", "date", "t").orderBy(F.desc("rank"))) == 1
     ranks = F.collect_list(F.when(F.col("last") & F.col("rank").isNotNull(), F.struct("t", "rank"))).over(W.partitionBy("chart", "date"))
@@ -100,18 +117,35 @@ def copied_weeks(rows: DataFrame, fits: DataFrame | None = None) -> DataFrame:
     return pair.select("chart", F.explode(worse).alias("week")).distinct()
 
 
+def _good_captures(captures: DataFrame) -> DataFrame:
+    return captures.filter((F.col("status") != "Building") & plausible_capture(F.col("week"), F.to_date("taken")))
+
+
 def latest_capture(captures: DataFrame) -> DataFrame:
     """Per (chart, week) the last plausible capture not still building.
 
     `captures` has chart, week, taken, status and a capture_id.
     """
-    good = captures.filter((F.col("status") != "Building")
-                           & plausible_capture(F.col("week"), F.to_date("taken")))
-    return good.groupBy("chart", "week").agg(
+    return _good_captures(captures).groupBy("chart", "week").agg(
         F.max_by("capture_id", F.struct("taken", "capture_id")).alias("capture_id"),
         F.max("taken").alias("taken"))
 
 
+def _shown_weeks(captures: DataFrame, rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every (chart, week) whose last capture has rows, with that capture's id as
+    `last_id` and whether its rows equal those of a neighbouring week (`copied`).
+    Rows are summed up per capture before anything is placed by list."""
+    sums = rows.groupBy("chart", "week", "capture_id").agg(*list_signature(
+        F.col("src_rank"), F.col("artist"), F.col("title"), F.col("units"))).drop("n")
+    good = _good_captures(captures).filter("chart IS NOT NULL").select("chart", "week", F.struct("taken", "capture_id").alias("seen"))
+    both = _by_list(sums, partitions).unionByName(_by_list(good, partitions), allowMissingColumns=True)
+    last = both.withColumn("last_id", F.max("seen").over(W.partitionBy("chart", "week"))["capture_id"])
+    shown = last.filter("signature IS NOT NULL AND capture_id = last_id")
+    line = W.partitionBy("chart").orderBy("week")
+    same = [F.coalesce(near("signature").over(line) == F.col("signature"), F.lit(False)) for near in (F.lag, F.lead)]
+    return shown.select("chart", "week", "last_id", (same[0] | same[1]).alias("copied"))
+
+
 def placements(fits: DataFrame, min_fit: int = MIN_FIT) -> DataFrame:
     """Every (chart, week) of `fits` with the list date it is placed on, or no
     date and the reason.
@@ -366,11 +400,11 @@ def match_rows(rows: DataFrame, entries: DataFrame, at: list[str] = ("chart", "d
     return _matched(_settled(_taken(_resolved(_placed(rows, entries, at, swapped, partitions), at), at), at, partitions), rows.columns, at)
 
 
-def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:
+def pin_official(figures: DataFrame, entries: DataFrame, partitions: int | None = None) -> DataFrame:
     """External number-one figures (chart, date, title, artist, units) with the
     stored number one that day and whether they agree on title or lead artist.
-    Rows not accepted keep a reason."""
-    top = entries.filter("rank = 1").groupBy("chart", "date").agg(
+    Rows not accepted keep a reason. `partitions` is how many tasks share both."""
+    top = _by_list(entries.filter("rank = 1").select("chart", "date", "title", "artist"), partitions).groupBy("chart", "date").agg(
         F.min(F.struct("title", "artist")).alias("s")).select(
         "chart", "date", F.col("s.title").alias("s_title"), F.col("s.artist").alias("s_artist"))
 
@@ -380,7 +414,9 @@ def pin_official(figures: DataFrame, entries: DataFrame) -> DataFrame:
     a, b = title_key(plain(F.col("title"))), title_key(plain(F.col("s_title")))
     same_title = (a == b) | ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)))
     same_artist = lead_artist(plain(F.col("artist"))) == lead_artist(plain(F.col("s_artist")))
-    return figures.join(top, ["chart", "date"], "left").withColumn(
+    at = ["chart", "date"]
+    met = _looked_up(figures, top, at, ["s_title", "s_artist"], partitions)
+    return met.select(*at, *(c for c in met.columns if c not in at)).withColumn(
         "reason", F.when(F.col("s_title").isNull(), "no stored list that date")
         .when(~(same_title | same_artist),
               F.concat(F.lit("stored No. 1 is "), "s_title", F.lit(" by "), "s_artist")))
@@ -403,50 +439,50 @@ def units_ledger(captures: DataFrame, rows: DataFrame, entries: DataFrame, offic
     a list not yet published leaves them pending), list dates in `owned` (chart,
     date) belong to another source, and an official figure outranks others.
     `rows` may hold `albums`, `tea` and `sea` beside `units`. `partitions` is how
-    many tasks share the matching.
+    many tasks share the lists. What a row needs of its week or date is looked up on
+    relations placed by list, so nothing is broadcast, and fits, matches and claims
+    find rows and entries placed.
     """
     figures = {"units": "units", "album_sales": "albums", "tea": "tea", "sea": "sea"}
     extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in figures.values()}
-    rows = rows.withColumns(extra)
-    last = latest_capture(captures).select("chart", "week", F.col("capture_id").alias("last_id"))
     # Read for the copies, the fits and the rows themselves: written once.
-    marked = staged(rows.join(last, ["chart", "week"], "left").withColumn(
-        "superseded", ~F.coalesce(F.col("capture_id") == F.col("last_id"), F.lit(False))).drop("last_id", "capture_id"), "captured")
-    shown = marked.filter("NOT superseded")
-    copies = copied_weeks(shown).withColumn("copied", F.lit(True))
+    rows = staged(rows.withColumns(extra).select("chart", "week", "src_rank", "title", "artist", *extra, "capture_id"), "captured")
+    weeks = staged(_shown_weeks(captures, rows, partitions), "weeks")
     dates = entries.select("chart", "date").distinct()
-    weeks = shown.select("chart", "week").distinct().join(copies, ["chart", "week"], "left")
-    open_weeks = weeks.filter("copied IS NULL").select("chart", "week")
     if days is None:
-        kept = shown.join(copies, ["chart", "week"], "left_anti")
-        placed = open_weeks.join(placements(best_fit(
-            kept, entries, week_candidates(open_weeks, dates, partitions=partitions), partitions)), ["chart", "week"], "left")
+        ten = _looked_up(rows.filter("src_rank <= 10").select("chart", "week", "src_rank", "title", "capture_id"), weeks,
+                         ["chart", "week"], ["last_id", "copied"], partitions).filter("capture_id = last_id AND NOT copied")
+        pairs = week_candidates(weeks.filter("NOT copied"), dates, partitions=partitions)
+        placed = _looked_up(weeks, placements(best_fit(ten, entries, pairs, partitions, rows_placed=True)), ["chart", "week"], ["date", "reason"], partitions)
         placed = placed.withColumn("reason", F.when(F.col("date").isNull(), F.coalesce("reason", F.lit("no list in range"))))
         lost = "unplaced"
     else:
-        due = open_weeks.withColumn("date", F.date_add("week", days))
-        out = dates.withColumn("out", F.lit(True))
-        placed = due.join(out, ["chart", "date"], "left").select(
-            "chart", "week", F.when(F.col("out"), F.col("date")).alias("date"),
-            F.when(F.col("out").isNull(), F.concat(F.lit("no list of "), F.date_format("date", "yyyy-MM-dd"))).alias("reason"))
+        due = weeks.withColumn("date", F.date_add("week", days))
+        placed = _looked_up(due, dates.withColumn("out", F.lit(True)), ["chart", "date"], ["out"], partitions).withColumn(
+            "reason", F.when(F.col("out").isNull(), F.concat(F.lit("no list of "), F.date_format("date", "yyyy-MM-dd")))).withColumn(
+            "date", F.when(F.col("out"), F.col("date")))
         lost = "pending"
     if owned is not None:
-        placed = placed.join(owned.select("chart", "date").distinct().withColumn("owned", F.lit(True)), ["chart", "date"], "left")
+        theirs = owned.select("chart", "date").distinct().withColumn("owned", F.lit(True))
+        placed = _looked_up(placed, theirs, ["chart", "date"], ["owned"], partitions)
     else:
         placed = placed.withColumn("owned", F.lit(None).cast("boolean"))
-    fate = weeks.join(placed, ["chart", "week"], "left").select(
-        "chart", "week", "date", F.when(F.col("copied"), "copied").when(F.col("date").isNull(), lost).when(F.col("owned"), "owned").alias("status"),
-        F.when(F.col("copied"), "equal to a neighbouring week").otherwise(F.col("reason")).alias("reason"))
-    dated = marked.join(fate, ["chart", "week"], "left").withColumn("status", F.when(F.col("superseded"), "superseded").otherwise(F.col("status")))
+    # A row a week: written so that fitting and matching don't hold memory in one stage.
+    fate = staged(placed.select(
+        "chart", "week", "last_id", "date", F.when(F.col("copied"), "copied").when(F.col("date").isNull(), lost).when(F.col("owned"), "owned").alias("status"),
+        F.when(F.col("copied"), "equal to a neighbouring week").otherwise(F.col("reason")).alias("reason")), "fates")
+    dated = _looked_up(rows, fate, ["chart", "week"], ["last_id", "date", "status", "reason"], partitions)
+    superseded = ~F.coalesce(F.col("capture_id") == F.col("last_id"), F.lit(False))
+    dated = dated.withColumn("status", F.when(superseded, "superseded").otherwise(F.col("status"))).drop("capture_id", "last_id")
     # Rows that have a status don't take part; without a date nothing is near them.
     dated = dated.withColumn("date", F.when(F.col("status").isNull(), F.col("date")))
     found = match_rows(dated, entries, partitions=partitions)
-    ledger = found.select(
+    ledger = _by_list(found, partitions).select(
         "chart", "week", "src_rank", "title", "artist", "date", "m_rank", "m_title", "m_artist",
         *(number(F.col(c)).alias(name) for name, c in figures.items()), F.lit(source).alias("source"),
         F.coalesce("status", F.when(F.col("m_rank").isNull(), "unmatched")).alias("status"), "reason")
     if official is not None:
-        pinned = pin_official(official, entries)
+        pinned = _by_list(pin_official(official, entries, partitions), partitions)
         good = F.col("reason").isNull()
         ledger = ledger.unionByName(pinned.select(
             "chart", F.col("date").alias("week"), F.lit(1).alias("src_rank"), "title", "artist", F.when(good, F.col("date")).alias("date"),

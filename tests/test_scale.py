@@ -150,3 +150,30 @@ def test_rows_matched_by_key_stay_where_they_are_for_the_fuzzy_step(spark, monke
     seen[0].collect()
     moved = [line for line in plan(seen[0]).split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning(" in line]
     assert len(moved) == 3 and sum("ReusedExchange" in line for line in moved) == 1 and all("(chart#" in x and "date" not in x.split("(chart#")[1].split(")")[0] for x in moved)
+
+
+def test_ledger_joins_and_broadcasts_nothing(spark, monkeypatch):
+    seen, write = [], matching.staged
+    monkeypatch.setattr(matching, "staged", lambda frame, name: seen.append(frame) or write(frame, name))
+    e = spark.sql("SELECT 'a' AS chart, date'2024-01-10' AS date, rank, title, 'X' AS artist FROM VALUES (1, 'T'), (2, 'Q') AS v(rank, title)")
+    captures = spark.sql("""SELECT chart, week, timestamp'2024-01-11 00:00:00' AS taken, 'Final' AS status, 'c1' AS capture_id FROM VALUES
+                            ('a', date'2024-01-01'), (null, date'2024-01-01'), ('b', date'2024-01-01'), ('c', date'2024-01-01') AS v(chart, week)""")
+    rows = spark.sql("""SELECT chart, week, src_rank, title, 'X' AS artist, '1,000' AS units, capture_id FROM VALUES
+                        ('a', date'2024-01-01', 1, 'T', 'c1'), ('a', date'2024-01-01', 2, 'Q', 'c1'), ('a', date'2024-01-01', 3, 'T', 'c0'), ('a', date'2024-01-01', 4, 'T', null),
+                        (null, date'2024-01-01', 1, 'T', 'c1'), ('a', null, 1, 'T', 'c1'), ('b', date'2024-01-01', 1, 'T', 'c1'), ('d', date'2024-01-01', 1, 'T', 'c1')
+                        AS v(chart, week, src_rank, title, capture_id)""")
+    official = spark.sql("""SELECT chart, date, title, 'X' AS artist, 5 AS units FROM VALUES
+                            ('a', date'2024-01-10', 'T'), (null, date'2024-01-10', 'T'), ('b', date'2024-01-10', 'T') AS v(chart, date, title)""")
+    owned = spark.sql("SELECT 'a' AS chart, date'2024-01-17' AS date")
+    want = {("a", 1, "source"): "outranked", ("a", 2, "source"): "used", ("a", 3, "source"): "superseded", ("a", 4, "source"): "superseded",
+            (None, 1, "source"): "superseded", ("b", 1, "source"): "pending", ("d", 1, "source"): "superseded",
+            ("a", 1, "official"): "used", (None, 1, "official"): "rejected", ("b", 1, "official"): "rejected"}
+    for partitions in (5, None):
+        found = matching.units_ledger(captures, rows, e, official, owned, days=9, partitions=partitions)
+        got = found.collect()
+        assert {(r.chart, r.src_rank, r.source): r.status for r in got if r.week is not None} == want and len(got) == 11
+        assert [(r.chart, r.status) for r in got if r.week is None] == [("a", "superseded")]
+    fits = matching.units_ledger(captures, rows, e, official, owned, partitions=5)
+    assert {(r.chart, r.src_rank): r.status for r in fits.filter("source = 'source' AND chart IN ('a', 'b') AND week IS NOT NULL AND src_rank < 3").collect()} == {
+        ("a", 1): "unplaced", ("a", 2): "unplaced", ("b", 1): "unplaced"}
+    assert all("Join" not in plan(f) and "Broadcast" not in plan(f) for f in [*seen, found, fits])
