@@ -2,7 +2,7 @@
 
 Every title in a week's first `top` ranks is a candidate; its label is whether it
 is number one in the next published week. Features look back only and come from
-ranks: one shuffle on the history key serves all of them, as on the list page.
+ranks: one placement by list serves all of them, as on the list page.
 The split is by date, never by chance, since neighbouring weeks share most of
 what they know. A model counts for what it adds to "no change".
 """
@@ -23,15 +23,23 @@ FEATURES = ["rank", "log_rank", "rise_1", "rise_2", "rise_3", "absent_1", "weeks
             "incumbent_rise"]
 
 
-def next_week_candidates(entries: DataFrame, weeks: DataFrame | None = None, top: int = 20) -> DataFrame:
+def next_week_candidates(entries: DataFrame, weeks: DataFrame | None = None, top: int = 20, partitions: int | None = None) -> DataFrame:
     """chart, date, k_title, k_artist, the FEATURES and `label` (1 if the title
     heads the next published week, null in a list's last week).
 
     A rise is the rank so many published weeks ago less the present one, 0 where
     the title was absent then. `held` counts the weeks at number one up to now.
-    A title on two ranks of one week counts with the better one.
+    A title on two ranks of one week counts with the better one. Weeks are numbered,
+    and the last one is found, on the placement by list that serves the features;
+    `partitions` is how many tasks share it. A calendar passed as `weeks` is joined,
+    which broadcasts it where its files are small.
     """
-    rows = with_week_index(with_keys(entries.filter("rank IS NOT NULL AND date IS NOT NULL")), weeks)
+    rows = with_week_index(with_keys(entries.filter("chart IS NOT NULL AND date IS NOT NULL")), weeks, partitions)
+    if weeks is None:
+        rows = rows.withColumn("last", F.max("week_idx").over(W.partitionBy("chart")))
+    else:
+        rows = rows.join(weeks.groupBy("chart").agg(F.max("week_idx").alias("last")), "chart")
+    rows = rows.filter("rank IS NOT NULL")
     title = W.partitionBy("chart", "k_title", "k_artist").orderBy("week_idx")
 
     def best(first: int, last: int):
@@ -54,13 +62,10 @@ def next_week_candidates(entries: DataFrame, weeks: DataFrame | None = None, top
         F.col("before").isNull().cast("int").alias("absent_1"), "weeks", "peak", (F.col("weeks") == 1).cast("int").alias("is_debut"),
         (F.col("rank") == 1).cast("int").alias("is_incumbent"),
         F.when(F.col("rank") == 1, F.col("week_idx") - F.col("start") + 1).otherwise(0).cast("int").alias("held"),
-        F.coalesce((F.col("after") == 1).cast("int"), F.lit(0)).alias("label"), "week_idx")
-    # The number one's own movement; and the last week has no next one.
+        F.when(F.col("week_idx") < F.col("last"), F.coalesce((F.col("after") == 1).cast("int"), F.lit(0))).alias("label"))
+    # The number one's own movement.
     rows = rows.withColumn("incumbent_rise", F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("rise_1"))).over(week), F.lit(0)))
-    last = (with_week_index(entries, weeks).groupBy("chart").agg(F.max("week_idx").alias("last")) if weeks is None
-            else weeks.groupBy("chart").agg(F.max("week_idx").alias("last")))
-    return rows.join(last, "chart").withColumn("label", F.when(F.col("week_idx") < F.col("last"), F.col("label"))).select(
-        "chart", "date", "k_title", "k_artist", *FEATURES, "label")
+    return rows.select("chart", "date", "k_title", "k_artist", *FEATURES, "label")
 
 
 def fit_next_number_one(candidates: DataFrame, until: str) -> PipelineModel:

@@ -637,7 +637,7 @@ nf AS (
 SELECT chart, date, k_title, k_artist, rank, log_rank, rise_1, rise_2, rise_3, absent_1, weeks, peak, is_debut, is_incumbent, CAST(held AS INT) AS held,
        coalesce(max(CASE WHEN rank = 1 THEN rise_1 END) OVER (PARTITION BY chart, date), 0) AS incumbent_rise, label FROM nf""")
 def next_week_candidates(spark, sf):
-    return predict.next_week_candidates(fx.keyed_entries(spark, sf), fx.weeks(spark, sf))
+    return predict.next_week_candidates(fx.keyed_entries(spark, sf), partitions=fx.tasks(spark, sf))
 
 
 @register("next_number_one")

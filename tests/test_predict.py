@@ -5,6 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from chartlore.operators import predict
+from chartlore.operators.calendar import published_weeks
+from chartlore.plans import history_queries
 
 
 def history(entries, weeks=160, depth=8):
@@ -43,3 +45,16 @@ def test_model_beats_no_change_on_held_out_weeks(spark, entries):
     model = predict.fit_next_number_one(found, split)
     row = predict.account(predict.predicted(model, found), split).first()
     assert row.weeks > 100 and row.right > row.no_change and row.right_on_changes > 0.3
+
+
+def test_weeks_are_numbered_and_ended_without_a_join(spark, entries):
+    rows = entries([("a", "2000-01-01", 1, "s", "x"), ("a", "2000-01-08", None, "t", "x"), ("a", "2000-01-15", 1, "s", "x"), ("a", "2000-01-15", 2, "t", "x"),
+                    ("b", "2000-01-01", 1, "s", "x"), ("b", "2000-01-08", 1, "s", "x"), ("b", "2000-01-15", None, "s", "x"), (None, "2000-01-08", 1, "s", "x")])
+    found = predict.next_week_candidates(rows, partitions=7)
+    got = sorted(map(tuple, found.collect()), key=repr)
+    assert got == sorted(map(tuple, predict.next_week_candidates(rows, published_weeks(rows)).collect()), key=repr)
+    assert {(r.chart, r.date.day, r.k_title): r.label for r in found.collect()} == {
+        ("a", 1, "s"): 0, ("a", 15, "s"): None, ("a", 15, "t"): None, ("b", 1, "s"): 1, ("b", 8, "s"): 0}
+    for frame in (predict.next_week_candidates(rows, partitions=7), history_queries.next_week_candidates(spark, "/root/testdata/sf0.001")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan and plan.count("Exchange hashpartitioning(") == 1
